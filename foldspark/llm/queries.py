@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from . import ann
 from .decontam import contaminated
+from .licenses import scan_licenses
 from .neardup import near_duplicates
+from .pieces import encode_documents
+from .quality import quality_scores
 from .secrets import find_secrets
 from .sharding import assign_shards
 from .urlfilter import filter_urls, host_rule
@@ -41,6 +44,11 @@ def op1_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+@_query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 @_query
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"), min_bytes=100)
@@ -69,6 +77,16 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+@_query
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@_query
+def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(_table(spark, sf_dir, "documents"), shards=24)
