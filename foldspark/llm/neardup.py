@@ -218,3 +218,24 @@ def near_duplicates(
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in the written table ``ids`` (column ``id``); the size of ``ids`` picks the join."""
+    return docs.join(maybe_broadcast(ids), docs[id_col] == ids["id"], "left_anti")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every group of near-duplicates, with all columns: the row of the smallest id, one if it repeats.
+
+    Rows without id are outside the comparison; of those with equal texts one stays.
+    """
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col=id_col, text_col=text_col)
+    found = cut(found, "groups")
+    dropped = cut(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    repeated = cut(found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    named = without(docs.where(F.col(id_col).isNotNull()), dropped, id_col)
+    if not repeated.isEmpty():
+        again = named.join(maybe_broadcast(repeated), named[id_col] == repeated["id"], "left_semi").dropDuplicates([id_col])
+        named = without(named, repeated, id_col).unionByName(again)
+    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))

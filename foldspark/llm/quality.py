@@ -166,3 +166,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     scored = chosen.mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``; fitted as in ``quality_scores``."""
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = train(chosen, labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label")), fit_rows)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch.column(place))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

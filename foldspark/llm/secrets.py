@@ -125,3 +125,30 @@ def replaced(text: str, spans: list[Span]) -> str:
         out += [text[at:start], f"[{kind}]"]
         at = end
     return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float = 2.0, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every secret replaced by its kind in brackets, and the number of characters set anew there."""
+    place = docs.columns.index(text_col)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary, pattern).encode_ordinary
+        for batch in batches:
+            texts, changed = batch.column(place).to_pylist(), False
+            counts = batch.column(chars).to_pylist() if chars is not None else []
+            for i, text in enumerate(texts):
+                base = patterned(text or "")
+                if spans := base + inefficient(text or "", base, encode, max_ratio):
+                    texts[i], changed = replaced(text, sorted(spans, key=lambda s: (s.start, s.kind))), True
+                    if counts:
+                        counts[i] = len(texts[i])
+            if changed:
+                columns = batch.columns
+                columns[place] = pa.array(texts, batch.schema.field(place).type)
+                if counts:
+                    columns[chars] = pa.array(counts, batch.schema.field(chars).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
