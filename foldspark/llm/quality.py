@@ -37,7 +37,7 @@ _CLASS = np.full(256, 9, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 11
 for _chars, _k in ((" \t", 3), ("\n\r\v\f", 4), (".,", 5), ("!?;:", 6), ("()[]{}<>", 7), ("\"'`", 8), ("|", 10)):
     _CLASS[[ord(c) for c in _chars]] = _k
-SHAPES = 8
+SHAPES = 9
 INPUTS = CLASSES + CLASSES * CLASSES + SHAPES
 
 
@@ -74,6 +74,8 @@ def features(column: pa.Array) -> np.ndarray:
         shape[:, 5] = ends / some
         shape[:, 6] = distinct / np.sqrt(some) / 20
         shape[:, 7] = (size > 0).astype(np.float32)
+        again = (w.hashes[1:] == w.hashes[:-1]) & (owner[1:] == owner[:-1])
+        shape[:, 8] = np.bincount(owner[1:][again], minlength=n) / some
     return out
 
 
