@@ -6,12 +6,15 @@
    copies costs one node however large it is.
 3. Every bucket of a band links its members to its smallest node: a star, never all pairs. Pairs whose sketches' XOR
    has too many bits for the wanted similarity go; the rest are confirmed on the full sets of their texts.
-4. Connected components of the confirmed links. Buckets whose members still lie in different components are compared
-   once more, member against member across components, in salted blocks, filtered by the sketches inside the join; so
-   no link between two components is lost because a bucket's smallest node resembled neither side.
+4. Connected components of the confirmed links. In buckets whose members still lie in different components, another
+   round of stars follows, around a member picked by a hash that differs from bucket to bucket.
+5. Buckets that are torn even then are compared member against member across components. In small ones the sketches
+   filter inside a join, each pair in its first common bucket only. Large ones that share members are taken together,
+   cut into blocks, and two blocks are compared in a task, which lists only links that join two components. So no link
+   between two components is lost, and the pairs of a group are never listed.
 
-With 50 bands of 6 rows a pair of similarity 0.8 escapes every band with probability 3e-7; the sketch limit lies more
-than six standard deviations below the threshold. Nothing is dropped, capped or sampled.
+With 50 bands of 6 rows a pair of similarity 0.8 escapes every band with probability 3e-7; the sketch limit lies five
+standard deviations beside the expected distance of such a pair. Nothing is dropped, capped or sampled.
 
 Edge cases: null, empty and blank texts have no shingles, are linked with nothing and kept. Texts of fewer than ``k``
 words are one shingle. Repeated rows are in one class. A row whose id is null takes the smallest id of its class, or
@@ -24,16 +27,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .scratch import cut, maybe_broadcast
+from .scratch import cut, maybe_broadcast, small
 
-BANDS, ROWS, BITS = 50, 6, 512
-#: Members of a bucket in one block of a cross-component comparison.
-BLOCK = 512
+BANDS, ROWS, BITS = 50, 6, 1024
+#: Rounds of stars around hashed centres.
+ROUNDS = 1
+#: Members from which a torn bucket is compared in blocks, and nodes of a block.
+LARGE, BLOCK = 64, 2048
 _SIG = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
 
 
@@ -53,10 +59,16 @@ def sketch_similarity(differing: float, samples: int, bits: int = BITS) -> float
 
 
 def sketch_limit(similarity: float, samples: int, bits: int = BITS) -> int:
-    """Most differing bits with which a pair of at least ``similarity`` is still expected, six deviations wide."""
-    low = similarity - 6 * math.sqrt(max(similarity * (1 - similarity), 0.02) / samples)
-    mean = bits * (1 - math.exp(-4 * samples * (1 - low) / bits)) / 2
-    return int(mean + 6 * math.sqrt(bits) / 2 * math.sqrt(1 - math.exp(-8 * samples * (1 - low) / bits)))
+    """Most differing bits that a pair of at least ``similarity`` shows, five standard deviations beyond the mean.
+
+    The number of differing samples is binomial; each flips two bits of the XOR, and flips that meet cancel.
+    """
+    differing = samples * (1 - similarity)
+    left = math.exp(-4 * differing / bits)
+    slope = 2 * left
+    meeting = min(bits * (1 - left * left) / 4, (2 * differing) ** 2 * 2 / bits)
+    deviation = math.sqrt(slope**2 * samples * max(similarity * (1 - similarity), 0.02) + meeting)
+    return int(bits * (1 - left) / 2 + 5 * deviation) + 1
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,6 +106,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str =
     return chosen.mapInArrow(run, _SIG)
 
 
+def _sized(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
+    """``df``, a join or aggregate of about ``rows`` counted rows, in tasks of about ``per`` rows (eight at least)."""
+    return df.coalesce(max(8, -(-rows // per)))
+
+
 def _apart(a: str, b: str, limit: int):
     """Whether two odd sketches differ in at most ``limit`` bits."""
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0)) <= limit
@@ -101,7 +118,8 @@ def _apart(a: str, b: str, limit: int):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (u, v) with den * intersection >= num * union of the full shingle sets of their texts."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+    n = pairs.count()
+    ids = cut(_sized(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), n), "ids")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(maybe_broadcast(ids), "id", "left_semi")
 
@@ -125,43 +143,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int,
 
     left = texts.withColumnsRenamed({"id": "u", "text": "text_u"})
     right = texts.withColumnsRenamed({"id": "v", "text": "text_v"})
-    rows = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    found = rows.mapInArrow(run, "u bigint, v bigint").distinct()
-    return cut(found, "links")
+    rows = _sized(_sized(pairs.join(left, "u"), n, 1000).join(right, "v"), n, 1000).select("u", "v", "text_u", "text_v")
+    return cut(_sized(rows.mapInArrow(run, "u bigint, v bigint").distinct(), n), "links")
+
+
+def _links(key: tuple, rows: pd.DataFrame, words: int, num: int, den: int, limit: int) -> pd.DataFrame:
+    """Confirmed links between the nodes of blocks i and j of a group, one for each two components that they join."""
+    _, i, j = key
+    rows = rows.drop_duplicates("node").sort_values("node").reset_index(drop=True)
+    sets: list[np.ndarray] = []
+    for _, _, values, at in W.shingle_sets(pa.array(rows["text"], pa.string()), words):
+        sets += np.split(values, at[1:-1])
+    sketch = np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+    node, comp, block = (rows[c].to_numpy() for c in ("node", "comp", "block"))
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a in np.flatnonzero(block == i).tolist():
+        near = np.flatnonzero((block == j) & (comp != comp[a]) & ((node > node[a]) if i == j else True))
+        near = near[np.bitwise_count(sketch[near] ^ sketch[a]).sum(axis=1) <= limit]
+        near = near[[find(c) != find(comp[a]) for c in comp[near].tolist()]] if len(near) else near
+        for at in range(0, len(near), 256):
+            part = near[at : at + 256]
+            sizes = np.array([len(sets[b]) for b in part])
+            both = np.isin(np.concatenate([sets[b] for b in part]), sets[a])
+            shared = np.add.reduceat(both, np.concatenate([[0], sizes.cumsum()[:-1]]), dtype=np.int64)
+            for b in part[den * shared >= num * (len(sets[a]) + sizes - shared)].tolist():
+                x, y = find(comp[a]), find(comp[b])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(node[a], node[b]), max(node[a], node[b])))
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node connected with each node that has an edge (u, v).
 
-    Alternates large-star and small-star steps until the edges stand still; each step is an aggregation and a join, and
-    its edges are written to the shared folder.
+    Alternates large-star and small-star steps until the edges form stars; each step is an aggregation and a join, and
+    the edges of a round are written to the shared folder.
     """
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every node has one edge down, or only edges up."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+        return _sized(ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")), n).where("down > 1 or down = 1 and up = 1").isEmpty()
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return _sized(both.where("v > u").join(least, "u"), n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    def small_step(e: DataFrame) -> DataFrame:
+    def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = down.join(least, "u")
+        linked = _sized(down.join(least, "u"), n)
         return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v")))
 
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now = cut(now, "star")
-    seen = mark(now)
-    while True:
-        now = cut(small_step(cut(large(now).where("u <> v").distinct(), "star")).where("u <> v").distinct(), "star")
-        last, seen = seen, mark(now)
-        if last == seen:
-            break
-    found = now.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
-    roots = now.select(F.col("v").alias("node")).distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti")
-    return cut(found.union(roots.select("node", F.col("node").alias("comp"))), "components")
+    n = edges.count()
+    now = cut(_sized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), n), "star")
+    while not stars(now):
+        now = cut(_sized(small_star(large(now).where("u <> v")).where("u <> v").distinct(), n), "star")
+    return cut(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(_sized(now.select("v", "v").distinct(), n)), "components")
 
 
 def near_duplicates(
@@ -184,10 +232,36 @@ def near_duplicates(
     classes = cut(classes, "classes")
     nodes = classes.where("node is not null").select("node", "sketch")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs within the sketch limit."""
+    def near(pairs: DataFrame, rows: int) -> DataFrame:
+        """Pairs within the sketch limit, of at most ``rows``."""
         u, v = nodes.toDF("u", "sketch_u"), nodes.toDF("v", "sketch_v")
-        return pairs.join(u, "u").join(v, "v").where(_apart("sketch_u", "sketch_v", limit)).select("u", "v")
+        pairs = _sized(_sized(pairs, rows).join(u, "u"), rows)
+        return _sized(pairs.join(v, "v"), rows).where(_apart("sketch_u", "sketch_v", limit)).select("u", "v")
+
+    def across(torn: DataFrame) -> DataFrame:
+        """Pairs of members of one small bucket in different components, within the sketch limit."""
+        n = torn.count()
+        torn = torn.where(F.col("n") < LARGE).join(classes.where("node is not null").select("node", "sketch", "bands"), "node")
+        left, right = (torn.select("key", "lo", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "sketch", "bands"))) for side in "uv")
+        fresh = (F.col("node_u") < F.col("node_v")) & (F.col("node_u") != F.col("lo")) & (F.col("comp_u") != F.col("comp_v"))
+        first = F.filter(F.zip_with("bands_u", "bands_v", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())[0] == F.col("key")
+        pairs = _sized(left.join(right.drop("lo"), "key"), n).where(fresh & _apart("sketch_u", "sketch_v", limit) & first)
+        return cut(_sized(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), n), "across")
+
+    def within(torn: DataFrame) -> DataFrame:
+        """Links (u, v) between components that share a large bucket, enough of them to join these components."""
+        large = torn.where(F.col("n") >= LARGE)
+        group = components(large.select(F.col("node").alias("u"), F.col("lo").alias("v")))
+        members = _sized(large.select("node", "comp").distinct().join(group.withColumnRenamed("comp", "group"), "node"), large.count())
+        sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        members = members.join(sizes, "group").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        members = cut(members, "blocks")
+        texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text"))
+        rows = texts.join(members if not small(members) else F.broadcast(members), "node")
+        rows = rows.select("group", "block", "node", "comp", "sketch", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+        rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+        found = rows.groupBy("group", "i", "j").applyInPandas(lambda key, block: _links(key, block, words, num, den, limit), "u bigint, v bigint")
+        return cut(found.distinct(), "within")
 
     keyed = classes.where("node is not null").select(F.explode("bands").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
@@ -196,23 +270,38 @@ def near_duplicates(
     crowded = cut(crowded, "crowded")
     stars = buckets.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     stars = stars.union(crowded.where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v"))).distinct()
-    links = confirmed(cut(near(stars), "pairs"), docs, words, num, den, id_col, text_col)
+    links = confirmed(cut(near(stars, buckets.count() + crowded.count()), "pairs"), docs, words, num, den, id_col, text_col)
     comps = components(links)
 
-    members = crowded.join(comps, "node", "left").select("key", "n", "lo", "node", F.coalesce("comp", "node").alias("comp"))
-    members = cut(members, "members")
-    torn = members.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    torn = members.join(torn, "key", "left_semi").join(nodes, "node")
-    torn = torn.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = torn.select("key", "lo", F.col("block").alias("i"), every, F.col("node").alias("u"), F.col("comp").alias("comp_u"), F.col("sketch").alias("sketch_u"))
-    right = torn.select("key", F.col("block").alias("other"), every.alias("i"), F.col("node").alias("v"), F.col("comp").alias("comp_v"), F.col("sketch").alias("sketch_v"))
-    across = left.join(right, ["key", "i", "other"]).where((F.col("u") < F.col("v")) & (F.col("u") != F.col("lo")) & (F.col("comp_u") != F.col("comp_v")) & _apart("sketch_u", "sketch_v", limit))
-    across = cut(across.select("u", "v").distinct(), "across")
-    if not across.isEmpty():
-        more = confirmed(across, docs, words, num, den, id_col, text_col)
+    def torn(comps: DataFrame) -> DataFrame:
+        """Members of buckets that lie in more than one component, with their components."""
+        n = crowded.count()
+        members = _sized(crowded.join(comps, "node", "left"), n, 200_000).select("key", "n", "lo", "node", F.coalesce("comp", "node").alias("comp"))
+        members = cut(members, "members")
+        keys = members.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+        return cut(_sized(members.join(keys, "key", "left_semi"), n, 200_000), "torn")
+
+    left_over = torn(comps)
+    for turn in range(ROUNDS):
+        if left_over.isEmpty():
+            break
+        centre = left_over.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("u"), F.col("comp").alias("comp_u")), F.xxhash64("node", "key", F.lit(turn))).alias("c"))
+        pairs = _sized(left_over.join(centre, "key"), left_over.count()).where("comp <> c.comp_u and node <> lo and c.u <> lo")
+        pairs = pairs.select(F.least("node", "c.u").alias("u"), F.greatest("node", "c.u").alias("v")).distinct()
+        more = confirmed(cut(near(pairs, left_over.count()), "pairs"), docs, words, num, den, id_col, text_col)
         if not more.isEmpty():
-            comps = components(links.union(more))
+            links = cut(links.union(more), "links")
+            comps = components(links)
+            left_over = torn(comps)
+    rest = across(left_over)
+    found = [confirmed(rest, docs, words, num, den, id_col, text_col)] if not rest.isEmpty() else []
+    if not left_over.where(F.col("n") >= LARGE).isEmpty():
+        found.append(within(left_over))
+    found = [more for more in found if not more.isEmpty()]
+    for more in found:
+        links = links.union(more)
+    if found:
+        comps = components(links)
 
     label = classes.join(comps, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b", "n_shingles"], "left")
