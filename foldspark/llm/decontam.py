@@ -175,7 +175,7 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str, chars: int = PART_CH
         yield [(r.id, r.text) for r in own.orderBy("id", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.6, rare: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score (1 for an exact copy), and the words of the text where the match lies."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
