@@ -16,7 +16,7 @@ from .pieces import encode_documents
 from .quality import quality_scores
 from .secrets import find_secrets
 from .sharding import assign_shards
-from .urlfilter import filter_urls, host_rule
+from .urlfilter import PATTERNS, filter_urls, host_rule
 from .warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,10 +71,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+URL_RULES = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow")]
+
+
 @_query
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow")]
-    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 @_query
@@ -91,3 +93,46 @@ def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(_table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# SQL twins of the queries that SQL can express.
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op3_warc_revisits"] = """
+with q as (select page_id, url, cast(strlen(coalesce(html, '')) as bigint) as n, sha256(coalesce(html, '')) as digest from pages),
+m as (select digest, min(page_id) as first from q where n >= 100 group by digest)
+select page_id, n as payload_bytes, q.digest as payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type,
+  case when page_id <> first then first end as refers_to, url
+from q left join m on m.digest = q.digest and q.n >= 100"""
+
+ORACLES["op4_minhash_odd_sketch"] = f"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select doc_id, unnest(list_distinct(case when len(ws) >= 2 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else ws end)) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select u, v from c join n a on a.doc_id = u join n b on b.doc_id = v where 100 * k >= 80 * (a.n + b.n - k)),
+e as (select u, v from l union select v, u from l),
+t as (with recursive r(u, v) as (select u, v from e union select r.u, e.v from r join e on e.u = r.v) select u, min(v) as v from r group by u)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(w.doc_id, coalesce(t.v, w.doc_id)) as component_id, w.doc_id = least(w.doc_id, coalesce(t.v, w.doc_id)) as kept
+from w left join n using (doc_id) left join t on t.u = w.doc_id"""
+
+
+def _url_sql() -> str:
+    hosts = sorted(enumerate(URL_RULES), key=lambda x: (-len(x[1].text), -x[0]))
+
+    def fits(text: str) -> str:
+        host, _, path = text.partition("/")
+        return f"(host = '{host}' or host like '%.{host}') and starts_with(path, '/{path}')"
+
+    rule = " ".join(f"when {fits(r.text)} then '{r.text}'" for _, r in hosts)
+    action = " ".join(f"when {fits(r.text)} then '{r.action}'" for _, r in hosts)
+    found = ", ".join(f"case when regexp_matches(lower(url), '{r.text}') then '{r.text}' end" for r in PATTERNS)
+    return f"""
+with h as (select page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') as host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+p as (select *, least({found}) as pattern from h)
+select page_id, host, path, case {rule} end as rule, case {action} when pattern is not null then 'block' else 'allow' end as verdict, pattern from p"""
+
+
+ORACLES["op7_url_rules"] = _url_sql()
