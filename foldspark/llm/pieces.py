@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments that one generation of a worker's cache holds, and the longest segment kept.
-CACHE, LONGEST = 250_000, 64
-#: Characters of the longest segment that is merged in a matrix.
-SHORT = 32
+CACHE, LONGEST = 150_000, 64
+#: Characters of the longest segment that is merged in a matrix, and rows of one matrix.
+SHORT, ROWS = 32, 2048
 
 
 class Encoder:
@@ -78,13 +78,13 @@ class Encoder:
                 self.chars[ord(piece)] = i
         self.text = [str(i) for i in range(n)]
         self.prefix = self.library.encode("\n")
-        self.new: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.new: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
-    def merge(self, text: str) -> tuple[int, ...]:
+    def merge(self, text: str) -> list[int]:
         """Ids of normalised text."""
         if text in self.ids and len(text) == 1:
-            return (self.ids[text],)
+            return [self.ids[text]]
         symbols: list[str] = list(text)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -116,7 +116,7 @@ class Encoder:
             if s:
                 known = self.ids.get(s)
                 out += [known] if known is not None else [self.bytes[b] for b in s.encode()]
-        return tuple(out)
+        return out
 
     def _slots(self, bits: int) -> np.ndarray:
         """For every hash of a pair, whether some pair has it: most pairs are dismissed by one look."""
@@ -139,7 +139,7 @@ class Encoder:
             rank[at[same]], merged[at[same]] = self.ranks[found[same]], self.merged[found[same]]
         return rank, merged
 
-    def merge_short(self, segments: list[str]) -> list[tuple[int, ...]]:
+    def merge_short(self, segments: list[str]) -> list[list[int]]:
         """``merge`` of many segments of at most ``SHORT`` characters."""
         sizes = np.array([len(s) for s in segments])
         points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int32)
@@ -147,49 +147,57 @@ class Encoder:
         inside = np.arange(symbols.shape[1])[None, :] < sizes[:, None]
         known = self.chars[points]
         symbols[inside] = np.where(known >= 0, known, -2 - points)
-        ranks, merged = self._look(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())
-        ranks, merged = ranks.reshape(len(segments), -1), merged.reshape(len(segments), -1)
-        live = np.arange(len(segments))
-        left = np.arange(symbols.shape[1])[None, :]
+        # Pair c of a row is (symbol c, symbol c + 1); the last column never holds a symbol or pair.
+        ranks, merged = self._look(symbols.ravel(), np.append(symbols.ravel()[1:], -1))
+        ranks, merged = ranks.reshape(symbols.shape), merged.reshape(symbols.shape)
+        width = symbols.shape[1]
+        left = np.arange(width)[None, :]
+        live, held = np.arange(len(segments)), (symbols.copy(), ranks, merged)
         while len(live):
-            best = ranks[live].argmin(axis=1)
-            going = ranks[live, best] < self.never
-            live, best = live[going], best[going]
-            if not len(live):
-                break
-            piece = merged[live, best]
-            move = left + (left > best[:, None])
-            now = np.take_along_axis(np.pad(symbols[live], ((0, 0), (0, 1)), constant_values=-1), move, 1)
-            now[np.arange(len(live)), best] = piece
-            symbols[live] = now
-            for held, fill in ((ranks, self.never), (merged, 0)):
-                part = np.pad(held[live], ((0, 0), (0, 1)), constant_values=fill)
-                held[live] = np.take_along_axis(part, move[:, :-1], 1)
+            best = held[1].argmin(axis=1)
+            going = held[1][np.arange(len(live)), best] < self.never
+            if not going.all():
+                symbols[live[~going]] = held[0][~going]
+                live, best, held = live[going], best[going], tuple(x[going] for x in held)
+                if not len(live):
+                    break
+            rows = np.arange(len(live))
+            piece = held[2][rows, best]
+            move = np.minimum(left + (left > best[:, None]), width - 1) + (rows * width)[:, None]
+            held = tuple(x.ravel()[move] for x in held)
+            held[0][rows, best] = piece
             for at in (best - 1, best):
-                ok = (at >= 0) & (at < ranks.shape[1])
-                row, col = live[ok], at[ok]
-                ranks[row, col], merged[row, col] = self._look(symbols[row, col], symbols[row, col + 1])
-        out = []
-        odd = (symbols < -1).any(axis=1)
-        for ids, unknown in zip(symbols.tolist(), odd.tolist(), strict=True):
-            ids = ids[: ids.index(-1)]
-            if unknown:
-                ids = [x for i in ids for x in ([i] if i >= 0 else [self.bytes[b] for b in chr(-2 - i).encode()])]
-            out.append(tuple(ids))
+                ok = (at >= 0) & (at < width - 1)
+                row, col = rows[ok], at[ok]
+                held[1][row, col], held[2][row, col] = self._look(held[0][row, col], held[0][row, col + 1])
+        there = symbols != -1
+        bounds = np.concatenate([[0], there.sum(axis=1).cumsum()]).tolist()
+        flat = symbols[there].tolist()
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in np.flatnonzero((symbols < -1).any(axis=1)):
+            out[k] = [x for i in out[k] for x in ([i] if i >= 0 else [self.bytes[b] for b in chr(-2 - i).encode()])]
         return out
 
-    def checked(self, segments: list[str]) -> dict[str, tuple[tuple[int, ...], str]]:
-        """Ids of new segments, which the library must give too."""
-        short = [s for s in segments if len(s) <= SHORT]
-        found = dict(zip(short, self.merge_short(short), strict=True)) if short else {}
+    def checked(self, segments: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids of new segments (as 32-bit numbers, and joined by commas), which the library must give too."""
+        # Segments of alike lengths share a matrix.
+        short = sorted((s for s in segments if len(s) <= SHORT), key=len)
+        found = {}
+        for at in range(0, len(short), ROWS):
+            part = short[at : at + ROWS]
+            found.update(zip(part, self.merge_short(part), strict=True))
         found |= {s: self.merge(s) for s in segments if len(s) > SHORT}
-        # Behind a line feed, which never merges, a segment stands in the library's text as in ours.
-        skip = len(self.prefix)
-        for s, ids in zip(segments, self.library.encode(["\n" + s.replace(SPACE, " ") for s in segments], num_threads=1), strict=True):
-            if tuple(ids[skip:]) != found[s]:
-                raise ValueError(f"the library encodes {s!r} as {ids[skip:]}")
-        text = self.text
-        return {s: (ids, ",".join([text[i] for i in ids])) for s, ids in found.items()}
+        # The library sets a space mark before a text, which is the one that opens most segments. Others are put behind
+        # a line feed, which never merges.
+        plain = [s for s in segments if s[0] == SPACE and len(s) > 1]
+        rest = [s for s in segments if s[0] != SPACE or len(s) == 1]
+        for some, before in ((plain, None), (rest, self.prefix)):
+            texts = [s[1:] if before is None else "\n" + s for s in some]
+            for s, ids in zip(some, self.library.encode([t.replace(SPACE, " ") if SPACE in t else t for t in texts], num_threads=1), strict=True):
+                if found[s] != (ids if before is None else ids[len(before) :]):
+                    raise ValueError(f"the library encodes {s!r} as {ids}")
+        text = self.text.__getitem__
+        return {s: (array("i", ids).tobytes(), ",".join(map(text, ids))) for s, ids in found.items()}
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """(ids, ids joined by commas) of every text."""
@@ -204,7 +212,7 @@ class Encoder:
         for segments, held in zip(split, looked, strict=True):
             if None in held:
                 held = [h or fresh[s] for s, h in zip(segments, held, strict=True)]
-            yield list(chain.from_iterable([h[0] for h in held])), ",".join([h[1] for h in held])
+            yield np.frombuffer(b"".join([h[0] for h in held]), np.int32).tolist(), ",".join([h[1] for h in held])
 
 
 _encoders: dict[str, Encoder] = {}
