@@ -95,24 +95,42 @@ def missing_residues(annotated: DataFrame, atoms: DataFrame, chain: Keys = ("str
     return one.select(*chain, "res_label", (F.row_number().over(Window.partitionBy(*chain).orderBy("_m", "res_label")) - 1).alias("ord"))
 
 
-def overlap_components(clusters: DataFrame, keys: Keys = K, drop_isolated: bool = True, rounds: int = 30) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node connected with each node that has an edge (u, v); edges go down, u > v.
+
+    Alternates large-star and small-star steps until no edge moves, however many rounds that takes; a path needs about
+    the logarithm of its length. Every round is checkpointed.
+    """
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+    def small(e: DataFrame) -> DataFrame:
+        linked = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+        return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v")))
+
+    def done(e: DataFrame) -> bool:
+        """Whether every node has one edge down, or only edges up."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty()
+
+    now = edges.distinct().checkpoint()
+    while not done(now):
+        now = small(large(now).where("u > v").distinct()).where("u > v").distinct().checkpoint()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def overlap_components(clusters: DataFrame, keys: Keys = K, drop_isolated: bool = True) -> DataFrame:
     """Members of clusters merged while they share members: component (smallest cluster number), member.
 
-    ``clusters`` has cluster and member. Labels spread over shared members until they stand still; each round is
-    checkpointed to the folder of ``spark.checkpoint.dir``.
+    ``clusters`` has cluster and member. Clusters are linked to the smallest that holds the same member, and the links
+    are followed until they stand still; each round is checkpointed to the folder of ``spark.checkpoint.dir``.
     """
     checkpoint_dir(clusters.sparkSession)
-    rows = clusters.select(*keys, "cluster", "member").distinct().withColumn("comp", F.col("cluster"))
-    for _ in range(rounds):
-        by_member = Window.partitionBy(*keys, "member")
-        by_cluster = Window.partitionBy(*keys, "cluster")
-        new = rows.withColumn("_c", F.min("comp").over(by_member)).withColumn("_c", F.min("_c").over(by_cluster))
-        new = new.checkpoint()
-        moved = new.where("_c <> comp").limit(1).count()
-        rows = new.select(*keys, "cluster", "member", F.col("_c").alias("comp"))
-        if not moved:
-            break
-    if drop_isolated:
-        n = F.size(F.collect_set("cluster").over(Window.partitionBy(*keys, "comp")))
-        rows = rows.withColumn("_n", n).where("_n > 1")
-    return rows.select(*keys, F.col("comp").alias("component"), "member").distinct()
+    rows = clusters.select(*keys, "cluster", "member").distinct()
+    rows = rows.withColumn("node", F.struct(*keys, "cluster")).withColumn("_m", F.struct(*keys, "member")).checkpoint()
+    links = rows.join(rows.groupBy("_m").agg(F.min("node").alias("v")), "_m").where("node > v").select(F.col("node").alias("u"), "v")
+    rows = rows.join(_stars(links), "node", "inner" if drop_isolated else "left")
+    return rows.select(*keys, F.coalesce("comp.cluster", "cluster").alias("component"), "member").distinct()
