@@ -1,9 +1,11 @@
 """Secret scans: patterned secrets, and a token-efficiency test for random strings.
 
 A random string breaks a byte-pair vocabulary: it needs many tokens for its characters. Every unbroken run of key
-characters of at least ``min_chars`` that mixes letters and digits is encoded with a tiktoken vocabulary; a run of fewer
-than ``max_ratio`` characters a token is a ``random`` span, unless it is a known digest (hex of a usual digest length,
-UUID), an identifier (words and numbers joined by ``_ - . /`` or by capitals), or overlaps a patterned span.
+characters is cut at its separators ``/ . = + - _`` and each part is encoded with a tiktoken vocabulary. Neighbouring
+parts are joined to the stretch with the most tokens beyond one for ``max_ratio`` characters, so readable text before or
+after a random string does not dilute it (unless no separator lies between them). A stretch of at least ``MIN_CHARS``
+that mixes letters and digits is a ``random`` span. Known digests (hex of a usual digest length, UUID) and patterned
+spans break a run; so do identifiers (all parts letters in one case pattern, or digits).
 
 Spans are half-open ranges of code points. Edge cases: null and empty texts have no spans; equal rows give equal rows;
 texts are scanned whole, one at a time; other columns are ignored.
@@ -27,7 +29,12 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
-DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.IGNORECASE)
+DIGEST = re.compile(r"(?<![0-9a-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})(?![0-9a-z])", re.IGNORECASE)
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Parts that say nothing: short, of letters in one case pattern or of digits.
+SHORT = re.compile(r"[A-Z]?[a-z]{1,3}|[A-Z]{1,3}|[0-9]{1,4}|[Vv][0-9]{1,2}")
+#: Characters of the shortest random span.
+MIN_CHARS = 20
 #: Parts of letters in one case pattern, or of digits, joined by separators.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_./=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_./=+-]*|(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}")
 
@@ -65,19 +72,49 @@ def patterned(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, s.kind))
 
 
+def stretches(run: str, encode, max_ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of whole parts of ``run`` that have fewer than ``max_ratio`` characters a token, the worst of each
+    group of neighbours that stays below it. Short plain parts count for nothing and do not start or end a stretch,
+    but are kept where ``-``, ``_`` or ``+`` joins them to it, or ``/`` if the stretch has ``+`` or ``/`` inside."""
+    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
+    excess = [0.0 if SHORT.fullmatch(run, a, b) else max_ratio * len(encode(run[a:b])) - (b - a) for a, b in parts]
+
+    at = 0
+    while at < len(parts):
+        if excess[at] <= 0:
+            at += 1
+            continue
+        total, best, last, stop = 0.0, 0.0, at, at
+        while stop < len(parts) and total + excess[stop] > 0:
+            total += excess[stop]
+            if total > best:
+                best, last = total, stop
+            stop += 1
+        first, end = at, last
+        signs = "-_+/" if set("+/") & set(run[parts[at][0] : parts[last][1]]) else "-_+"
+        while first > 0 and excess[first - 1] == 0 and set(run[parts[first - 1][1] : parts[first][0]]) <= set(signs):
+            first -= 1
+        while end + 1 < len(parts) and excess[end + 1] == 0 and set(run[parts[end][1] : parts[end + 1][0]]) <= set(signs):
+            end += 1
+        yield parts[first][0], parts[end][1]
+        at = end + 1
+
+
 def inefficient(text: str, taken: list[Span], encode, max_ratio: float) -> list[Span]:
-    """Spans of runs with few characters a token, beside the spans in ``taken``."""
+    """Spans of stretches with few characters a token, beside the spans in ``taken``."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0].strip(".-=")
-        start = m.start() + m[0].index(run) if run else m.start()
-        end = start + len(run)
-        if len(run) < 20 or run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(s.start < end and start < s.end for s in taken) or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            continue
-        if len(run) < max_ratio * len(encode(run)):
-            found.append(Span(start, 3, end))
+        breaks = [(s.start, s.end) for s in taken if s.start < m.end() and m.start() < s.end]
+        breaks += [d.span() for d in DIGEST.finditer(text, m.start(), m.end())]
+        at = m.start()
+        for stop, after in [*sorted(breaks), (m.end(), m.end())]:
+            piece = text[at : max(at, stop)]
+            if len(piece) >= MIN_CHARS and not IDENTIFIER.fullmatch(piece.strip(".-=")):
+                for a, b in stretches(piece, encode, max_ratio):
+                    part = piece[a:b]
+                    if len(part) >= MIN_CHARS and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
+                        found.append(Span(at + a, 3, at + b))
+            at = max(at, after)
     return found
 
 

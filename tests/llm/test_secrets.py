@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 import public_tokenizers
 import pytest
@@ -77,3 +79,23 @@ def test_redaction(spark):
     rows = {r.doc_id: r for r in secrets.redact_secrets(docs, VOCABULARY, public_tokenizers.PATTERN).collect()}
     assert rows[1].text == 'é [assign]" x' and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text == "clean words" and rows[3].text is None
+
+
+@pytest.mark.parametrize("before, n, after", [("//hooks.example.com/services/incoming/", 24, ""), ("//storage.example.com/uploads/files/", 32, "/download/index.html"), ("//www.example.com/account/reset/password/confirm/", 20, ""), ("com.example.service.configuration.production=", 32, ""), ("client_credentials=", 24, "")])
+def test_random_strings_beside_readable_text(before, n, after):
+    encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
+    rng, found = random.Random(1), 0
+    for _ in range(200):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+        spans = secrets.inefficient(f"see {before}{key}{after} here", [], encode, 2.0)
+        found += [(s.start, s.end) for s in spans] == [(4 + len(before), 4 + len(before) + n)]
+    assert found >= 185
+
+
+def test_known_spans_break_a_run():
+    encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
+    key, digest = "xJ4k9QzT7wLp2VbN8sRf3HcYdG6mA1uE", "D41D8CD98F00B204E9800998ECF8427E"
+    text = f"//a.example.com/{digest}/{key}/550e8400-e29b-41d4-a716-446655440000"
+    assert [text[s.start : s.end] for s in secrets.inefficient(text, [], encode, 2.0)] == [key]
+    at = text.index(key)
+    assert secrets.inefficient(text, [secrets.Span(at, 0, at + len(key))], encode, 2.0) == []
