@@ -3,9 +3,10 @@
 A random string breaks a byte-pair vocabulary: it needs many tokens for its characters. Every unbroken run of key
 characters is cut at its separators ``/ . = + - _`` and each part is encoded with a tiktoken vocabulary. Neighbouring
 parts are joined to the stretch with the most tokens beyond one for ``max_ratio`` characters, so readable text before or
-after a random string does not dilute it (unless no separator lies between them). A stretch of at least ``MIN_CHARS``
-that mixes letters and digits is a ``random`` span. Known digests (hex of a usual digest length, UUID) and patterned
-spans break a run; so do identifiers (all parts letters in one case pattern, or digits).
+after a random string does not dilute it (unless no separator lies between them). A stretch of at least ``MIN_CHARS`` is
+a ``random`` span, whatever letters and digits it has: words and identifiers have more characters a token. (At 16
+characters instead of 20 clean texts have false spans.) Known digests (hex of a usual digest length, UUID) and patterned
+spans break a run.
 
 Spans are half-open ranges of code points. Edge cases: null and empty texts have no spans; equal rows give equal rows;
 texts are scanned whole, one at a time; other columns are ignored.
@@ -35,8 +36,6 @@ PART = re.compile(r"[A-Za-z0-9]+")
 SHORT = re.compile(r"[A-Z]?[a-z]{1,3}|[A-Z]{1,3}|[0-9]{1,4}|[Vv][0-9]{1,2}")
 #: Characters of the shortest random span.
 MIN_CHARS = 20
-#: Parts of letters in one case pattern, or of digits, joined by separators.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_./=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_./=+-]*|(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}")
 
 
 @dataclass(frozen=True)
@@ -76,9 +75,14 @@ def stretches(run: str, encode, max_ratio: float) -> Iterator[tuple[int, int]]:
     """Stretches of whole parts of ``run`` that have fewer than ``max_ratio`` characters a token, the worst of each
     group of neighbours that stays below it. Short plain parts count for nothing and do not start or end a stretch,
     but are kept where ``-``, ``_`` or ``+`` joins them to it, or ``/`` if the stretch has ``+`` or ``/`` inside."""
-    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
-    excess = [0.0 if SHORT.fullmatch(run, a, b) else max_ratio * len(encode(run[a:b])) - (b - a) for a, b in parts]
 
+    def tokens(part: str) -> int:
+        """Capital letters count as the small ones: vocabularies hold few words of capitals."""
+        n = len(encode(part))
+        return min(n, len(encode(part.lower()))) if part.isalpha() and part.isupper() else n
+
+    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
+    excess = [0.0 if SHORT.fullmatch(run, a, b) else max_ratio * tokens(run[a:b]) - (b - a) for a, b in parts]
     at = 0
     while at < len(parts):
         if excess[at] <= 0:
@@ -109,11 +113,8 @@ def inefficient(text: str, taken: list[Span], encode, max_ratio: float) -> list[
         at = m.start()
         for stop, after in [*sorted(breaks), (m.end(), m.end())]:
             piece = text[at : max(at, stop)]
-            if len(piece) >= MIN_CHARS and not IDENTIFIER.fullmatch(piece.strip(".-=")):
-                for a, b in stretches(piece, encode, max_ratio):
-                    part = piece[a:b]
-                    if len(part) >= MIN_CHARS and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
-                        found.append(Span(at + a, 3, at + b))
+            if len(piece) >= MIN_CHARS:
+                found += [Span(at + a, 3, at + b) for a, b in stretches(piece, encode, max_ratio) if b - a >= MIN_CHARS]
             at = max(at, after)
     return found
 

@@ -99,3 +99,19 @@ def test_known_spans_break_a_run():
     assert [text[s.start : s.end] for s in secrets.inefficient(text, [], encode, 2.0)] == [key]
     at = text.index(key)
     assert secrets.inefficient(text, [secrets.Span(at, 0, at + len(key))], encode, 2.0) == []
+
+
+@pytest.mark.parametrize("before, letters, least", [("", string.ascii_letters, 0.99), ("com.example.config.key=", string.ascii_letters, 0.99), ("", string.ascii_lowercase, 0.9), ("", string.ascii_uppercase, 0.9)])
+def test_random_letters(before, letters, least):
+    encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
+    rng, found = random.Random(1), 0
+    for _ in range(300):
+        text = f"see {before}{''.join(rng.choice(letters) for _ in range(24))} here"
+        found += [(s.start, s.end) for s in secrets.inefficient(text, [], encode, 2.0)] == [(4 + len(before), 28 + len(before))]
+    assert found >= least * 300
+
+
+def test_inefficient_parts_are_no_identifier():
+    encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
+    for run, wanted in (("qzxwvkjqpfgh_ZXQKWJVPQBRT", True), ("NOT_BOOL_OR_DICT_OR_FLOAT_OR_INT", False), ("internationalization_of_documents", False), ("2024-05-12-10-22-33-445", False), ("getHTTPResponseCodeFromXMLParser", False)):
+        assert bool(secrets.inefficient(f"see {run} here", [], encode, 2.0)) == wanted, run
