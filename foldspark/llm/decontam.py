@@ -6,13 +6,16 @@
    ``rare`` documents. The choice is relative to the item, so a passage planted in very many documents keeps its seeds.
 3. A second pass joins passages to items on those seeds. Hits of one item that lie close together form a window of the
    text, which is aligned with the item word by word: match 2, mismatch -1, gap -1, best local score. The score is
-   divided by the score of an exact copy; edited and paraphrased copies lose little.
+   divided by the score of an exact copy; edited and paraphrased copies lose little. A copy needs a share of
+   ``threshold`` and the score of ``LEAST_WORDS`` aligned words: the share asked for rises as items get shorter, and
+   items of ``LEAST_WORDS`` words or fewer are found as exact copies only.
 
 The items are joined as a hash table in the tasks, so they are handled in parts of at most ``PART_CHARS`` characters,
 one part after another however large the benchmark is; the text table is never shuffled.
 
 Edge cases: null and empty texts or items match nothing; an item of fewer than ``n`` words is one seed of all its words,
-found where a text holds exactly these words in a row. Repeated rows give repeated rows, ties between windows go to the
+found where a text holds exactly these words in a row, unless more than ``rare`` documents do: so short a phrase is
+common language then, and no sign of a copy. Repeated rows give repeated rows, ties between windows go to the
 earliest. Null ids are carried.
 """
 
@@ -31,6 +34,8 @@ from .scratch import cut
 #: Characters of test items that one pass holds in memory, in the driver and in each task.
 PART_CHARS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words that a copy has in common with its item at least, or all words of a shorter item.
+LEAST_WORDS = 8
 _HITS = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
 
 
@@ -67,12 +72,12 @@ class Items:
         self.low[(self.grams & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
 
     def keep(self, counts: dict[int, int], rare: int) -> None:
-        """Drop the seeds that are common for their item."""
+        """Drop the seeds that are common for their item, and common items of fewer than ``n`` words."""
         n = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
         keep = n <= rare
         for i in range(len(self.ids)):
             own = np.flatnonzero(self.items == i) if len(self.ids) < 64 else self._own(i)
-            if len(own):
+            if len(own) and len(self.words[i]) >= self.n:
                 keep[own] |= n[own] <= np.median(n[own])
         self.grams, self.items, self.places = self.grams[keep], self.items[keep], self.places[keep]
         self.filter()
@@ -160,7 +165,7 @@ def _match(items: Items, doc: np.ndarray, values: dict[int, np.ndarray], thresho
         for (i, lo, _), score, end in zip(part, scores, ends, strict=True):
             size = len(items.words[i])
             share = float(score) / (MATCH * size)
-            if share >= threshold and share > out.get(i, (0.0,))[0]:
+            if share >= max(threshold, min(LEAST_WORDS, size) / size) and share > out.get(i, (0.0,))[0]:
                 out[i] = (share, max(lo, lo + int(end) - size), lo + int(end))
     return [(i, *x) for i, x in sorted(out.items())]
 

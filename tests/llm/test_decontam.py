@@ -71,3 +71,14 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
     assert decontam.contaminated(docs.limit(0), bench).collect() == []
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
+
+
+def test_short_items_need_more_than_a_common_phrase(spark):
+    items = {1: "what is the capital of france", 2: "how many of the", 3: "the end", 4: "name one of the largest rivers that flow through central asia"}
+    clean = ["nobody knows what is the matter with him", "what is the capital of peru", "tell me how many of them came", "one of the largest dogs barked", "what is the use of all this"] * 4
+    clean += [f"text {i} goes on until the end of it" for i in range(20)]  # an item of two words is common here
+    copies = [("so What is the capital of France he asked", 1), ("name one of the largest rivers that run through central asia please", 4), ("just say how many of the", 2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *(t for t, _ in copies)])], "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(len(clean) + i, item) for i, (_, item) in enumerate(copies)}
