@@ -115,6 +115,17 @@ def align_ss(spark, d):
     return codes.select("chain_id", F.array_join(L.align_ss(F.col("codes"), F.lit(60)), "").alias("aligned"))
 
 
+@query("align_ss_whole", BASE + """,
+n as (select chain_id, count(*) as n from res group by chain_id),
+s as (select chain_id, string_agg(ss, '' order by pos) as t from res where pos % 10 <> 3 group by chain_id)
+select chain_id, rpad(coalesce(t, ''), cast(n as int), 'C') as aligned from n left join s using (chain_id)""")
+def align_ss_whole(spark, d):
+    """Every chain to its own number of residues."""
+    kept = F.when(F.col("pos") % 10 != 3, F.struct("pos", "ss"))
+    codes = residues(spark, d).groupBy("chain_id").agg(F.sort_array(F.collect_list(kept))["ss"].alias("codes"), F.count("*").cast("int").alias("n"))
+    return codes.select("chain_id", F.array_join(L.align_ss(F.col("codes"), F.col("n")), "").alias("aligned"))
+
+
 @query("hamming_distance", BASE + " select chain_id, round(1 - avg(case when pred = truth then 1.0 else 0.0 end), 9) as distance from res group by chain_id")
 def hamming_distance(spark, d):
     rows = residues(spark, d).groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("pos", "pred", "truth"))).alias("r"))
@@ -205,10 +216,15 @@ v as (select chain_id, pos as value from res where pos % 3 = 1),
 g as (select chain_id, "start", "end" from p where label <> -1)"""
 
 
-def _look(spark, d):
+_LOOK_WHOLE = BASE + ",\n" + runs("pred", name="p") + """,
+v as (select chain_id, pos as value from res),
+g as (select chain_id, "start", "end" from p where label <> -1)"""
+
+
+def _look(spark, d, asked="pos % 3 = 1"):
     rows = residues(spark, d)
     ranges = I.label_runs(rows.select("chain_id", "pos", F.col("pred").alias("label")), KEY).where("label <> -1")
-    return rows.where("pos % 3 = 1").select("chain_id", F.col("pos").alias("value")), ranges
+    return rows.where(asked).select("chain_id", F.col("pos").alias("value")), ranges
 
 
 @query("asof_bounds_below", _LOOK + """
@@ -225,15 +241,42 @@ def asof_bounds_above(spark, d):
     return L.asof_bounds_above(*_look(spark, d), KEY)
 
 
+@query("asof_bounds_below_whole", _LOOK_WHOLE + """
+select v.chain_id, v.value, cast(coalesce((select max("start") from g where g.chain_id = v.chain_id and g."start" <= v.value), -1) as int) as "start",
+ cast(coalesce((select max("end") from g where g.chain_id = v.chain_id and g."end" <= v.value), -1) as int) as "end" from v""")
+def asof_bounds_below_whole(spark, d):
+    return L.asof_bounds_below(*_look(spark, d, "true"), KEY)
+
+
+@query("asof_bounds_above_whole", _LOOK_WHOLE + """
+select v.chain_id, v.value, cast(coalesce((select min("start") from g where g.chain_id = v.chain_id and g."start" >= v.value), v.value) as int) as "start",
+ cast(coalesce((select min("end") from g where g.chain_id = v.chain_id and g."end" >= v.value), v.value) as int) as "end" from v""")
+def asof_bounds_above_whole(spark, d):
+    return L.asof_bounds_above(*_look(spark, d, "true"), KEY)
+
+
 @query("asof_floor", BASE + """,
 el as (select chain_id, cast((pos * 7) % 50 + 3 as int) as element, pos as idx from res where pos % 5 = 2),
 v as (select chain_id, pos as value from res where pos % 3 = 1)
 select v.chain_id, v.value, cast(max(el.element) as int) as element, cast(coalesce(arg_min(el.idx, struct_pack(a := -el.element, b := el.idx)), -1) as int) as idx
 from v left join el on el.chain_id = v.chain_id and el.element <= v.value group by v.chain_id, v.value""")
 def asof_floor(spark, d):
+    return _floor(spark, d, "pos % 3 = 1")
+
+
+@query("asof_floor_whole", BASE + """,
+el as (select chain_id, cast((pos * 7) % 50 + 3 as int) as element, pos as idx from res where pos % 5 = 2),
+v as (select chain_id, pos as value from res)
+select v.chain_id, v.value, cast(max(el.element) as int) as element, cast(coalesce(arg_min(el.idx, struct_pack(a := -el.element, b := el.idx)), -1) as int) as idx
+from v left join el on el.chain_id = v.chain_id and el.element <= v.value group by v.chain_id, v.value""")
+def asof_floor_whole(spark, d):
+    return _floor(spark, d, "true")
+
+
+def _floor(spark, d, asked):
     rows = residues(spark, d)
     elements = rows.where("pos % 5 = 2").select("chain_id", ((F.col("pos") * 7) % 50 + 3).cast("int").alias("element"), F.col("pos").alias("idx"))
-    return L.asof_floor(rows.where("pos % 3 = 1").select("chain_id", F.col("pos").alias("value")), elements, KEY)
+    return L.asof_floor(rows.where(asked).select("chain_id", F.col("pos").alias("value")), elements, KEY)
 
 
 @query("segment_of", BASE + """,
@@ -244,9 +287,24 @@ select v.chain_id, v.value, cast(coalesce((select min(seg) from sg where sg.chai
  cast(coalesce((select min(seg) from sg where sg.chain_id = v.chain_id and ord = 0 and sg.element = v.value), -1) as int) as first_seg,
  cast(coalesce((select min(seg) from lst where lst.chain_id = v.chain_id and lst.element = v.value), -1) as int) as last_seg from v""")
 def segment_of(spark, d):
+    return _segments(spark, d, "pos < 40")
+
+
+@query("segment_of_whole", BASE + """,
+sg as (select chain_id, cast(floor(pos/20) as int) as seg, pos % 20 as ord, cast(pos % 33 as int) as element from res),
+lst as (select * from (select *, max(ord) over (partition by chain_id, seg) as m from sg) where ord = m),
+v as (select distinct chain_id, pos as value from res)
+select v.chain_id, v.value, cast(coalesce((select min(seg) from sg where sg.chain_id = v.chain_id and sg.element = v.value), -1) as int) as any_seg,
+ cast(coalesce((select min(seg) from sg where sg.chain_id = v.chain_id and ord = 0 and sg.element = v.value), -1) as int) as first_seg,
+ cast(coalesce((select min(seg) from lst where lst.chain_id = v.chain_id and lst.element = v.value), -1) as int) as last_seg from v""")
+def segment_of_whole(spark, d):
+    return _segments(spark, d, "true")
+
+
+def _segments(spark, d, asked):
     rows = residues(spark, d)
     segs = rows.select("chain_id", F.floor(F.col("pos") / 20).cast("int").alias("seg"), (F.col("pos") % 20).alias("ord"), (F.col("pos") % 33).alias("element"))
-    values = rows.where("pos < 40").select("chain_id", F.col("pos").alias("value"))
+    values = rows.where(asked).select("chain_id", F.col("pos").alias("value"))
     out = L.segment_of(values, segs, KEY).withColumnRenamed("seg", "any_seg")
     for order in ("first", "last"):
         out = out.join(L.segment_of(values, segs, KEY, order).withColumnRenamed("seg", f"{order}_seg"), ["chain_id", "value"])

@@ -2,11 +2,17 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import foldspark.queries  # noqa: F401
+from foldspark import registry
+from foldspark.jobs.fixtures import residues
 from foldspark.operators import lookups
 from foldspark.schemas import K
 
+from .test_queries import SF
+
 
 def test_overlap_components_of_long_paths(spark):
     n, numbers = 200, list(range(200))
@@ -21,3 +27,14 @@ def test_overlap_components_of_long_paths(spark):
     assert {(r.component, r.member) for r in got.where("chain_id = 'B'").collect()} == {(7, 1), (3, 2)}
     left = lookups.overlap_components(clusters, K).collect()
     assert len(left) == 2 * (n + 1) and {(r.chain_id, r.component) for r in left} == {("A", 0), (None, 0)}
+
+
+@pytest.mark.parametrize("name", ["segment_of_whole", "asof_bounds_below_whole", "asof_bounds_above_whole", "asof_floor_whole"])
+def test_look_ups_ask_for_every_residue(spark, name):
+    asked = registry.QUERIES[name](spark, SF).select("chain_id", "value")
+    assert sorted(asked.collect()) == sorted(residues(spark, SF).select("chain_id", "pos").collect())
+
+
+def test_codes_are_aligned_to_the_own_length(spark):
+    want = {r.chain_id: r["count"] for r in residues(spark, SF).groupBy("chain_id").count().collect()}
+    assert {r.chain_id: len(r.aligned) for r in registry.QUERIES["align_ss_whole"](spark, SF).collect()} == want
