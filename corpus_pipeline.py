@@ -29,9 +29,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or an edited copy of one."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, cut(found.select(F.col("doc_id").alias("id")).distinct(), "leaks"))
+    """Drop documents that hold a benchmark item or an edited copy of one.
+
+    Rows are told apart by a number written with the table: ids may be missing or repeated.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    leaks = cut(found.select(F.col("doc_id").alias("id")).distinct(), "leaks")
+    return without(rows, leaks, "_row").drop("_row")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

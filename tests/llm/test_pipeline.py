@@ -76,3 +76,13 @@ def test_queries_run_over_whole_tables(spark, name):
     table = {"op1_hnsw_neighbours": None, "op3_warc_revisits": "pages", "op7_url_rules": "pages", "op6_benchmark_decontamination": None, "op9_license_windows": None}.get(name, "documents")
     n = queries.QUERIES[name](spark, SF).count()
     assert n == spark.read.parquet(f"{SF}/{table}.parquet").count() if table else n > 0
+
+
+def test_decontamination_removes_rows_not_ids(spark, tmp_path):
+    item = "seven green boats crossed the quiet harbour before the storm had reached the old town"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"look {item} there"), (None, "no passage of any kind in here"), (5, f"again {item}"), (5, "another text of the same number")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(r.text for r in left.collect()) == [rows[3][1], rows[1][1]]
