@@ -52,6 +52,15 @@ def _power(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
+def ranges_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of ``values``: differences of one prefix sum, set to the same power, mixed with the size."""
+    n = len(values)
+    sums = np.empty(n + 1, _U)
+    sums[0] = 0
+    np.cumsum(values * _power(n, _BASE), out=sums[1:])
+    return mix((sums[starts + sizes] - sums[starts]) * _power(n, _INVERSE)[starts] + sizes.astype(_U) * _STEP)
+
+
 @dataclass
 class Words:
     """Words of several texts: byte ranges in ``data``, hashes, and the first word of every text (one entry more)."""
@@ -102,11 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     full = offsets[1:][np.diff(offsets) > 0] - 1
     last[full] = word[full]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.empty(n + 1, _U)
-    sums[0] = 0
-    np.cumsum(_BYTE[low] * _power(n, _BASE), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power(n, _INVERSE)[starts]
-    hashes = mix(hashes + (ends - starts).astype(_U) * _STEP)
+    hashes = ranges_hash(_BYTE[low], starts, ends - starts)
     return Words(data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
