@@ -57,3 +57,24 @@ def test_few_and_none(spark):
 def test_plan():
     plan = ann.shard_plan({0: 5000, 1: 100, 2: 3}, 1000)
     assert {b for b, _, _ in plan} == {0, 1, 2} and max(f + p for _, f, p in plan) <= 7
+
+
+@pytest.mark.parametrize("dims", [32, 64])
+def test_recall_of_a_full_shard_without_clusters(dims):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(ann.SHARD_ROWS, dims))
+    members, tables = ann.build(x, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
+    queries = x[::40]
+    held, _ = ann.search(x, members, tables, queries, ann.BREADTH)
+    best = np.argsort(-(queries @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(held[:, :20].tolist(), best.tolist(), strict=True)]) >= 0.95
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 8 * 10)
+    monkeypatch.setattr(ann, "TOGETHER", 3)
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    vectors = {i: x[i].tolist() for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    got = found(ann.nearest(df, df.where("vec_id % 5 = 0"), k=4, shard_rows=100))
+    assert recall(got, exact(vectors, range(0, 300, 5), 4)) >= 0.98
