@@ -103,7 +103,8 @@ ORACLES["op3_warc_revisits"] = """
 with q as (select page_id, url, cast(strlen(coalesce(html, '')) as bigint) as n, sha256(coalesce(html, '')) as digest from pages),
 m as (select digest, min(page_id) as first from q where n >= 100 group by digest)
 select page_id, n as payload_bytes, q.digest as payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type,
-  case when page_id <> first then first end as refers_to, url
+  case when page_id <> first then first end as refers_to,
+  list_aggregate(list_transform(string_split(url, ''), lambda c: case when c <> '' and (ord(c) <= 32 or ord(c) = 127) then '%' || upper(lpad(to_hex(ord(c)), 2, '0')) else c end), 'string_agg', '') as url
 from q left join m on m.digest = q.digest and q.n >= 100"""
 
 ORACLES["op4_minhash_odd_sketch"] = f"""
