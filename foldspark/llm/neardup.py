@@ -9,16 +9,20 @@
 4. Connected components of the confirmed links. In buckets whose members still lie in different components, another
    round of stars follows, around a member picked by a hash that differs from bucket to bucket.
 5. Buckets that are torn even then are compared member against member across components. In small ones the sketches
-   filter inside a join, each pair in its first common bucket only. Large ones that share members are taken together,
-   cut into blocks, and two blocks are compared in a task, which lists only links that join two components. So no link
-   between two components is lost, and the pairs of a group are never listed.
+   filter inside a join, each pair in its first common bucket only. Large ones that share members are taken together.
+   The members outside the group's largest component (few, as a rule) are compared with all members, a block of each in
+   a task that holds a bounded number of shingles and lists only links that join two components. So no link between
+   two components is lost, the pairs of a group are never listed, and texts of the largest component are sent once for
+   each block of the others, not once for each block of the group.
 
 With 50 bands of 6 rows a pair of similarity 0.8 escapes every band with probability 3e-7; the sketch limit lies five
 standard deviations beside the expected distance of such a pair. Nothing is dropped, capped or sampled.
 
 Edge cases: null, empty and blank texts have no shingles, are linked with nothing and kept. Texts of fewer than ``k``
 words are one shingle. Repeated rows are in one class. A row whose id is null takes the smallest id of its class, or
-null if it has none. An empty table gives an empty result; other columns are ignored.
+null if it has none. Rows that repeat an id with another text are compared by their own texts; two groups in which the
+repeated id is the smallest have that id as component and are one. An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .scratch import cut, maybe_broadcast, small
+from .scratch import BROADCAST_BYTES, cut, maybe_broadcast
 
 BANDS, ROWS, BITS = 50, 6, 1024
 #: Rounds of stars around hashed centres.
 ROUNDS = 1
-#: Members from which a torn bucket is compared in blocks, and nodes of a block.
-LARGE, BLOCK = 64, 2048
+#: Members from which a torn bucket is compared in blocks, and shingles of a block (one text at least).
+LARGE, BLOCK = 64, 200_000
+#: Bytes of a row of group members (id, component, group, block and sketch), for the broadcast bound.
+MEMBER_BYTES = 256
 _SIG = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
 
 
@@ -71,7 +77,9 @@ def sketch_limit(similarity: float, samples: int, bits: int = BITS) -> int:
     return int(bits * (1 - left) / 2 + 5 * deviation) + 1
 
 
-def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(
+    docs: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set (set_a, set_b), band keys and odd sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +155,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int,
     return cut(_sized(rows.mapInArrow(run, "u bigint, v bigint").distinct(), n), "links")
 
 
-def _links(key: tuple, rows: pd.DataFrame, words: int, num: int, den: int, limit: int) -> pd.DataFrame:
-    """Confirmed links between the nodes of blocks i and j of a group, one for each two components that they join."""
-    _, i, j = key
-    rows = rows.drop_duplicates("node").sort_values("node").reset_index(drop=True)
+def _links(rows: pd.DataFrame, words: int, num: int, den: int, limit: int) -> pd.DataFrame:
+    """Confirmed links between the rows marked ``minor`` and all rows, one for each two components that they join."""
+    rows = rows.sort_values(["node", "minor"]).drop_duplicates(["node", "minor"]).reset_index(drop=True)
     sets: list[np.ndarray] = []
     for _, _, values, at in W.shingle_sets(pa.array(rows["text"], pa.string()), words):
         sets += np.split(values, at[1:-1])
     sketch = np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-    node, comp, block = (rows[c].to_numpy() for c in ("node", "comp", "block"))
+    node, comp, minor = (rows[c].to_numpy() for c in ("node", "comp", "minor"))
     root = {c: c for c in comp.tolist()}
 
     def find(c: int) -> int:
@@ -165,8 +172,8 @@ def _links(key: tuple, rows: pd.DataFrame, words: int, num: int, den: int, limit
         return c
 
     out = []
-    for a in np.flatnonzero(block == i).tolist():
-        near = np.flatnonzero((block == j) & (comp != comp[a]) & ((node > node[a]) if i == j else True))
+    for a in np.flatnonzero(minor).tolist():
+        near = np.flatnonzero(~minor & (comp != comp[a]))
         near = near[np.bitwise_count(sketch[near] ^ sketch[a]).sum(axis=1) <= limit]
         near = near[[find(c) != find(comp[a]) for c in comp[near].tolist()]] if len(near) else near
         for at in range(0, len(near), 256):
@@ -228,13 +235,14 @@ def near_duplicates(
     num, den = similarity
     limit = sketch_limit(num / den, bands * rows)
     sig = cut(signatures(docs, words, bands, rows, id_col, text_col), "signatures")
-    classes = sig.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = sig.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
+    classes = classes.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = cut(classes, "classes")
-    nodes = classes.where("node is not null").select("node", "sketch")
+    nodes = classes.where("node is not null").select("node", "sketch", "n_shingles")
 
     def near(pairs: DataFrame, rows: int) -> DataFrame:
         """Pairs within the sketch limit, of at most ``rows``."""
-        u, v = nodes.toDF("u", "sketch_u"), nodes.toDF("v", "sketch_v")
+        u, v = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
         pairs = _sized(_sized(pairs, rows).join(u, "u"), rows)
         return _sized(pairs.join(v, "v"), rows).where(_apart("sketch_u", "sketch_v", limit)).select("u", "v")
 
@@ -251,16 +259,29 @@ def near_duplicates(
     def within(torn: DataFrame) -> DataFrame:
         """Links (u, v) between components that share a large bucket, enough of them to join these components."""
         large = torn.where(F.col("n") >= LARGE)
-        group = components(large.select(F.col("node").alias("u"), F.col("lo").alias("v")))
-        members = _sized(large.select("node", "comp").distinct().join(group.withColumnRenamed("comp", "group"), "node"), large.count())
-        sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        members = members.join(sizes, "group").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        group = components(large.select(F.col("node").alias("u"), F.col("lo").alias("v"))).withColumnRenamed("comp", "group")
+        members = large.select("node", "comp").distinct().join(group, "node").join(nodes, "node")
+        members = cut(_sized(members, large.count()), "members")
+        sizes = members.groupBy("group", "comp").agg(F.sum("n_shingles").alias("n"))
+        most = F.max(F.struct("n", F.col("comp").alias("major"))).alias("m")
+        sizes = sizes.groupBy("group").agg(F.sum("n").alias("every"), most)
+        blocks = [F.ceil(n / BLOCK).cast("int") for n in (F.col("every"), F.col("every") - F.col("m.n"))]
+        sizes = sizes.select("group", "m.major", blocks[0].alias("blocks"), blocks[1].alias("minors"))
+        members = members.join(sizes, "group").where("minors > 0").drop("n_shingles")
+        hashed = F.xxhash64("node")
+        own = F.when(F.col("comp") != F.col("major"), F.pmod(hashed, "minors").cast("int"))
+        members = members.withColumns({"j": F.pmod(hashed, "blocks").cast("int"), "own": own}).drop("major")
         members = cut(members, "blocks")
         texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text"))
-        rows = texts.join(members if not small(members) else F.broadcast(members), "node")
-        rows = rows.select("group", "block", "node", "comp", "sketch", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-        rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-        found = rows.groupBy("group", "i", "j").applyInPandas(lambda key, block: _links(key, block, words, num, den, limit), "u bigint, v bigint")
+        rows = texts.join(maybe_broadcast(members, BROADCAST_BYTES // MEMBER_BYTES), "node")
+        # A member of block j meets every block i of the others; one of the others takes its block i to every j.
+        to = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(i.alias("i"), F.col("j"), F.lit(False).alias("minor")))
+        by = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("minor")))
+        sent = F.explode(F.when(F.col("own").isNull(), to).otherwise(F.concat(to, by))).alias("s")
+        rows = rows.select("group", "node", "comp", "sketch", "text", sent).select("*", "s.*").drop("s")
+        found = rows.groupBy("group", "i", "j").applyInPandas(
+            lambda block: _links(block, words, num, den, limit), "u bigint, v bigint"
+        )
         return cut(found.distinct(), "within")
 
     keyed = classes.where("node is not null").select(F.explode("bands").alias("key"), "node")
@@ -314,17 +335,38 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(maybe_broadcast(ids), docs[id_col] == ids["id"], "left_anti")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every group of near-duplicates, with all columns: the row of the smallest id, one if it repeats.
+def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and its name: the ids, or numbers written with the rows where
+    an id is null or repeats."""
+    n = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    if n.where("id is null or n > 1").isEmpty():
+        return docs, id_col
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+
+
+def deduplicate(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of every group of near-duplicates, with all columns: a row of the smallest id (nulls come last).
 
-    Rows without id are outside the comparison; of those with equal texts one stays.
+    Rows are told apart one by one, so rows without id and other texts under a repeated id take part like all others.
+    Rows without words are linked with nothing and stay. An empty table gives an empty result.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col=id_col, text_col=text_col)
-    found = cut(found, "groups")
-    dropped = cut(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
-    repeated = cut(found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
-    named = without(docs.where(F.col(id_col).isNotNull()), dropped, id_col)
-    if not repeated.isEmpty():
-        again = named.join(maybe_broadcast(repeated), named[id_col] == repeated["id"], "left_semi").dropDuplicates([id_col])
-        named = without(named, repeated, id_col).unionByName(again)
-    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    rows, key = _numbered(docs, id_col)
+    found = near_duplicates(rows, words, similarity, id_col=key, text_col=text_col)
+    if key == id_col:
+        dropped = found.where("not kept").select(F.col("doc_id").alias("id"))
+        return without(rows, cut(dropped, "dropped"), key)
+    found = cut(found.select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    many = cut(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "many")
+    found = found.join(maybe_broadcast(many), "component_id", "left_semi")
+    named = found.join(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id")), "row")
+    named = named.select("component_id", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("r"))
+    named = cut(named, "named")
+    first = named.groupBy("component_id").agg(F.min("r").alias("first"))
+    dropped = named.join(first, "component_id").where("r.row <> first.row").select(F.col("r.row").alias("id"))
+    return without(rows, cut(dropped, "dropped"), key).drop(key)

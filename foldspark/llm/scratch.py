@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one 64-bit key that may be broadcast (about 16 MB); above it a shuffled join is used.
+#: Bytes of a table that may be broadcast, and so many rows of one 64-bit key; above it a shuffled join is used.
+BROADCAST_BYTES = 16_000_000
 BROADCAST_ROWS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder; only where none is configured (tests, one machine) a local one is set."""
+    """The shared folder. Where none is configured a local one is set, but on one machine only: a cluster's executors
+    would write where nobody else can read."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,11 +36,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most ``rows`` rows. Reads only its footers."""
-    return df.count() <= rows
-
-
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written key table if its counted size is bounded; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if small(df, rows) else df
+    """Broadcast a written key table if it has at most ``rows`` rows (read off its footers); else the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df

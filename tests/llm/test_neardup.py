@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from foldspark.llm import neardup
 from foldspark.llm.neardup import deduplicate, near_duplicates, sketch_limit, sketch_similarity
 
 WORDS = [a + b for a in ("ba", "ko", "mi", "tu", "re", "so", "la", "ne") for b in ("x", "n", "r", "st", "ld", "m")]
@@ -66,7 +67,10 @@ def test_chain_of_copies(spark):
     assert got == {i: c for i, (_, c) in brute(rows, 2, 80, 100).items()} and set(got.values()) == {0}
 
 
-def test_group_torn_around_its_smallest_node(spark):
+@pytest.mark.parametrize("large, block", [(64, 200_000), (3, 700)])
+def test_group_torn_around_its_smallest_node(spark, monkeypatch, large, block):
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(100)]
     rows = []
@@ -85,7 +89,31 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (-1, 3, False), (3, 3, True), (5, 3, False), (5, 3, False)]
     assert near_duplicates(docs.limit(0), words=2).collect() == []
     kept = deduplicate(docs.withColumn("id", F.lit(1)), words=2)
-    assert kept.columns == ["doc_id", "text", "id"] and sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "a b c"), (-1, "z y x"), (3, "A B C")]
+    assert kept.columns == ["doc_id", "text", "id"] and sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "z y x"), (3, "A B C")]
+    assert deduplicate(docs.limit(0), words=2).collect() == []
+
+
+def test_deduplication_tells_rows_apart(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "p q r s"), (2, None), (3, "p q r s"), (None, "p q r s"), (None, ""), (None, "u v w x"), (4, " ")]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id bigint, _n string").repartition(3)
+    kept = deduplicate(docs, words=2).collect()
+    want = [(1, "a b c d"), (2, "p q r s"), (2, None), (None, ""), (None, "u v w x"), (4, " ")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, want))
+
+
+def test_rows_that_share_an_id_go_by_their_own_texts(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "p q r s"), (3, "p q r s")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) + str(rng.randrange(10**5)) for _ in range(120_000)]
+    near = [w if k % 100 else "x" for k, w in enumerate(base)]
+    rows = [(7, " ".join(base)), (8, " ".join(near)), (9, " ".join(base[::-1])), (10, "y" * 1_000_000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {7: 7, 8: 7, 9: 9, 10: 10}
 
 
 def test_sketch_distance():
