@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +73,17 @@ def patterned(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, s.kind))
 
 
+def joined(spans: list[Span]) -> list[tuple[int, int, int]]:
+    """The union of ``spans``, which are in order of their starts: (start, end, kind of the first) of each piece."""
+    out: list[list[int]] = []
+    for s in spans:
+        if out and s.start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], s.end)
+        else:
+            out.append([s.start, s.end, s.kind])
+    return [tuple(x) for x in out]
+
+
 def stretches(run: str, encode, max_ratio: float) -> Iterator[tuple[int, int]]:
     """Stretches of whole parts of ``run`` that have fewer than ``max_ratio`` characters a token, the worst of each
     group of neighbours that stays below it. Short plain parts count for nothing and do not start or end a stretch,
@@ -107,8 +120,11 @@ def stretches(run: str, encode, max_ratio: float) -> Iterator[tuple[int, int]]:
 def inefficient(text: str, taken: list[Span], encode, max_ratio: float) -> list[Span]:
     """Spans of stretches with few characters a token, beside the spans in ``taken``."""
     found = []
+    held = joined(taken)
+    stops, at_span = [end for _, end, _ in held], 0
     for m in RUN.finditer(text):
-        breaks = [(s.start, s.end) for s in taken if s.start < m.end() and m.start() < s.end]
+        at_span = bisect_right(stops, m.start(), at_span)
+        breaks = [(a, b) for a, b, _ in takewhile(lambda x: x[0] < m.end(), islice(held, at_span, None))]
         breaks += [d.span() for d in DIGEST.finditer(text, m.start(), m.end())]
         at = m.start()
         for stop, after in [*sorted(breaks), (m.end(), m.end())]:
@@ -119,7 +135,15 @@ def inefficient(text: str, taken: list[Span], encode, max_ratio: float) -> list[
     return found
 
 
-def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float = 2.0, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+def find_secrets(
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    max_ratio: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    redact: bool = False,
+) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of every row; ``redact`` adds ``redacted``.
 
     ``spans`` lists kind:start:end by start and kind, comma-joined; ``base_sha256`` is the digest of that list without
@@ -138,7 +162,9 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: floa
                 spans = sorted(base + extra, key=lambda s: (s.start, s.kind))
                 kinds = [s.kind for s in spans]
                 digest = hashlib.sha256(",".join(map(str, base)).encode()).hexdigest()
-                rows.append((*(kinds.count(k) for k in range(3)), digest, ",".join(map(str, spans)), kinds.count(3), replaced(text, spans) if redact and spans else None))
+                clean = replaced(text, spans) if redact and spans else None
+                counts = (kinds.count(k) for k in range(3))
+                rows.append((*counts, digest, ",".join(map(str, spans)), kinds.count(3), clean))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             types = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64(), pa.string()]
             arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
@@ -153,19 +179,20 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: floa
 def replaced(text: str, spans: list[Span]) -> str:
     """``text`` with the union of ``spans`` replaced by the kind of the first span of each piece."""
     out, at = [], 0
-    merged: list[list] = []
-    for s in spans:
-        if merged and s.start < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], s.end)
-        else:
-            merged.append([s.start, s.end, KINDS[s.kind]])
-    for start, end, kind in merged:
-        out += [text[at:start], f"[{kind}]"]
+    for start, end, kind in joined(spans):
+        out += [text[at:start], f"[{KINDS[kind]}]"]
         at = end
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float = 2.0, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redact_secrets(
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    max_ratio: float = 2.0,
+    text_col: str = "text",
+    chars_col: str | None = "n_chars",
+) -> DataFrame:
     """``docs`` with every secret replaced by its kind in brackets, and the number of characters set anew there."""
     place = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None

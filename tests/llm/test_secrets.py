@@ -115,3 +115,40 @@ def test_inefficient_parts_are_no_identifier():
     encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
     for run, wanted in (("qzxwvkjqpfgh_ZXQKWJVPQBRT", True), ("NOT_BOOL_OR_DICT_OR_FLOAT_OR_INT", False), ("internationalization_of_documents", False), ("2024-05-12-10-22-33-445", False), ("getHTTPResponseCodeFromXMLParser", False)):
         assert bool(secrets.inefficient(f"see {run} here", [], encode, 2.0)) == wanted, run
+
+
+def test_random_spans_equal_brute_force():
+    """Every run is cut at its separators; the best stretch is found by trying all pairs of parts."""
+    encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
+    rng = random.Random(7)
+    for _ in range(300):
+        parts = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(5, 30))) for _ in range(rng.randrange(1, 5))]
+        run = "/".join(parts)
+        if any(secrets.SHORT.fullmatch(p) or p.isalpha() and p.isupper() for p in parts):
+            continue
+        excess = [2.0 * len(encode(p)) - len(p) for p in parts]
+        found = list(secrets.stretches(run, encode, 2.0))
+        for a, b in found:
+            own = [i for i in range(len(parts)) if a <= sum(len(p) + 1 for p in parts[:i]) < b]
+            assert run[a:b] == "/".join(parts[i] for i in own) and sum(excess[i] for i in own) > 0
+        inside = {i for a, b in found for i in range(len(parts)) if a <= sum(len(p) + 1 for p in parts[:i]) < b}
+        assert all(e <= 0 for i, e in enumerate(excess) if i not in inside)
+
+
+def test_very_long_texts():
+    encode = secrets.encoder(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary
+    assert secrets.inefficient("a" * 10_000 + "12345X", [], encode, 2.0) is not None
+    key = "xJ4k9QzT7wLp2VbN8sRf3HcYdG6mA1uE"
+    text = f"plain words, token = abcdefgh1234 and {key}; " * 20_000
+    base = secrets.patterned(text)
+    spans = secrets.inefficient(text, base, encode, 2.0)
+    assert len(text) > 1_000_000 and len(base) == 20_000 and len(spans) == 20_000
+    assert secrets.replaced(text, sorted(base + spans, key=lambda s: s.start)).count("[random]") == 20_000
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh1", "s", "r")], "doc_id bigint, text string, spans string, redacted string")
+    row = secrets.find_secrets(docs, VOCABULARY, public_tokenizers.PATTERN, redact=True).collect()[0]
+    assert row.spans == "assign:0:17" and row.redacted == "[assign]"
+    kept = secrets.redact_secrets(docs, VOCABULARY, public_tokenizers.PATTERN).collect()[0]
+    assert (kept.text, kept.spans, kept.redacted) == ("[assign]", "s", "r")
