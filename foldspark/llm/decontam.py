@@ -10,8 +10,11 @@
    ``threshold`` and the score of ``LEAST_WORDS`` aligned words: the share asked for rises as items get shorter, and
    items of ``LEAST_WORDS`` words or fewer are found as exact copies only.
 
+Windows are aligned together up to ``CELLS`` words; items of more than ``LONG`` words are aligned in a band of
+``LONG // 2`` diagonals beside those of their seeds, so memory stays bounded however long items and texts are.
+
 The items are joined as a hash table in the tasks, so they are handled in parts of at most ``PART_CHARS`` characters,
-one part after another however large the benchmark is; the text table is never shuffled.
+one part after another however large the benchmark is; every part reads the texts twice, and they are never shuffled.
 
 Edge cases: null and empty texts or items match nothing; an item of fewer than ``n`` words is one seed of all its words,
 found where a text holds exactly these words in a row, unless more than ``rare`` documents do: so short a phrase is
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ PART_CHARS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words that a copy has in common with its item at least, or all words of a shorter item.
 LEAST_WORDS = 8
+#: Words of all windows that are aligned together, and of the longest item that is aligned with its whole window.
+CELLS, LONG = 1 << 20, 2048
 _HITS = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
 
 
@@ -137,6 +143,28 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def align_banded(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+    """``align`` of one item with one text over the diagonals (place in the text - place in the item) ``lo`` to ``hi``;
+    one numpy step for each word of the item, on an array as wide as the band."""
+    width = hi - lo + 1
+    above = np.zeros(width + 1, np.int32)  # the last place stands for what lies beyond the band
+    slope = np.arange(width, dtype=np.int32) * GAP
+    best, end = 0, 0
+    for r in range(len(item)):
+        a, b = max(0, -(r + lo)), min(width, len(text) - r - lo)
+        now = np.zeros(width + 1, np.int32)
+        if a < b:
+            step = np.where(text[r + lo + a : r + lo + b] == item[r], MATCH, MISMATCH).astype(np.int32)
+            row = np.maximum(np.maximum(above[a:b] + step, above[a + 1 : b + 1] + GAP), 0)
+            row = np.maximum.accumulate(row - slope[a:b]) + slope[a:b]
+            now[a:b] = row
+            top = int(row.argmax())
+            if row[top] > best:
+                best, end = int(row[top]), r + lo + a + top + 1
+        above = now
+    return best, end
+
+
 def _match(items: Items, doc: np.ndarray, values: dict[int, np.ndarray], threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, word after the last) of the items found in one text, best window of each."""
     found: dict[int, list[int]] = {}
@@ -149,19 +177,25 @@ def _match(items: Items, doc: np.ndarray, values: dict[int, np.ndarray], thresho
     tasks = []
     for i, starts in found.items():
         size = len(items.words[i])
-        slack = max(4, size // 2)
+        slack = max(4, min(size, LONG) // 2)
         lo = hi = None
         for start in sorted(set(starts)):
-            if lo is None or start - slack > hi or hi - lo > 8 * size + 2 * slack:  # a new window overlaps the last
-                if lo is not None:
+            wide = 8 * min(size, LONG) + 2 * slack
+            if lo is None or start - slack > (hi if size <= LONG else last + slack) or start - lo > wide:
+                if lo is not None:  # a new window overlaps the last
                     tasks.append((i, lo, hi))
                 lo = start - slack
-            hi = start + size + slack
+            hi, last = start + size + slack, start
         tasks.append((i, lo, hi))
     out: dict[int, tuple[float, int, int]] = {}
-    for at in range(0, len(tasks), 64):
-        part = [(i, max(lo, 0), min(hi, len(doc))) for i, lo, hi in tasks[at : at + 64]]
-        scores, ends = align([items.words[i] for i, _, _ in part], [doc[lo:hi] for _, lo, hi in part])
+    for part in _together(tasks, items, len(doc)):
+        i, lo, hi = part[0]
+        size = len(items.words[i])
+        if size > LONG:
+            score, end = align_banded(items.words[i], doc, lo, hi - size)
+            scores, ends, part = [score], [end], [(i, 0, 0)]
+        else:
+            scores, ends = align([items.words[i] for i, _, _ in part], [doc[lo:hi] for _, lo, hi in part])
         for (i, lo, _), score, end in zip(part, scores, ends, strict=True):
             size = len(items.words[i])
             share = float(score) / (MATCH * size)
@@ -170,6 +204,24 @@ def _match(items: Items, doc: np.ndarray, values: dict[int, np.ndarray], thresho
     return [(i, *x) for i, x in sorted(out.items())]
 
 
+def _together(tasks: list[tuple[int, int, int]], items: Items, n: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows (item, first word, word after the last) in lists that are padded to ``CELLS`` words at most; a window of
+    a long item is alone, with its diagonals."""
+    held, widest = [], 0
+    for i, lo, hi in tasks:
+        if len(items.words[i]) > LONG:
+            yield [(i, lo, hi)]
+            continue
+        lo, hi = max(lo, 0), min(hi, n)
+        widest = max(widest, hi - lo, len(items.words[i]))
+        if held and (len(held) + 1) * widest > CELLS:
+            yield held
+            held, widest = [], max(hi - lo, len(items.words[i]))
+        held.append((i, lo, hi))
+    if held:
+        yield held
+
+
 def parts(benchmark: DataFrame, id_col: str, text_col: str, chars: int = PART_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in lists of about ``chars`` characters, split by a hash of the row."""
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
@@ -180,48 +232,101 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str, chars: int = PART_CH
         yield [(r.id, r.text) for r in own.orderBy("id", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, score (1 for an exact copy), and the words of the text where the match lies."""
-    spark = docs.sparkSession
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
+def prepared(
+    docs: DataFrame, benchmark: DataFrame, n: int, rare: int, text_col: str, item_id: str, item_text: str
+) -> Iterator[Broadcast]:
+    """The items of each part with the seeds that they keep, broadcast; ``docs`` is counted for each part."""
+    chosen = docs.select(F.col(text_col).cast("string").alias("text"))
     for rows in parts(benchmark, item_id, item_text):
         items = Items(rows, n)
 
         def count(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 grams = []
-                for row, end, data, offsets in W.slices(batch.column(1)):
+                for row, _, data, offsets in W.slices(batch.column(0)):
                     w = W.words(data, offsets)
                     for size in items.sizes:
                         values, at = _grams(w, size)
                         hit = items.hits(values)
                         doc = np.searchsorted(at, hit, "right") - 1
                         if len(hit):
-                            grams.append(np.unique(np.stack([doc.astype(np.uint64) + np.uint64(row), values[hit]]), axis=1)[1])
-                found, times = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                            pairs = np.stack([doc.astype(np.uint64) + np.uint64(row), values[hit]])
+                            grams.append(np.unique(pairs, axis=1)[1])
+                every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+                found, times = np.unique(every, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["gram", "n"])
 
         counts = chosen.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
         items.keep({r.gram: r.n for r in counts.collect()}, rare)
-        held = spark.sparkContext.broadcast(items)
+        yield docs.sparkSession.sparkContext.broadcast(items)
+
+
+def matches(items: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row, item, score, first word, word after the last) of the items found in the texts of ``column``."""
+    for row, _, data, offsets in W.slices(column):
+        w = W.words(data, offsets)
+        grams = {size: _grams(w, size) for size in items.sizes}
+        hit = {int(d) for values, at in grams.values() for d in np.searchsorted(at, items.hits(values), "right") - 1}
+        for d in sorted(hit):
+            own = {size: values[at[d] : at[d + 1]] for size, (values, at) in grams.items()}
+            for found in _match(items, w.hashes[w.rows[d] : w.rows[d + 1]], own, threshold):
+                yield row + d, *found
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = 3,
+    threshold: float = 0.4,
+    rare: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """doc_id, item_id, score (1 for an exact copy), and the words of the text where the match lies."""
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for held in prepared(docs, benchmark, n, rare, text_col, item_id, item_text):
 
         def match(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = held.value
             for batch in batches:
-                found = []
-                for row, end, data, offsets in W.slices(batch.column(1)):
-                    w = W.words(data, offsets)
-                    grams = {size: _grams(w, size) for size in items.sizes}
-                    hit = {int(d) for size, (values, at) in grams.items() for d in np.searchsorted(at, items.hits(values), "right") - 1}
-                    for d in sorted(hit):
-                        own = {size: values[at[d] : at[d + 1]] for size, (values, at) in grams.items()}
-                        for i, score, lo, hi in _match(items, w.hashes[w.rows[d] : w.rows[d + 1]], own, threshold):
-                            found.append((batch.column(0)[row + d].as_py(), items.ids[i], score, lo, hi))
+                found = [
+                    (batch.column(0)[row].as_py(), items.ids[i], *where)
+                    for row, i, *where in matches(items, batch.column(1), threshold)
+                ]
                 columns = list(zip(*found, strict=True)) if found else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
         found = chosen.mapInArrow(match, _HITS)
         out = found if out is None else out.unionByName(found)
     return cut(out, "contaminated")
+
+
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = 3,
+    threshold: float = 0.4,
+    rare: int = 10,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; each row is judged by its own text, whatever its id. Between
+    two parts of the benchmark the rows that are left are written to the shared folder."""
+    place = docs.columns.index(text_col)
+    out = None
+    for held in prepared(docs, benchmark, n, rare, text_col, item_id, item_text):
+
+        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in matches(held.value, batch.column(place), threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = (docs if out is None else cut(out, "clean")).mapInArrow(clean, docs.schema)
+    return out

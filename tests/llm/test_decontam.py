@@ -28,6 +28,53 @@ def test_alignment_equals_brute_force():
     assert [s / (2 * len(i)) for s, i in zip(scores, items, strict=True)] == [brute_score(i.tolist(), w.tolist()) for i, w in zip(items, windows, strict=True)]
 
 
+def test_banded_alignment_equals_the_whole_in_a_wide_band():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        item, text = (rng.integers(0, 5, rng.integers(1, n)).astype(np.uint64) for n in (30, 60))
+        score, end = decontam.align_banded(item, text, -len(item), len(text))
+        scores, ends = decontam.align([item], [text])
+        assert (score, end if score else 0) == (scores[0], ends[0])
+
+
+def test_long_items_and_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    item = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(6000)]
+    copy = [w for k, w in enumerate(item) if k % 50] + ["end"]
+    other = [rng.choice(WORDS) for _ in range(150_000)]
+    rows = [(1, other + copy), (2, other), (3, item[:1500]), (4, item)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(docs, bench).collect()}
+    assert set(got) == {1, 4} and got[4].score == 1 and got[1].score == pytest.approx((2 * 5880 - 119) / 12000)
+    assert (got[4].start_word, got[4].end_word) == (0, 6000) and got[1].end_word == 150_000 + 5880
+
+
+def test_few_cells_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 40, 400)
+    items = decontam.Items([(i, " ".join(f"w{x}" for x in words[9 * i : 9 * i + 5 + i])) for i in range(20)], 3)
+    column = decontam.pa.array([" ".join(f"w{x}" for x in words)])
+    whole = list(decontam.matches(items, column, 0.4))
+    monkeypatch.setattr(decontam, "CELLS", 50)
+    assert list(decontam.matches(items, column, 0.4)) == whole and len(whole) == 20
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine"
+    rows = [(1, item, 0), (1, "clean text", 1), (None, f"so {item} end", 2), (None, None, 3), (2, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, item_id int")
+    bench = spark.createDataFrame([(1, item), (2, "not here at all")], "item_id bigint, text string")
+    for chars in (4_000_000, 20):
+        monkey = pytest.MonkeyPatch()
+        monkey.setattr(decontam.parts, "__defaults__", (chars,))
+        clean = decontam.without_contaminated(docs, bench)
+        assert clean.columns == docs.columns and sorted(r.item_id for r in clean.collect()) == [1, 3, 4]
+        monkey.undo()
+    assert decontam.without_contaminated(docs.limit(0), bench).collect() == []
+    assert decontam.without_contaminated(docs, bench.limit(0)).count() == 5
+
+
 def edited(rng, words, share):
     out = [rng.choice(WORDS) if rng.random() < share else w for w in words]
     out.insert(len(out) // 2, "extra")
