@@ -2,20 +2,22 @@
 
 A rule is a host with an optional path (``net/``, ``example.net/en/``; it fits the host and its subdomains) or a regular
 expression over the url in lower case. Its literal tokens are the runs of a-z0-9 that any fitting url must contain as
-whole tokens. How often each of them occurs is counted over all urls; the rarest one is the rule's key. Urls are
-exploded into their distinct tokens, joined to the keys, and the fetched rules' patterns run in the JVM. Rules without a
-literal token are fetched by every url.
+whole tokens; they are read off the rule, a pattern's off its syntax tree. How often each of them occurs is counted over
+all urls; the rarest one is the rule's key. Urls are exploded into their distinct tokens, joined to the keys, and the
+fetched rules' patterns run in the JVM. Rules without a literal token are tried on every url in the row's own pass.
 
 Verdict: the action of the longest fitting host rule; else ``block`` if a pattern rule fits; else ``allow``.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, and are allowed unless a pattern fits. Rows are
-kept apart by a row number, so repeated rows, null ids and ties stay. An empty table gives an empty result.
+kept apart by a row number, so repeated rows, null ids and ties stay. An empty table gives an empty result. Very long urls
+are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +47,87 @@ def host_rule(text: str, action: str) -> Rule:
     return Rule(text, action, rf"^(?:[^/]*\.)?{re.escape(host)}\x00{re.escape(path)}", tuple(tokens), "host")
 
 
-def pattern_rule(pattern: str, tokens: tuple[str, ...]) -> Rule:
-    """A regular expression that blocks; ``tokens`` are whole tokens of every url that it fits."""
-    return Rule(pattern, "block", pattern, tokens, "pattern")
+def _sign(node: tuple, first: bool) -> bool | None:
+    """Whether all that a part of a pattern fits starts (``first``) or ends with a character outside a-z0-9: None if it
+    fits the empty text only, or is an end of the text."""
+    kind, value = str(node[0]), node[1]
+    if kind == "LITERAL":
+        return not re.match("[a-z0-9]", chr(value))
+    if kind == "IN":
+        return all(str(k) == "LITERAL" and not re.match("[a-z0-9]", chr(v)) for k, v in value)
+    if kind == "AT":
+        return None if str(value) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END", "AT_END_STRING") else False
+    if kind == "SUBPATTERN":
+        return _edge(list(value[-1]), first)
+    if kind == "BRANCH":
+        found = [_edge(list(x), first) for x in value[1]]
+        return None if all(f is None for f in found) else all(f is not False for f in found)
+    return False
+
+
+def _edge(nodes: list[tuple], first: bool) -> bool | None:
+    """``_sign`` of a sequence; parts that may be left out count only if they agree with what lies beyond."""
+    for node in nodes if first else reversed(nodes):
+        if str(node[0]) == "MAX_REPEAT" and node[1][0] == 0:
+            if _edge(list(node[1][2]), first) is False:
+                return False
+            continue
+        found = _sign(node, first)
+        if found is not None or str(node[0]) == "AT":
+            return found
+    return None
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Runs of a-z0-9 that every fitting text has as whole tokens: literals of the pattern's outermost sequence with a
+    sign, or an end of the text, on both sides."""
+    nodes = list(_parser.parse(pattern))
+    out, at = [], 0
+    while at < len(nodes):
+        stop = at
+        while stop < len(nodes) and str(nodes[stop][0]) == "LITERAL" and re.match("[a-z0-9]", chr(nodes[stop][1])):
+            stop += 1
+        if stop > at:
+            before, after = nodes[:at], nodes[stop:]
+            fixed = (before and str(before[-1][0]) == "AT" or _edge(before, False)) if before else False
+            closed = (after and str(after[0][0]) == "AT" or _edge(after, True)) if after else False
+            if fixed and closed:
+                out.append("".join(chr(v) for _, v in nodes[at:stop]))
+        at = max(stop, at + 1)
+    return tuple(out)
+
+
+def pattern_rule(pattern: str) -> Rule:
+    """A regular expression that blocks."""
+    return Rule(pattern, "block", pattern, literal_tokens(pattern), "pattern")
+
+
+def parse_rules(text: str) -> list[Rule]:
+    """Rules of a text, one a line: ``block`` or ``allow`` and a host with its path, or ``block`` and ``/pattern/``.
+    Blank lines and lines that start with # are skipped."""
+    out = []
+    for line in filter(None, map(str.strip, text.splitlines())):
+        if line.startswith("#"):
+            continue
+        action, _, rule = line.partition(" ")
+        rule = rule.strip()
+        if action not in ("block", "allow") or not rule:
+            raise ValueError(f"not a rule: {line!r}")
+        if rule.startswith("/") and rule.endswith("/") and len(rule) > 1:
+            if action != "block":
+                raise ValueError(f"patterns can only block: {line!r}")
+            out.append(pattern_rule(rule[1:-1]))
+        else:
+            out.append(host_rule(rule, action))
+    return out
 
 
 #: The default pattern rules, for farms of links, pills and casinos.
 PATTERNS = (
-    pattern_rule(r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    pattern_rule(r"://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    pattern_rule(r"://([^/?#]*[.-])?(?:online-)?casino[.-]", ("casino",)),
-    pattern_rule(r"[?&]utm_source=spam(?:&|#|$)", ("utm", "source", "spam")),
+    pattern_rule(r"://([^/?#]*\.)?spam-farm\."),
+    pattern_rule(r"://([^/?#]*\.)?cheap-pills\."),
+    pattern_rule(r"://([^/?#]*[.-])?(?:online-)?casino[.-]"),
+    pattern_rule(r"[?&]utm_source=spam(?:&|#|$)"),
 )
 
 
@@ -72,27 +144,51 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def filter_urls(pages: DataFrame, host_rules: list[Rule], patterns: list[Rule] = PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(
+    pages: DataFrame,
+    host_rules: list[Rule],
+    patterns: list[Rule] = PATTERNS,
+    id_col: str = "page_id",
+    url_col: str = "url",
+) -> DataFrame:
     """page_id, host, path, rule (text of the host rule that decided, or null), verdict, fitting pattern or null."""
     spark = pages.sparkSession
     url = F.col(url_col).cast("string")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    number, page = F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id")
+    rows = pages.select(number, page, url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = cut(rows, "urls").withColumn("tokens", _tokens(F.coalesce("url", F.lit(""))))
-    rules = [*host_rules, *patterns]
+    rules = list(enumerate([*host_rules, *patterns]))
     schema = "number int, text string, action string, pattern string, kind string, tokens array<string>"
-    table = spark.createDataFrame([(i, r.text, r.action, r.pattern, r.kind, list(r.tokens)) for i, r in enumerate(rules)], schema)
+    listed = [(i, r.text, r.action, r.pattern, r.kind, list(r.tokens)) for i, r in rules if r.tokens]
+    table = spark.createDataFrame(listed, schema)
     wanted = table.select(F.explode("tokens").alias("token")).distinct()
     bound = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda df: df)
-    counts = rows.select(F.explode("tokens").alias("token")).join(bound(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
-    keyed = table.select("*", F.explode_outer("tokens").alias("token")).join(counts, "token", "left")
+    counts = rows.select(F.explode("tokens").alias("token")).join(bound(wanted), "token")
+    counts = counts.groupBy("token").agg(F.count("*").alias("n"))
+    keyed = table.select("*", F.explode("tokens").alias("token")).join(counts, "token", "left")
     rarest = keyed.groupBy("number").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("key"))
-    index = cut(table.drop("tokens").join(rarest, "number"), "rules").withColumn("key", F.coalesce("key", F.lit("")))
-    fetched = rows.withColumn("key", F.explode(F.array_append("tokens", F.lit("")))).join(bound(index), "key")
+    index = cut(table.drop("tokens").join(rarest, "number"), "rules")
     over = F.when(F.col("kind") == "host", F.concat("host", F.lit("\0"), "path")).otherwise(F.lower("url"))
-    fits = fetched.where(F.regexp_like(over, "pattern"))
+    kept = ("row", "number", "text", "action", "kind")
+    fetched = rows.withColumn("key", F.explode("tokens")).join(bound(index), "key")
+    fits = fetched.where(F.regexp_like(over, "pattern")).select(*kept)
+    spare = [(i, r) for i, r in rules if not r.tokens]
+    if spare:
+        # One condition a rule, in the row's own pass: no url is sent anywhere for them.
+        tried = F.array(
+            *(
+                F.when(
+                    F.regexp_like(F.concat("host", F.lit("\0"), "path") if r.kind == "host" else F.lower("url"), F.lit(r.pattern)),
+                    F.struct(*(F.lit(v).alias(c) for v, c in zip((i, r.text, r.action, r.kind), kept[1:], strict=True))),
+                )
+                for i, r in spare
+            )
+        )
+        fits = fits.unionByName(rows.select("row", F.inline(F.array_compact(tried))))
     best = fits.groupBy("row").agg(
         F.max(F.when(F.col("kind") == "host", F.struct(F.length("text").alias("n"), "number", "text", "action"))).alias("host_rule"),
         F.min(F.when(F.col("kind") == "pattern", F.col("text"))).alias("pattern"),
     )
     verdict = F.coalesce("host_rule.action", F.when(F.col("pattern").isNotNull(), "block"), F.lit("allow"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("host_rule.text").alias("rule"), verdict.alias("verdict"), "pattern")
+    rule = F.col("host_rule.text").alias("rule")
+    return rows.join(best, "row", "left").select("page_id", "host", "path", rule, verdict.alias("verdict"), "pattern")

@@ -1,4 +1,6 @@
-from foldspark.llm.urlfilter import Rule, filter_urls, host_rule, pattern_rule
+import pytest
+
+from foldspark.llm.urlfilter import PATTERNS, Rule, filter_urls, host_rule, literal_tokens, parse_rules, pattern_rule
 
 RULES = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow")]
 CASES = [
@@ -21,6 +23,42 @@ def test_verdicts(spark):
 def test_rules_without_tokens_and_unfinished_tokens(spark):
     pages = spark.createDataFrame([(1, "http://a.de/deutsch"), (2, "http://a.de/zzz"), (3, "http://b.de/x")], "page_id bigint, url string")
     rules = [host_rule("a.de/de", "block")]
-    got = {r.page_id: (r.rule, r.pattern, r.verdict) for r in filter_urls(pages, rules, [pattern_rule("z{3}", ()), Rule("q", "block", "qqq", ("qqq",), "pattern")]).collect()}
+    got = {r.page_id: (r.rule, r.pattern, r.verdict) for r in filter_urls(pages, rules, [pattern_rule("z{3}"), Rule("q", "block", "qqq", ("qqq",), "pattern")]).collect()}
     assert got == {1: ("a.de/de", None, "block"), 2: (None, "z{3}", "block"), 3: (None, None, "allow")}
     assert filter_urls(pages.limit(0), rules).collect() == []
+
+
+@pytest.mark.parametrize(
+    "pattern, tokens",
+    [
+        (r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
+        (r"://([^/?#]*[.-])?(?:online-)?casino[.-]", ("casino",)),
+        (r"[?&]utm_source=spam(?:&|#|$)", ("utm", "source", "spam")),
+        ("farm", ()),
+        ("-farm", ()),
+        ("[a-]farm-", ()),
+        ("-fa*rm-", ()),
+        ("-(?:x)?farm-", ()),
+        ("-farm(?:-x|y)", ()),
+        ("^https?://bad/", ("bad",)),
+        ("(?:/|^)ads/x", ("ads",)),
+        ("-a|-b-", ()),
+        (".farm.", ()),
+    ],
+)
+def test_tokens_of_patterns(pattern, tokens):
+    assert literal_tokens(pattern) == tokens
+
+
+def test_rules_of_a_text():
+    rules = parse_rules("# farms\n\nblock net/\n allow example.net/en/ \nblock /[?&]ad=1&/\n")
+    assert rules == [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), pattern_rule("[?&]ad=1&")]
+    with pytest.raises(ValueError):
+        parse_rules("deny net/")
+    assert all(r.tokens for r in PATTERNS)
+
+
+def test_very_long_urls(spark):
+    url = "http://a.net/" + "x-" * 100_000
+    rows = filter_urls(spark.createDataFrame([(1, url)], "page_id bigint, url string"), RULES).collect()
+    assert [(r.rule, r.verdict, len(r.path)) for r in rows] == [("net/", "block", 200_001)]
