@@ -1,8 +1,9 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are labelled rows of the training fold with quality 1; unlabelled texts are rows of the training fold
-without a label (or labelled rows with the label hidden where every row is labelled). The class prior is estimated
-from the labels of the whole training fold. A logistic model f minimises
+without a label (or labelled rows with the label hidden where every row is labelled). The class prior is the share of
+positives among the labels of the whole training fold; where it has positives only, ``positive_prior`` estimates it
+from positives and unlabelled rows alone. A logistic model f minimises
 
     prior * R_P(f, +1) + max(0, R_U(f, -1) - prior * R_P(f, -1)),
 
@@ -12,7 +13,8 @@ the first by a hash of their id, at any table size; every row is scored, over it
 
 Edge cases: null and empty texts have all-zero inputs and get that input's score. Without positives or unlabelled
 rows every score is the prior (0.5 without labels). Label rows that repeat or disagree count one by one. Rows with null
-ids are scored and never learnt from. Other columns are ignored.
+ids are scored and never learnt from; of documents that repeat an id the least text is learnt from. Other columns are
+ignored. An empty table gives an empty result; very long texts are described whole.
 """
 
 from __future__ import annotations
@@ -94,8 +96,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk by full-batch Adam steps."""
+def positive_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, with no negatives known: the least ratio of the shares of both that
+    score above a bound, under a model that tells one from the other. Far up only positives are left, and the ratio
+    falls to their share. A least of noisy ratios lies too low, so each is taken with one standard deviation more, and
+    bounds that fewer than a fifth of the positives pass don't count."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    model = fit(positive, unlabelled, 0.5, clip=False)
+    p, u = np.sort(model.score(positive)), np.sort(model.score(unlabelled))
+    bounds = np.quantile(p, np.linspace(0, 0.8, 81))
+    n_u, n_p = (len(x) - np.searchsorted(x, bounds, "left") for x in (u, p))
+    ratio = (n_u / len(u)) / (n_p / len(p)) * (1 + np.sqrt(1 / np.maximum(n_u, 1) + 1 / n_p))
+    return float(np.clip(ratio.min(), 0.01, 0.99))
+
+
+def fit(
+    positive: np.ndarray,
+    unlabelled: np.ndarray,
+    prior: float,
+    steps: int = 600,
+    rate: float = 0.05,
+    decay: float = 1e-4,
+    clip: bool = True,
+) -> Model:
+    """Minimise the non-negative risk by full-batch Adam steps. Without ``clip``, the plain logistic risk of telling
+    positives from unlabelled rows, each class with half of the weight."""
     dims = INPUTS
     if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
@@ -110,12 +136,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+        hidden = prior if clip else 0.0
+        negative = np.logaddexp(0, zu).mean() - hidden * np.logaddexp(0, zp).mean()
+        g_negative = u.T @ sigmoid(zu) / len(u) - hidden * (p.T @ sigmoid(zp)) / len(p)
         if negative < 0:
             g = -g_negative
         else:
-            g = prior * (p.T @ (sigmoid(zp) - 1)) / len(p) + g_negative
+            g = (prior if clip else 1.0) * (p.T @ (sigmoid(zp) - 1)) / len(p) + g_negative
         g = g + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -132,9 +159,11 @@ def _sampled(docs: DataFrame, ids: DataFrame, fit_rows: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in features(batch.column(1))], pa.binary())], names=["doc_id", "x"])
+            x = pa.array([r.tobytes() for r in features(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, x binary").dropDuplicates(["doc_id"]).collect()
+    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = chosen.mapInArrow(run, "doc_id bigint, x binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     return np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(-1, INPUTS)
 
@@ -154,13 +183,23 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     unlabelled = first(training.join(known, "doc_id", "left_anti"))
     if unlabelled.isEmpty():
         unlabelled = first(training)
-    return fit(_sampled(docs, positive, fit_rows), _sampled(docs, unlabelled, fit_rows), prior)
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    p, u = _sampled(docs, positive, fit_rows), _sampled(docs, unlabelled, fit_rows)
+    return fit(p, u, positive_prior(p, u) if ones and ones == total else prior)
+
+
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_rows: int = FIT_ROWS,
+    threshold: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= ``threshold``) of every row."""
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = train(chosen, labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label")), fit_rows)
+    known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label"))
+    model = train(chosen, known, fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +209,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def keep_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_rows: int = FIT_ROWS,
+    threshold: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``; fitted as in ``quality_scores``."""
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = train(chosen, labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label")), fit_rows)
+    known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label"))
+    model = train(chosen, known, fit_rows)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
