@@ -2,9 +2,11 @@
 
 A template of n shingles (``k`` words in a row) is looked for with windows of the largest power of two that fits into n,
 moved by a quarter of their length. Window minima of all lengths come from the same hash values by doubling: the minimum
-over 2w shingles is the smaller of two minima over w. Bands of one sample (two from 8 shingles on) are compared with
-the bands of the windows of the templates: a window that shares half of its shingles with a template's window is missed
-by all of 24 bands with probability below 1e-7 for one row and 0.001 for two; an intact copy is never missed.
+over 2w shingles is the smaller of two minima over w. Bands are compared with the bands of all windows of the templates
+(every place, so an intact copy always has an equal window whatever the stride). Windows of fewer than 8 shingles have 48
+bands of one sample, longer ones 24 bands of two: two windows of Jaccard similarity 1/2 share no band with probability
+2^-48 = 4e-15 and (3/4)^24 = 0.001, of 1/3 (each holds half of the other) with (2/3)^48 = 4e-9 and (8/9)^24 = 0.06. A copy
+has several windows on the stride, each with its own chance.
 
 Every retrieved place is verified exactly: the share of the template's distinct shingles that occur in the text around
 the window must reach ``containment``. Texts are scanned whole in one pass without a shuffle.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 
-SAMPLES = 24
+SAMPLES = 48
 WORDS = 5
 #: Opening or characteristic passages of well-known licenses.
 TEMPLATES = {
