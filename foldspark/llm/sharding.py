@@ -7,8 +7,12 @@ the number of rows of every cell, so the plan is worked out from at most ``CELLS
 then joined back as a table of rank intervals. With ``slack`` 0 shards hold floor or ceil of rows / shards: counts are at
 most one apart (law ``rows``). Equal texts are spread like any other rows, since ids decide the place.
 
+Rows of a cell are numbered by a window over the cell. A cell of more than ``HOT`` rows (one id, or no id and one text,
+in very many rows) is numbered in parts, by a hash of the row and by the source partition for rows that are equal
+throughout; the parts' counts are summed up to offsets. No task holds the rows of a hot cell.
+
 Edge cases: a null text has no bytes (size 8, CRC of the empty text); a row without id is placed by its text's CRC.
-Repeated rows are placed one by one. An empty table gives an empty result; other columns are ignored.
+Repeated rows are placed one by one. In a hot cell the order of rows follows the source partitions. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import cut
+from .scratch import cut, maybe_broadcast
 
 CELLS = 1 << 14
+#: Rows of a cell up to which one window numbers it, and parts by hash of a larger one.
+HOT, PARTS = 1_000_000, 64
 
 
 def _cell(*cols: Column | str) -> Column:
@@ -74,17 +80,47 @@ def plan(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int, slac
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, vnodes: int = 64, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ranked(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """``rows`` of cells with their rank in the cell, from 0; cells in ``hot`` are numbered in parts."""
+    order = ("place", "doc_id", "text_crc32", "size", "row")
+    if not hot:
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1
+        return rows.withColumn("rank", rank.cast("bigint"))
+    crowded = F.col("cell").isin(hot)
+    part = F.pmod(F.xxhash64("place", "text_crc32", "size"), F.lit(PARTS)).cast("int")
+    source = F.shiftright("row", 33).cast("int")  # the partition in which monotonically_increasing_id numbered the row
+    rows = rows.withColumns({"part": F.when(crowded, part).otherwise(0), "source": F.when(crowded, source).otherwise(0)})
+    own = ("cell", "part", "source")
+    before = Window.partitionBy("cell").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.where(crowded).groupBy(*own).agg(F.count("*").alias("n"))
+    counts = cut(counts.select(*own, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    inside = F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1
+    rows = rows.withColumn("inside", inside).join(maybe_broadcast(counts, 100_000), list(own), "left")
+    return rows.withColumn("rank", F.col("inside") + F.coalesce("offset", F.lit(0))).drop("part", "source", "inside", "offset")
+
+
+def assign_shards(
+    docs: DataFrame,
+    shards: int = 24,
+    vnodes: int = 64,
+    slack: float = 0.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in every shard) of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    size = (F.octet_length(text) + 8).cast("bigint").alias("size")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size, F.crc32(text).alias("text_crc32"))
     place = F.coalesce("doc_id", F.col("text_crc32"))
-    rows = cut(rows.withColumn("cell", _cell(place)).withColumn("place", F.xxhash64(F.lit("rank"), place)), "cells")
+    rows = rows.withColumns({"cell": _cell(place), "place": F.xxhash64(F.lit("rank"), place)})
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "cells")
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    runs = json.dumps([dict(zip(("cell", "lo", "hi", "shard", "base"), run, strict=True)) for run in plan(counts, ring(docs, shards, vnodes), shards, slack)])
+    names = ("cell", "lo", "hi", "shard", "base")
+    found = plan(counts, ring(docs, shards, vnodes), shards, slack)
+    runs = json.dumps([dict(zip(names, run, strict=True)) for run in found])
     schema = "array<struct<cell:int,lo:bigint,hi:bigint,shard:int,base:bigint>>"
     runs = cut(spark.range(1).select(F.inline(F.from_json(F.lit(runs), schema))), "runs")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")) - 1
-    placed = rows.withColumn("rank", rank.cast("bigint")).join(F.broadcast(runs), "cell").where("rank >= lo and rank < hi")
+    rows = ranked(rows, [cell for cell, n in counts.items() if n > HOT])
+    placed = rows.join(F.broadcast(runs), "cell").where("rank >= lo and rank < hi")
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))

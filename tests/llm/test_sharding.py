@@ -63,11 +63,29 @@ def test_documents(spark):
     assert sharding.assign_shards(docs.limit(0), 24).collect() == []
 
 
+def test_hot_cells_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 50)
+    rows = [(None, "same")] * 400 + [(7, f"text {i}") for i in range(300)] + [(i, "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sharding.assign_shards(docs, 24).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 1200 and all(sorted(s) == list(range(50)) for s in by.values()) and len(by) == 24
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "é" * 1_000_000)], "doc_id bigint, text string")
+    assert [(r.size, r.slot) for r in sharding.assign_shards(docs, 24).collect()] == [(2_000_008, 0)]
+
+
 def test_movement_is_limited(spark):
     docs = spark.createDataFrame([(i, "") for i in range(6000)], "doc_id bigint, text string")
     one, two = ({r.doc_id: r.shard for r in sharding.assign_shards(docs, n, slack=0.25).collect()} for n in (24, 25))
     assert sum(one[i] != two[i] for i in one) < 0.25 * len(one)
     assert max(Counter(one.values()).values()) <= 6000 * 1.25 / 24 + 1
+    one, two = ({r.doc_id: r.shard for r in sharding.assign_shards(docs, n).collect()} for n in (24, 25))
+    assert sum(one[i] != two[i] for i in one) < 0.25 * len(one)
 
 
 def test_native():
