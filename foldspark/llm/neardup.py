@@ -341,7 +341,10 @@ def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     n = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
     if n.where("id is null or n > 1").isEmpty():
         return docs, id_col
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def deduplicate(

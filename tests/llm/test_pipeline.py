@@ -1,11 +1,12 @@
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foldspark.llm import queries
+from foldspark.llm import queries, secrets
 
 from .test_neardup import brute
 
@@ -26,12 +27,13 @@ def test_columns(stages):
     assert all(df.columns == stages[0].columns for df in stages[:-1])
 
 
-def test_quality_keeps_clean_documents(spark, stages):
-    # 200 documents are too few to learn all kinds of junk; test_quality holds the accuracy on more.
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    kept = {r.doc_id for r in stages[1].collect()}
-    bad, good = ({r.doc_id for r in labels.where(F.col("quality") == q).collect()} for q in (0, 1))
-    assert len(good & kept) >= 0.97 * len(good) and len(bad & kept) < len(bad)
+def test_quality_keeps_clean_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, folder).collect()}
+    bad, good = ({i for i, q in labels.items() if q == k} for k in (0, 1))
+    assert len(good & kept) >= 0.98 * len(good) and len(bad & kept) <= 0.08 * len(bad)
 
 
 def test_dedup_keeps_the_smallest_of_every_component(stages):
@@ -49,11 +51,22 @@ def test_leaks_go(spark, stages):
     assert all(any(len(texts[d] & g) >= 0.3 * len(g) for g in grams) for d in gone)
 
 
-def test_secrets_are_replaced(stages):
-    before, after = ({r.doc_id: r for r in df.collect()} for df in stages[3:5])
-    assert set(before) == set(after)
+def test_secrets_are_replaced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, after = ({r.doc_id: r for r in df.collect()} for df in (docs, corpus_pipeline.secrets_stage(spark, docs, SF)))
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    spans = {r.doc_id: r.spans for r in secrets.find_secrets(docs, vocabulary, pattern).collect()}
+    assert set(before) == set(after) and any(spans.values())
     for i, r in after.items():
-        assert "token = " not in (r.text or "") and r.n_chars == (len(r.text) if r.text != before[i].text else before[i].n_chars)
+        text, hidden = before[i].text or "", [False] * len(before[i].text or "")
+        for span in filter(None, spans[i].split(",")):
+            a, b = map(int, span.split(":")[1:])
+            hidden[a:b] = [True] * (b - a)
+        kept = "".join("\0" if h else c for c, h in zip(text, hidden, strict=True))
+        clean = re.sub("\\[(assign|access|hex|random)\\]" if any(hidden) else "(?!)", "\0", r.text or "")
+        assert re.sub("\0+", "\0", kept) == re.sub("\0+", "\0", clean)
+        assert secrets.patterned(r.text or "") == []
+        assert r.n_chars == (len(r.text) if any(hidden) else before[i].n_chars)
 
 
 def test_tokens(spark, stages):
@@ -86,3 +99,33 @@ def test_decontamination_removes_rows_not_ids(spark, tmp_path):
     left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert left.columns == docs.columns
     assert sorted(r.text for r in left.collect()) == [rows[3][1], rows[1][1]]
+
+
+LONG = "plain words of a very long text " * 30_000
+TEXTS = ["the cat sat on the mat and slept all day", "a quite different text about boats and the sea", None, "", " \n", LONG]
+
+
+def odd(spark, empty=False):
+    """Rows without id, of repeated ids, null, blank and very long texts, and columns named like those made inside."""
+    rows = [(1, TEXTS[0]), (1, TEXTS[1]), (None, TEXTS[0]), (2, TEXTS[0]), (2, TEXTS[0]), (None, None), (None, None), (3, ""), (4, " \n"), (None, LONG), (5, LONG)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint")
+    docs = docs.withColumns({c: F.lit(c) for c in ("id", "node", "spans", "ids", "score", "item_id", "n")})
+    return docs.limit(0) if empty else docs.repartition(3)
+
+
+@pytest.mark.parametrize("stage, rows", [(0, None), (1, {0, 1, 5, 6, 7, 8, 10}), (2, set(range(11))), (3, set(range(11)))])
+def test_stages_take_odd_rows(spark, stage, rows):
+    f = corpus_pipeline.STAGES[stage][1]
+    out = f(spark, odd(spark), SF)
+    found = out.collect()
+    assert out.columns == odd(spark).columns
+    assert rows is None or {r.row for r in found} == rows
+    before = {r.row: r for r in odd(spark).collect()}
+    assert all(r == before[r.row] for r in found)
+    assert f(spark, odd(spark, empty=True), SF).collect() == []
+
+
+def test_tokens_of_odd_rows(spark):
+    out = corpus_pipeline.tokens_stage(spark, odd(spark), SF).collect()
+    assert len(out) == 11 and sum(r.n_tokens == 0 for r in out) == 3
+    assert corpus_pipeline.tokens_stage(spark, odd(spark, empty=True), SF).collect() == []
