@@ -1,17 +1,20 @@
 """A training corpus from raw documents: quality, near-duplicates, benchmark passages, secrets, token ids.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
-of ``documents``.
+of ``documents``, and extra ones, under whatever names, as they are.
+
+In every stage an empty table gives an empty result, very long texts are read whole, and rows are judged one by one: a row
+without id, or one that repeats another's id, is kept or dropped by its own text. What each stage does with null texts and
+repeated rows is stated there.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foldspark.llm.decontam import contaminated
-from foldspark.llm.neardup import deduplicate, without
+from foldspark.llm.decontam import without_contaminated
+from foldspark.llm.neardup import deduplicate
 from foldspark.llm.pieces import encode_documents
 from foldspark.llm.quality import keep_quality
 from foldspark.llm.scratch import cut
@@ -19,33 +22,28 @@ from foldspark.llm.secrets import redact_secrets
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the positive-unlabelled classifier rejects."""
+    """Drop documents that the positive-unlabelled classifier rejects. Null and empty texts are judged like others."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of every group of near-duplicates (five words, similarity 0.8 or more)."""
+    """Keep one document of every group of near-duplicates (five words, similarity 0.8 or more), that of the smallest
+    id; of repeated rows one stays. Null and blank texts are in no group and stay."""
     return deduplicate(docs, words=5, similarity=(80, 100))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or an edited copy of one.
-
-    Rows are told apart by a number written with the table: ids may be missing or repeated.
-    """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
-    leaks = cut(found.select(F.col("doc_id").alias("id")).distinct(), "leaks")
-    return without(rows, leaks, "_row").drop("_row")
+    """Drop documents that hold a benchmark item or an edited copy of one. Null and empty texts hold none."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts by their kind."""
+    """Replace secrets in the texts by their kind, and set ``n_chars`` anew there. Null texts stay null."""
     return redact_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; null and empty texts have none."""
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")
 
 
