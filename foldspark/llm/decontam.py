@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .scratch import cut
+from .scratch import cut, text_batches
 
 #: Characters of test items that one pass holds in memory, in the driver and in each task.
 PART_CHARS = 4_000_000
@@ -236,6 +236,7 @@ def prepared(
     docs: DataFrame, benchmark: DataFrame, n: int, rare: int, text_col: str, item_id: str, item_text: str
 ) -> Iterator[Broadcast]:
     """The items of each part with the seeds that they keep, broadcast; ``docs`` is counted for each part."""
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(text_col).cast("string").alias("text"))
     for rows in parts(benchmark, item_id, item_text):
         items = Items(rows, n)

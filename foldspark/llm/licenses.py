@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .scratch import text_batches
 
 SAMPLES = 48
 WORDS = 5
@@ -150,5 +151,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, words:
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "license_id", "containment", "start_word", "end_word"])
 
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, license_id string, containment double, start_word bigint, end_word bigint")

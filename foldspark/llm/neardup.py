@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .scratch import BROADCAST_BYTES, cut, maybe_broadcast
+from .scratch import BROADCAST_BYTES, cut, maybe_broadcast, text_batches
 
 BANDS, ROWS, BITS = 50, 6, 1024
 #: Rounds of stars around hashed centres.
@@ -232,6 +232,7 @@ def near_duplicates(
 
     ``similarity`` is a fraction: documents link if den * intersection >= num * union. See the module for edge cases.
     """
+    text_batches(docs.sparkSession)
     num, den = similarity
     limit = sketch_limit(num / den, bands * rows)
     sig = cut(signatures(docs, words, bands, rows, id_col, text_col), "signatures")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .scratch import text_batches
 
 SPACE = "▁"
 #: Segments that a worker's table holds before it is emptied, and bits of its number of slots.
@@ -358,6 +359,7 @@ def encode_documents(
                     arrays += [pa.ListArray.from_arrays(bounds.astype(np.int32), ids), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return chosen.mapInArrow(run, schema + ", ids array<int>, decoded string" * keep)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .scratch import cut
+from .scratch import cut, text_batches
 
 #: Positives, and unlabelled rows, that a fit uses at most.
 FIT_ROWS = 8000
@@ -170,6 +170,7 @@ def _sampled(docs: DataFrame, ids: DataFrame, fit_rows: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit to ``docs`` (doc_id, text) and ``labels`` (doc_id, label)."""
+    text_batches(docs.sparkSession)
     fold = labels.where(~held_out(F.col("doc_id")) & F.col("label").isNotNull())
     total, ones = fold.agg(F.count("*"), F.sum((F.col("label") == 1).cast("int"))).first()
     prior = (ones or 0) / total if total else 0.5

@@ -13,6 +13,18 @@ BROADCAST_BYTES = 16_000_000
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of one Arrow batch of texts. Spark's own 10,000 hold some 30 MB of web text, several times in the JVM and in
+#: Python, and far more of long documents.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Set the session to batches of ``BATCH_ROWS`` rows, unless it has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000" and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder. Where none is configured a local one is set, but on one machine only: a cluster's executors
     would write where nobody else can read."""

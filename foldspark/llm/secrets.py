@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import text_batches
+
 KINDS = ("assign", "access", "hex", "random")
 #: The patterned kinds.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -171,6 +173,7 @@ def find_secrets(
             names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random", "redacted"]
             yield pa.RecordBatch.from_arrays(arrays[: 7 + redact], names=names[: 7 + redact])
 
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint"
     return chosen.mapInArrow(run, schema + ", redacted string" * redact)
@@ -216,4 +219,5 @@ def redact_secrets(
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

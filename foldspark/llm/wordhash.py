@@ -44,7 +44,7 @@ def _power(n: int, base: int) -> np.ndarray:
     key = str(base)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 2 * SLICE), base, _U)
+        steps = np.full(max(n, SLICE + 1), base, _U)
         steps[0] = 1
         have = np.cumprod(steps)
         if n <= 4 * SLICE:
