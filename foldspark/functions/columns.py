@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 #: Nucleotide names, and the standard amino acids.
 NUCLEOTIDES = ("A", "C", "G", "U", "I", "T", "DA", "DC", "DG", "DT", "DU")
 AMINO_ACIDS = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
-#: One-letter names of some modified bases; other names stand for themselves.
-MODIFIED = {"PSU": "U", "5MU": "U", "5MC": "C", "7MG": "G", "1MA": "A", "H2U": "U", "OMC": "C", "OMG": "G", "2MG": "G", "M2G": "G", "YG": "G"}
+#: One-letter names of bases, modified ones included; other names stand for themselves.
+MODIFIED = {
+    "A": "A", "G": "G", "C": "C", "U": "U", "T": "T",
+    "DA": "A", "DG": "G", "DC": "C", "DT": "T", "DI": "I",
+    "1MA": "A", "2MA": "A", "6MA": "A", "M2A": "A", "I": "A", "A2M": "A", "M6A": "A", "MIA": "A", "RIA": "A", "MA6": "A",
+    "5MC": "C", "OMC": "C", "CBR": "C", "CBV": "C", "CCC": "C", "M5C": "C", "RCY": "C", "MCT": "C", "4AC": "C",
+    "M2G": "G", "7MG": "G", "OMG": "G", "2MG": "G", "G7M": "G", "Y": "G", "YG": "G", "GFM": "G",
+    "5MU": "U", "H2U": "U", "PSU": "U", "OMU": "U", "M2U": "U", "D": "U", "S4U": "U", "4SU": "U", "MSE": "U",
+    "T6A": "T", "5MT": "T",
+    "X": "N", "N": "N",
+    "ADE": "A", "GUA": "G", "CYT": "C", "THY": "T", "URA": "U",
+    "B8N": "G", "6MZ": "A", "UY1": "U", "UR3": "U", "GTP": "G", "JMH": "A", "C4J": "C", "XSX": "U", "JMC": "C", "B8H": "G",
+}
 
 
 def is_nucleotide(name: Column) -> Column:

@@ -157,15 +157,22 @@ class Contacts:
 
 def bottom_up(e: Edges, pieces: list[np.ndarray], ratio: float, mode: str = "max", wanted: int | None = None) -> list[np.ndarray]:
     """Merge the pair of largest contact ratio (the first on ties) while it reaches ``ratio``. With ``wanted`` pieces:
-    never fewer, and merging goes on below ``ratio`` until they are reached."""
+    never fewer, and merging goes on below ``ratio`` until they are reached. A merge renews the merged piece's ratios."""
     held = Contacts(e, pieces)
     least = 1 if wanted is None else max(1, wanted)
+    n = len(held.pieces)
+    table = np.full((n, n), -1.0)
+    for a in range(n):
+        for b in range(a + 1, n):
+            table[a, b] = held.ratio(a, b, mode)
     while len(held.pieces) > least:
-        n = len(held.pieces)
-        value, a, b = max(((held.ratio(a, b, mode), -a, -b) for a in range(n) for b in range(a + 1, n)))
-        if value < ratio and wanted is None:
+        a, b = divmod(int(table.argmax()), len(table))
+        if table[a, b] < ratio and wanted is None:
             break
-        held.merge(-a, -b)
+        held.merge(a, b)
+        table = np.pad(np.delete(np.delete(table, (a, b), 0), (a, b), 1), (0, 1), constant_values=-1.0)
+        last = len(table) - 1
+        table[:last, last] = [held.ratio(k, last, mode) for k in range(last)]
     return held.pieces
 
 

@@ -66,30 +66,33 @@ def detect_domains(residues: DataFrame, keys: Keys = K, ss: bool = False, split:
 
 
 def split_pvalue(edges: DataFrame, sizes: DataFrame, keys: Keys = K, rewirings: int = 10, swap_mult: int = 5, alpha: float | None = None, resolution: float = 1.0, weighted: bool = True, min_gap: int = MIN_GAP, seed: int = 0) -> DataFrame:
-    """q of each chain's best split and its p-value over ``rewirings`` rewired graphs, each its own task row.
+    """q of each chain's best split and its p-value over ``rewirings`` rewired graphs.
 
-    With ``alpha`` the count stops at the first rewiring whose bound exceeds it. Seeds come from the key and number.
+    Edges are shuffled once; a chain's graphs are rewired one after another in its task. With ``alpha`` the count stops
+    at the first rewiring whose bound exceeds it. Seeds come from the key and number.
     """
     keys = list(keys)
     types = dict(sizes.select(*keys).dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "r int", "q double"])
 
     def run(key: tuple, e: pd.DataFrame, site: pd.DataFrame) -> pd.DataFrame:
-        *own, r = key
         n = int(site["n"].max()) if len(site) else 0
-        q = None
-        if n and len(e):
-            graph = _edges(e, n, weighted)
-            if r >= 0:
-                graph = S.rewired(graph, max(1, swap_mult * len(graph.i)), np.random.default_rng([seed, r, zlib.crc32(repr(own).encode())]))
-            least = PROTEIN_MIN if (site["chain_type"] == "protein").any() else OTHER_MIN
-            found = S.best_split(graph, np.arange(n), least, min_gap, resolution, None)
-            q = found and found[0]
-        return pd.DataFrame({**dict(zip(keys, own, strict=True)), "r": [r], "q": [q]}).astype({"r": "int32", "q": "float64"})
-
-    numbers = F.explode(F.sequence(F.lit(-1), F.lit(rewirings - 1))).alias("r")
-    left, right = edges.select("*", numbers), sizes.select(*(F.col(c).alias(c) for c in sizes.columns), numbers)
-    scores = left.groupBy(*keys, "r").cogroup(right.groupBy(*keys, "r")).applyInPandas(lambda key, e, site: run(key, e, site), schema)
+        graph = _edges(e, n, weighted) if n and len(e) else None
+        least = PROTEIN_MIN if len(site) and (site["chain_type"] == "protein").any() else OTHER_MIN
+        scores: list[float | None] = []
+        for r in range(-1, rewirings):
+            found, tried = None, graph
+            if graph is not None:
+                if r >= 0:
+                    rng = np.random.default_rng([seed, r, zlib.crc32(repr(list(key)).encode())])
+                    tried = S.rewired(graph, max(1, swap_mult * len(graph.i)), rng)
+                found = S.best_split(tried, np.arange(n), least, min_gap, resolution, None)
+            scores.append(found and found[0])
+        out = pd.DataFrame({**dict(zip(keys, key, strict=True)), "r": range(-1, rewirings), "q": scores})
+        return out.astype({"r": "int32", "q": "float64"})
+
+    sites = sizes.select(*(F.col(c).alias(c) for c in sizes.columns))
+    scores = edges.groupBy(*keys).cogroup(sites.groupBy(*keys)).applyInPandas(lambda key, e, site: run(key, e, site), schema)
     per = scores.groupBy(*keys).agg(F.max(F.when(F.col("r") == -1, F.col("q"))).alias("q"), F.sort_array(F.collect_list(F.when(F.col("r") >= 0, F.struct("r", "q")))).alias("rs"))
     hits = F.transform("rs", lambda x: (F.coalesce(x["q"], F.lit(float("-inf"))) >= F.col("q") - 1e-12).cast("int"))
     bounds = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda k: (F.aggregate(F.slice(hits, 1, k), F.lit(0), lambda a, x: a + x) + 1) / F.lit(rewirings + 1))

@@ -132,47 +132,45 @@ def merged_runs(labels: list[int], min_size: int = 30, passes: int = 300) -> lis
     return y.tolist()
 
 
-def _halves(first: int, n: int, a: int, b: int) -> list[tuple[int, int, int]]:
-    """A run given to two labels: the smaller half to the left one; one residue to the left."""
-    half = n // 2 if n > 1 else 1
-    return [(first, half, a), (first + half, n - half, b)]
+def _halves(own: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, int]]:
+    """Places given to two labels: the smaller half to the left one; a single place to the left."""
+    half = len(own) // 2 if len(own) > 1 else 1
+    return [(own[:half], a), (own[half:], b)]
 
 
-def relabelled(runs: list[tuple[int, int, int]], i: int, short: int, low: int, high: int) -> list[tuple[int, int, int]]:
-    """Changes (first place, places, label) that run ``i`` of (label, first place, length) asks for."""
-    label, at, n = runs[i]
+def relabelled(runs: list[tuple[int, np.ndarray]], i: int, short: int, low: int, high: int) -> list[tuple[np.ndarray, int]]:
+    """Changes (places, label) that run ``i`` of (label, places) asks for."""
+    label, own = runs[i]
     if len(runs) == 1:
         return []
-    last = len(runs) - 1
+    n, last = len(own), len(runs) - 1
     before_, after = runs[i - 1] if i else None, runs[i + 1] if i < last else None
-    whole = lambda value: [(at, n, value)]
+    whole = lambda value: [(own, value)]
     if label == -1:
         # One residue takes the label before it; at the chain's start that of its end.
         out = whole(runs[i - 1][0]) if n == 1 else []
         if i in (0, last):
             side = after if i == 0 else before_
-            return out + (whole(side[0]) if side[0] != -1 and not low <= n < high and side[2] >= short else [])
+            return out + (whole(side[0]) if side[0] != -1 and not low <= n < high and len(side[1]) >= short else [])
         a, b = before_[0], after[0]
         if -1 not in (a, b):
-            out += whole(a) if a == b else _halves(at, n, a, b) if n < low else []
+            out += whole(a) if a == b else _halves(own, a, b) if n < low else []
         return out
     if n >= short:
         return []
     if i in (0, last):
         side, step = (after, 1) if i == 0 else (before_, -1)
-        if side[2] > n:
+        if len(side[1]) > n:
             return whole(side[0])
         far = i + 2 * step
         if side[0] == -1 and 0 <= far <= last:
-            pair = (label, runs[far][0])[::step]
-            half = side[2] // 2
-            return [(side[1], half, pair[0]), (side[1] + half, side[2] - half, pair[1])]
+            return _halves(side[1], *(label, runs[far][0])[::step]) if len(side[1]) > 1 else [(side[1], runs[max(i, far)][0])]
         return []
-    (a, _, left), (b, _, right) = before_, after
+    (a, left), (b, right) = (before_[0], len(before_[1])), (after[0], len(after[1]))
     if a == b and (left >= short and right >= short if a == -1 else left + right > n):
         return whole(a)
     if a != b and -1 not in (a, b) and left > short and right > short:
-        return _halves(at, n, a, b)
+        return _halves(own, a, b)
     if a != b and a == -1 and right > short:
         return whole(b)
     if a != b and b == -1 and left > short:
@@ -182,38 +180,48 @@ def relabelled(runs: list[tuple[int, int, int]], i: int, short: int, low: int, h
     return whole(b) if right > n else []
 
 
-def post_processed(labels: list[int], short: int = 30, low: int = 10, high: int = 100, passes: int = 31) -> list[int]:
-    """Repeat all rules on the runs of a pass until nothing is asked for; later runs override earlier ones."""
+def post_processed(
+    labels: list[int], short: int = 30, low: int = 10, high: int = 100, passes: int = 31, places: list[int] | None = None
+) -> list[int]:
+    """Repeat all rules on the runs of a pass until nothing is asked for; later runs override earlier ones.
+
+    ``places`` are the residues' positions. A residue of a domain that does not follow the one before it belongs to no
+    run, though the run goes on: it is not counted and keeps its label. A chain of one residue stays.
+    """
     y = np.asarray(labels, dtype=np.int64).copy()
-    for _ in range(passes):
-        starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-        sizes = np.diff(np.r_[starts, len(y)])
-        runs = [(int(y[s]), int(s), int(n)) for s, n in zip(starts, sizes, strict=True)]
-        changes = [c for i in range(len(runs)) for c in relabelled(runs, i, short, low, high) if c[1]]
-        for at, n, value in changes:
-            y[at : at + n] = value
+    follows = np.diff(np.arange(len(y)) if places is None else np.asarray(places)) == 1
+    for _ in range(passes if len(y) > 1 else 0):
+        new = np.r_[True, y[1:] != y[:-1]]
+        counted = new | (y == -1) | np.r_[True, follows]
+        starts = np.flatnonzero(new)
+        members = [np.flatnonzero(counted[a:b]) + a for a, b in zip(starts, np.r_[starts[1:], len(y)], strict=True)]
+        runs = [(int(y[own[0]]), own) for own in members]
+        changes = [c for i in range(len(runs)) for c in relabelled(runs, i, short, low, high) if len(c[0])]
+        for own, value in changes:
+            y[own] = value
         if not changes:
             break
     return y.tolist()
 
 
 def _each_chain(labels: DataFrame, keys: Keys, f) -> DataFrame:
-    """Apply ``f`` to the labels of one chain at a time: rows are chains, so a task holds a few arrays."""
+    """Apply ``f`` to the labels and places of one chain at a time: rows are chains, so a task holds a few arrays."""
     chains = labels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("rows"))
     chains = chains.select(*keys, F.col("rows.pos").alias("pos"), F.col("rows.label").alias("label"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(label=[f(list(y)) for y in batch["label"]])
+            yield batch.assign(label=[f(list(y), list(pos)) for pos, y in zip(batch["pos"], batch["label"], strict=True)])
 
     return chains.mapInPandas(run, chains.schema).select(*keys, F.explode(F.arrays_zip("pos", "label")).alias("_r")).select(*keys, "_r.pos", "_r.label")
 
 
 def merge_small_clusters(labels: DataFrame, keys: Keys = K, min_size: int = 30) -> DataFrame:
     """Short runs join a neighbour, to a fixed point of at most 300 passes; chains below ``min_size`` become -1."""
-    return _each_chain(labels, keys, lambda y: merged_runs(y, min_size))
+    return _each_chain(labels, keys, lambda y, _: merged_runs(y, min_size))
 
 
 def post_process(labels: DataFrame, keys: Keys = K, short: int = 30, low: int = 10, high: int = 100) -> DataFrame:
-    """Clean short domain runs and outlier runs by the rules of ``relabelled``, in at most 31 passes."""
-    return _each_chain(labels, keys, lambda y: post_processed(y, short, low, high))
+    """Clean short domain runs and outlier runs by the rules of ``relabelled``, in at most 31 passes. Gaps in ``pos`` count
+    as in ``post_processed``."""
+    return _each_chain(labels, keys, lambda y, places: post_processed(y, short, low, high, places=places))

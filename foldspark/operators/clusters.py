@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import K, Keys
@@ -29,6 +29,10 @@ def cluster_summary(labels: DataFrame, keys: Keys = K) -> DataFrame:
     """Per label: residues, text of its ranges, and the chain's numbers of clusters and outliers."""
     own = [*keys, "label"]
     texts = format_ranges(ranges_with_insertions(labels, own), own)
-    sizes = labels.groupBy(*own).agg(F.count("*").alias("residues"))
-    chain = labels.groupBy(*keys).agg(F.countDistinct(F.when(F.col("label") != -1, F.col("label"))).alias("n_clusters"), F.count(F.when(F.col("label") == -1, 1)).alias("n_outliers"))
-    return sizes.join(texts, own).join(chain, list(keys))
+    sizes = labels.groupBy(*own).agg(F.count("*").alias("residues")).join(texts, own)
+    chain = Window.partitionBy(*keys)
+    outlier = F.col("label") == -1
+    # One row a label: the chain's numbers are sums over its few labels.
+    clusters = F.count(F.when(~outlier, 1)).over(chain).alias("n_clusters")
+    outliers = F.coalesce(F.sum(F.when(outlier, F.col("residues"))).over(chain), F.lit(0)).alias("n_outliers")
+    return sizes.select(*own, "residues", "ranges", clusters, outliers)

@@ -19,17 +19,21 @@ def cutoff_for(chain_type: Column) -> Column:
 def contact_edges(residues: DataFrame, cutoff: float | Column = PROTEIN_CUTOFF, keys: Keys = K, weighted: bool = True) -> DataFrame:
     """Edges i, j, weight: neighbours in the chain, and residues nearer than ``cutoff``.
 
-    Residues are hashed to cubes of the cutoff's size; one side is sent to the 27 cubes around its own, so the join is
-    on (chain, cube) and a long chain is spread over many tasks.
+    Residues are hashed to cubes of the cutoff's size. One side is sent to its own cube and the 13 neighbours on one side
+    of it (two cubes that touch see each other once), so the join is on (chain, cube) and a long chain is spread over
+    many tasks. Null coordinates have no contacts but those along the chain (weight null there).
     """
     cut = F.lit(cutoff) if isinstance(cutoff, (int, float)) else cutoff
     points = residues.select(*keys, "pos", "x", "y", "z", cut.alias("_cut"))
     cells = points.select("*", *(F.floor(F.col(c) / F.col("_cut")).alias(f"_c{c}") for c in "xyz"))
     left = cells.select(*keys, "_cx", "_cy", "_cz", "_cut", F.col("pos").alias("i"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
     right = cells.select(*keys, F.col("pos").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xyz"), "_cx", "_cy", "_cz")
-    for c in "xyz":
-        right = right.withColumn(f"_c{c}", F.explode(F.array(*(F.col(f"_c{c}") + d for d in (-1, 0, 1)))))
-    near = left.join(right, [*keys, "_cx", "_cy", "_cz"]).where("j > i + 1").withColumn("d", distance("a", "b")).where("d < _cut").select(*keys, "i", "j", "d")
+    half = [(x, y, z) for x in (0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    around = F.array(*(F.struct(*((F.col(f"_c{c}") + d).alias(f"_c{c}") for c, d in zip("xyz", step, strict=True)), F.lit(step == (0, 0, 0)).alias("_own")) for step in half))
+    right = right.select(*keys, "j", "bx", "by", "bz", F.inline(around))
+    # In its own cube a pair is met from both sides: once is enough.
+    near = left.join(right, [*keys, "_cx", "_cy", "_cz"]).where("not _own or i < j").withColumn("d", distance("a", "b")).where("d < _cut")
+    near = near.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").where("j > i + 1")
     w = along(keys)
     chain = points.select(*keys, F.col("pos").alias("i"), F.lead("pos").over(w).alias("j"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *(F.lead(c).over(w).alias(f"b{c}") for c in "xyz"))
     chain = chain.where("j is not null").withColumn("d", distance("a", "b")).select(*keys, "i", "j", "d")

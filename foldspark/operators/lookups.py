@@ -19,10 +19,16 @@ def parse_partition(partitions: DataFrame, keys: Keys = K, partition: str = "par
 
 
 def labels_from_partition(residues: DataFrame, ranges: DataFrame, keys: Keys = K) -> DataFrame:
-    """Label of the first domain that holds each residue (by res_num), else -1."""
-    r = ranges.select(*keys, "label", "start", "end")
-    held = residues.select(*keys, "pos", "res_num").join(r, list(keys), "left").withColumn("_l", F.when((F.col("res_num") >= F.col("start")) & (F.col("res_num") <= F.col("end")), F.col("label")))
-    return held.groupBy(*keys, "pos").agg(F.coalesce(F.min("_l"), F.lit(-1)).alias("label"))
+    """Label of the first domain that holds each residue (by res_num), else -1.
+
+    Ranges are cut to the chain's own numbers and laid out as places, so residues meet them by an equi-join.
+    """
+    bounds = residues.groupBy(*keys).agg(F.min("res_num").alias("_lo"), F.max("res_num").alias("_hi"))
+    held = ranges.select(*keys, "label", "start", "end").join(bounds, list(keys))
+    held = held.select(*keys, "label", F.greatest("start", "_lo").alias("a"), F.least("end", "_hi").alias("b")).where("a <= b")
+    held = held.select(*keys, "label", F.explode(F.sequence("a", "b")).alias("res_num")).groupBy(*keys, "res_num").agg(F.min("label").alias("label"))
+    found = residues.select(*keys, "pos", "res_num").join(held, [*keys, "res_num"], "left")
+    return found.select(*keys, "pos", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def _asof(values: DataFrame, marks: DataFrame, keys: Keys, mark: str, forward: bool) -> DataFrame:

@@ -107,12 +107,13 @@ def base_number(spark, d):
 
 
 @query("align_ss", BASE + """,
-s as (select chain_id, string_agg(ss, '' order by pos) as t, count(*) as n from res where pos % 10 <> 3 group by chain_id)
-select chain_id, rpad(t, 60, 'C') as aligned from s""")
+s as (select chain_id, string_agg(ss, '' order by pos) as t, count(*) as n, count(*) filter (where truth <> -1) as m from res group by chain_id)
+select chain_id, rpad(t, cast(case when chain_id % 2 = 0 then m else n + 7 end as int), 'C') as aligned from s""")
 def align_ss(spark, d):
-    rows = residues(spark, d).where("pos % 10 <> 3")
-    codes = rows.groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ss")))["ss"].alias("codes"))
-    return codes.select("chain_id", F.array_join(L.align_ss(F.col("codes"), F.lit(60)), "").alias("aligned"))
+    """Every chain to a number of its own: its residues outside linkers (fewer), or seven more than it has."""
+    n = F.when(F.col("chain_id") % 2 == 0, F.count(F.when(F.col("truth") != -1, 1))).otherwise(F.count("*") + 7)
+    codes = residues(spark, d).groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ss")))["ss"].alias("codes"), n.cast("int").alias("n"))
+    return codes.select("chain_id", F.array_join(L.align_ss(F.col("codes"), F.col("n")), "").alias("aligned"))
 
 
 @query("align_ss_whole", BASE + """,
@@ -164,9 +165,11 @@ def expand_ranges(spark, d):
     return ranges.select("chain_id", F.array_join(C.expand_ranges(F.col("ranges")).cast("array<string>"), ",").alias("positions"))
 
 
-@query("shift_residue_labels", BASE + """ select chain_id, pos, cast(first_value(res_seq) over (partition by chain_id order by pos) + row_number() over (partition by chain_id order by pos) - 1 as int) as shifted from res where pos % 17 <> 5""")
+@query("shift_residue_labels", BASE + """ select chain_id, pos, cast(chain_id % 9 - 4 + row_number() over (partition by chain_id order by pos) - 1 as int) as shifted from res""")
 def shift_residue_labels(spark, d):
-    return R.shift_residue_labels(residues(spark, d).where("pos % 17 <> 5"), KEY)
+    """Labels that start at a number of the chain, negative ones included."""
+    label = F.concat((F.col("res_seq") + F.col("chain_id") % 9 - 4).cast("int").cast("string"), "icode")
+    return R.shift_residue_labels(residues(spark, d).withColumn("res_label", label), KEY)
 
 
 @query("ordinal_map", BASE + " select chain_id, pos, cast(res_seq as varchar) as res_label, cast(max(pos + 1) over (partition by chain_id, res_seq) as int) as ordinal from res")
@@ -181,6 +184,18 @@ def canonical_sequence(spark, d):
     return R.canonical_sequence(residues(spark, d).where("pos % 17 <> 5"), KEY)
 
 
+_NAMES = {"PSU": "U", "DA": "A", "OMU": "U", "2MA": "A", "GTP": "G", "DT": "T", "DI": "I", "X": "N", "zzz": "ZZZ", " c4j": "C"}
+_NAME_AT = "{" + ", ".join(f"{k}: '{v}'" for k, v in enumerate(_NAMES.values())) + "}"
+
+
+@query("canonical_sequence_modified", BASE + f"""
+select chain_id, string_agg(map {_NAME_AT}[cast(pos % {len(_NAMES)} as int)], '' order by res_seq, pos) as sequence from res group by chain_id""")
+def canonical_sequence_modified(spark, d):
+    """Chains of deoxynucleotides, modified and unknown names."""
+    names = F.array(*(F.lit(n) for n in _NAMES))
+    return R.canonical_sequence(residues(spark, d).withColumn("res_name", names[F.col("pos") % len(_NAMES)]), KEY)
+
+
 # Look-ups
 
 _PART = BASE + ",\n" + runs("true_label", name="t") + """,
@@ -212,8 +227,8 @@ def labels_from_partition(spark, d):
 
 
 _LOOK = BASE + ",\n" + runs("pred", name="p") + """,
-v as (select chain_id, pos as value from res where pos % 3 = 1),
-g as (select chain_id, "start", "end" from p where label <> -1)"""
+v as (select chain_id, pos as value from res),
+g as (select chain_id, "start", "end" from p where label = 1)"""
 
 
 _LOOK_WHOLE = BASE + ",\n" + runs("pred", name="p") + """,
@@ -221,10 +236,11 @@ v as (select chain_id, pos as value from res),
 g as (select chain_id, "start", "end" from p where label <> -1)"""
 
 
-def _look(spark, d, asked="pos % 3 = 1"):
+def _look(spark, d, given="label = 1"):
+    """Every residue, and the ranges of some labels."""
     rows = residues(spark, d)
-    ranges = I.label_runs(rows.select("chain_id", "pos", F.col("pred").alias("label")), KEY).where("label <> -1")
-    return rows.where(asked).select("chain_id", F.col("pos").alias("value")), ranges
+    ranges = I.label_runs(rows.select("chain_id", "pos", F.col("pred").alias("label")), KEY).where(given)
+    return rows.select("chain_id", F.col("pos").alias("value")), ranges
 
 
 @query("asof_bounds_below", _LOOK + """
@@ -245,23 +261,23 @@ def asof_bounds_above(spark, d):
 select v.chain_id, v.value, cast(coalesce((select max("start") from g where g.chain_id = v.chain_id and g."start" <= v.value), -1) as int) as "start",
  cast(coalesce((select max("end") from g where g.chain_id = v.chain_id and g."end" <= v.value), -1) as int) as "end" from v""")
 def asof_bounds_below_whole(spark, d):
-    return L.asof_bounds_below(*_look(spark, d, "true"), KEY)
+    return L.asof_bounds_below(*_look(spark, d, "label <> -1"), KEY)
 
 
 @query("asof_bounds_above_whole", _LOOK_WHOLE + """
 select v.chain_id, v.value, cast(coalesce((select min("start") from g where g.chain_id = v.chain_id and g."start" >= v.value), v.value) as int) as "start",
  cast(coalesce((select min("end") from g where g.chain_id = v.chain_id and g."end" >= v.value), v.value) as int) as "end" from v""")
 def asof_bounds_above_whole(spark, d):
-    return L.asof_bounds_above(*_look(spark, d, "true"), KEY)
+    return L.asof_bounds_above(*_look(spark, d, "label <> -1"), KEY)
 
 
 @query("asof_floor", BASE + """,
-el as (select chain_id, cast((pos * 7) % 50 + 3 as int) as element, pos as idx from res where pos % 5 = 2),
-v as (select chain_id, pos as value from res where pos % 3 = 1)
+el as (select chain_id, cast((pos * 11) % 40 + 9 as int) as element, pos as idx from res where pos % 5 = 2),
+v as (select chain_id, pos as value from res)
 select v.chain_id, v.value, cast(max(el.element) as int) as element, cast(coalesce(arg_min(el.idx, struct_pack(a := -el.element, b := el.idx)), -1) as int) as idx
 from v left join el on el.chain_id = v.chain_id and el.element <= v.value group by v.chain_id, v.value""")
 def asof_floor(spark, d):
-    return _floor(spark, d, "pos % 3 = 1")
+    return _floor(spark, d, (F.col("pos") * 11) % 40 + 9)
 
 
 @query("asof_floor_whole", BASE + """,
@@ -270,24 +286,24 @@ v as (select chain_id, pos as value from res)
 select v.chain_id, v.value, cast(max(el.element) as int) as element, cast(coalesce(arg_min(el.idx, struct_pack(a := -el.element, b := el.idx)), -1) as int) as idx
 from v left join el on el.chain_id = v.chain_id and el.element <= v.value group by v.chain_id, v.value""")
 def asof_floor_whole(spark, d):
-    return _floor(spark, d, "true")
+    return _floor(spark, d, (F.col("pos") * 7) % 50 + 3)
 
 
-def _floor(spark, d, asked):
+def _floor(spark, d, element):
     rows = residues(spark, d)
-    elements = rows.where("pos % 5 = 2").select("chain_id", ((F.col("pos") * 7) % 50 + 3).cast("int").alias("element"), F.col("pos").alias("idx"))
-    return L.asof_floor(rows.where(asked).select("chain_id", F.col("pos").alias("value")), elements, KEY)
+    elements = rows.where("pos % 5 = 2").select("chain_id", element.cast("int").alias("element"), F.col("pos").alias("idx"))
+    return L.asof_floor(rows.select("chain_id", F.col("pos").alias("value")), elements, KEY)
 
 
 @query("segment_of", BASE + """,
-sg as (select chain_id, cast(floor(pos/20) as int) as seg, pos % 20 as ord, cast(pos % 33 as int) as element from res),
+sg as (select chain_id, cast(floor(pos/20) as int) as seg, pos % 20 as ord, cast(pos % 47 as int) as element from res),
 lst as (select * from (select *, max(ord) over (partition by chain_id, seg) as m from sg) where ord = m),
-v as (select distinct chain_id, pos as value from res where pos < 40)
+v as (select distinct chain_id, pos as value from res)
 select v.chain_id, v.value, cast(coalesce((select min(seg) from sg where sg.chain_id = v.chain_id and sg.element = v.value), -1) as int) as any_seg,
  cast(coalesce((select min(seg) from sg where sg.chain_id = v.chain_id and ord = 0 and sg.element = v.value), -1) as int) as first_seg,
  cast(coalesce((select min(seg) from lst where lst.chain_id = v.chain_id and lst.element = v.value), -1) as int) as last_seg from v""")
 def segment_of(spark, d):
-    return _segments(spark, d, "pos < 40")
+    return _segments(spark, d, 47)
 
 
 @query("segment_of_whole", BASE + """,
@@ -298,13 +314,13 @@ select v.chain_id, v.value, cast(coalesce((select min(seg) from sg where sg.chai
  cast(coalesce((select min(seg) from sg where sg.chain_id = v.chain_id and ord = 0 and sg.element = v.value), -1) as int) as first_seg,
  cast(coalesce((select min(seg) from lst where lst.chain_id = v.chain_id and lst.element = v.value), -1) as int) as last_seg from v""")
 def segment_of_whole(spark, d):
-    return _segments(spark, d, "true")
+    return _segments(spark, d, 33)
 
 
-def _segments(spark, d, asked):
+def _segments(spark, d, period):
     rows = residues(spark, d)
-    segs = rows.select("chain_id", F.floor(F.col("pos") / 20).cast("int").alias("seg"), (F.col("pos") % 20).alias("ord"), (F.col("pos") % 33).alias("element"))
-    values = rows.where(asked).select("chain_id", F.col("pos").alias("value"))
+    segs = rows.select("chain_id", F.floor(F.col("pos") / 20).cast("int").alias("seg"), (F.col("pos") % 20).alias("ord"), (F.col("pos") % period).alias("element"))
+    values = rows.select("chain_id", F.col("pos").alias("value"))
     out = L.segment_of(values, segs, KEY).withColumnRenamed("seg", "any_seg")
     for order in ("first", "last"):
         out = out.join(L.segment_of(values, segs, KEY, order).withColumnRenamed("seg", f"{order}_seg"), ["chain_id", "value"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from ..jobs.pipeline import run_pipeline
 from ..operators import lookups as L
 from ..operators import residues as R
 from ..registry import query
+from ..session import checkpoint_dir
 from ..sources import sinks
 from ..sources import structures as T
+from .core import _partitions
 from .sql import ATOMS, BASE
 
 _TYPES = ATOMS + """,
@@ -194,10 +198,22 @@ def write_results_json(spark, d):
     rows = residues(spark, d)
     missing = rows.where("pos % 17 = 5").select("chain_id", "res_label", F.col("pos").alias("ord"))
     out = sinks.result_frame(rows, rows.withColumn("label", F.col("pred")).select("chain_id", "pos", "label"), KEY, missing=missing, chain=KEY)
-    return out.select("chain_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cluster", "res", "res_labels", "missing_res")))
+    path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    sinks.write_results_json(out, path)
+    read = spark.read.schema(out.schema).json(path)
+    return read.select("chain_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cluster", "res", "res_labels", "missing_res")))
 
 
 @query("run_pipeline")
 def pipeline(spark, d):
     out = run_pipeline(_atoms(spark, d).withColumn("altloc", F.lit("")))
     return out["summary"].select("chain_id", "label", "residues", "ranges", "n_clusters", "n_outliers")
+
+
+@query("run_pipeline_results")
+def pipeline_results(spark, d):
+    """The nested results of all frames: labels, commands, missing residues, and scores against the true partition."""
+    partitions = _partitions(residues(spark, d)).select(F.lit("s").alias("structure_id"), F.lit(1).alias("model_id"), "chain_id", "partition")
+    out = run_pipeline(_atoms(spark, d).withColumn("altloc", F.lit("")), partitions=partitions)
+    texts = (F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cluster", "res_labels", "missing_res", "commands"))
+    return out["results"].select("chain_id", *texts, "Score.*")

@@ -129,3 +129,25 @@ def test_post_process():
     assert cleanup.post_processed([0] * 40 + [-1] * 4 + [1] * 40) == [0] * 42 + [1] * 42
     assert cleanup.post_processed([0] * 40 + [1] * 5 + [0] * 40) == [0] * 85
     assert cleanup.post_processed([0] * 50) == [0] * 50
+
+
+def test_post_process_with_gaps():
+    # A domain residue after a gap is not counted: 29 are, so the run is short and is given away, the odd one in turn.
+    places = [*range(40), *range(40, 60), *range(62, 72), *range(72, 112)]
+    out = cleanup.post_processed([0] * 40 + [1] * 30 + [0] * 40, places=places)
+    assert out == [0] * 110
+    assert cleanup.post_processed([0] * 40 + [1] * 30 + [0] * 40, passes=1, places=places) == [0] * 60 + [1] + [0] * 49
+    whole = cleanup.post_processed([0] * 40 + [1] * 30 + [0] * 40)
+    assert whole == [0] * 40 + [1] * 30 + [0] * 40
+    # Outliers are counted across gaps.
+    places = [*range(40), *range(50, 55), *range(60, 65), *range(65, 105)]
+    assert cleanup.post_processed([0] * 40 + [-1] * 10 + [1] * 40, places=places) == [0] * 40 + [-1] * 10 + [1] * 40
+    assert cleanup.post_processed([0] * 40 + [-1] * 9 + [1] * 40) == [0] * 44 + [1] * 45
+    assert cleanup.post_processed([3]) == [3] and cleanup.post_processed([]) == []
+
+
+def test_post_process_frames_use_positions(spark):
+    places = [*range(40), *range(40, 60), *range(62, 72), *range(72, 112)]
+    rows = [("c", p, v) for p, v in zip(places, [0] * 40 + [1] * 30 + [0] * 40, strict=True)]
+    out = cleanup.post_process(spark.createDataFrame(rows, "chain_id string, pos int, label int"), ["chain_id"])
+    assert [r.label for r in sorted(out.collect())] == [0] * 110

@@ -56,3 +56,23 @@ def test_split_files(spark, tmp_path):
     labels = spark.createDataFrame([("s", "A", "1", 0), ("s", "A", "2", 1)], "structure_id string, chain_id string, res_label string, label int")
     sinks.write_split_structures(sinks.split_structure_by_cluster(atoms, labels, ["structure_id", "chain_id"]), str(tmp_path / "out"))
     assert (tmp_path / "out/structure_id=s/chain_id=A/label=1").is_dir()
+
+
+def test_sinks_write_and_read_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from foldspark.schemas import K
+    from foldspark.sources import sinks
+
+    residues = spark.createDataFrame([("s", 1, "A", i, i + 1, f"{i + 1}", float(i), 0.5, -1.0) for i in range(4)], "structure_id string, model_id int, chain_id string, pos int, res_num int, res_label string, x double, y double, z double")
+    labels = residues.select(*K, "pos", F.floor(residues.pos / 2).cast("int").alias("label"))
+    missing = spark.createDataFrame([("s", "A", "9", 1), ("s", "A", "7A", 0)], "structure_id string, chain_id string, res_label string, ord int")
+    out = sinks.result_frame(residues, labels, missing=missing)
+    sinks.write_results_json(out, str(tmp_path / "json"))
+    read = spark.read.schema(out.schema).json(str(tmp_path / "json")).collect()
+    assert read == out.collect() and read[0].cluster == [0, 0, 1, 1] and read[0].missing_res == ["7A", "9"]
+    atoms = residues.select(*K, "res_label", "x").crossJoin(spark.createDataFrame([("CA",), ("N",)], "atom_name string"))
+    split = sinks.split_structure_by_cluster(atoms, labels.join(residues.select(*K, "pos", "res_label"), [*K, "pos"]))
+    sinks.write_split_structures(split, str(tmp_path / "split"), files=2)
+    back = spark.read.parquet(str(tmp_path / "split"))
+    assert back.count() == 8 and sorted(p.name for p in (tmp_path / "split" / "structure_id=s" / "chain_id=A").iterdir() if "=" in p.name) == ["label=0", "label=1"]

@@ -64,3 +64,94 @@ def test_rewiring_keeps_degrees():
     degree = lambda g: np.bincount(g.i, minlength=60) + np.bincount(g.j, minlength=60)
     assert (degree(e) == degree(r)).all() and len(set(zip(r.i.tolist(), r.j.tolist(), strict=True))) == len(e.i)
     assert sorted(r.w) == sorted(e.w) and (r.i != e.i).any()
+
+
+def fragment_modularity(e, nodes, block, resolution):
+    """Modularity of a split of ``nodes`` into ``block`` and the rest, over the edges inside ``nodes``, edge by edge."""
+    own, part = set(nodes), set(block)
+    edges = [(i, j, w) for i, j, w in zip(e.i.tolist(), e.j.tolist(), e.w.tolist(), strict=True) if i in own and j in own]
+    m, q = sum(w for *_, w in edges), 0.0
+    for side in (part, own - part):
+        q += sum(w for i, j, w in edges if i in side and j in side) / m
+        q -= resolution * (sum(w * ((i in side) + (j in side)) for i, j, w in edges) / (2 * m)) ** 2
+    return round(q, 9)
+
+
+def plain_top_down(e, nodes, threshold, least, gap, resolution):
+    """Split a fragment by trying every cut, then split both parts."""
+    n, best = len(nodes), None
+    for k in range(least, n - least + 1):
+        q = fragment_modularity(e, nodes, nodes[k:], resolution)
+        if best is None or q > best[0]:
+            best = (q, nodes[:k], nodes[k:])
+    place = {x: k for k, x in enumerate(nodes)}
+    closing = sorted(tuple(sorted((place[i], place[j]))) for i, j in zip(e.i.tolist(), e.j.tolist(), strict=True) if i in place and j in place)
+    for t, v in closing if n >= 2 * least else []:
+        middle = v - t
+        fits = least - 1 <= t <= n - least - 1 and v + 1 > t + max(gap, 1 + least) and v + 1 <= n - least
+        if fits and middle >= least and n - middle >= least:
+            q = fragment_modularity(e, nodes, nodes[t + 1 : v + 1], resolution)
+            if best is None or q > best[0]:
+                best = (q, nodes[: t + 1] + nodes[v + 1 :], nodes[t + 1 : v + 1])
+    if best is None or best[0] < threshold:
+        return [nodes]
+    return [p for part in best[1:] for p in plain_top_down(e, part, threshold, least, gap, resolution)]
+
+
+def blocks(n, seed):
+    """A chain of compact blocks, the first beside the last: both kinds of split occur."""
+    rng = np.random.default_rng(seed)
+    block = np.arange(n) * 5 // n % 4
+    pairs = {(i, i + 1) for i in range(n - 1)}
+    pairs |= {(i, j) for i in range(n) for j in range(i + 2, n) if rng.random() < (0.3 if block[i] == block[j] else 0.01)}
+    i, j = np.array(sorted(pairs)).T
+    return S.Edges(n, i, j, rng.random(len(i)) + 0.2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_down_equals_the_plain_definition(seed):
+    e = blocks(100, seed)
+    got = [p.tolist() for p in S.top_down(e, 0.2, 8, 12, 1.0)]
+    assert got == plain_top_down(e, list(range(100)), 0.2, 8, 12, 1.0) and len(got) > 2
+
+
+def plain_ratio(near, a, b, mode):
+    one, two = (sum(bool(near[x] & set(other)) for x in own) / len(own) for own, other in ((a, b), (b, a)))
+    return {"max": max(one, two), "avg": (one + two) / 2, "min": min(one, two)}[mode]
+
+
+@pytest.mark.parametrize("mode, wanted", [("max", None), ("avg", None), ("min", None), ("max", 3)])
+def test_merging_equals_the_plain_definition(mode, wanted):
+    e = blocks(120, 7)
+    near = {x: set() for x in range(120)}
+    for i, j in zip(e.i.tolist(), e.j.tolist(), strict=True):
+        near[i].add(j)
+        near[j].add(i)
+    start = [list(range(k, k + 10)) for k in range(0, 120, 10)]
+    pieces, least = [list(p) for p in start], wanted or 1
+    while len(pieces) > least:
+        pairs = [(a, b) for a in range(len(pieces)) for b in range(a + 1, len(pieces))]
+        a, b = max(pairs, key=lambda p: (plain_ratio(near, pieces[p[0]], pieces[p[1]], mode), -p[0], -p[1]))
+        if plain_ratio(near, pieces[a], pieces[b], mode) < 0.6 and wanted is None:
+            break
+        pieces = [p for k, p in enumerate(pieces) if k not in (a, b)] + [sorted(pieces[a] + pieces[b])]
+    got = S.bottom_up(e, [np.array(p) for p in start], 0.6, mode, wanted)
+    assert [p.tolist() for p in got] == pieces and len(pieces) < 12
+    # The smallest piece first.
+    pieces, merging = [list(p) for p in start], True
+    key = lambda p: (len(p), min(p))
+    while merging and len(pieces) > least:
+        merging = False
+        for a in sorted(pieces, key=key):
+            partners = [b for b in pieces if b is not a and plain_ratio(near, a, b, mode) >= 0.6]
+            if partners:
+                b = min(partners, key=key)
+                pieces = [p for p in pieces if p is not a and p is not b] + [sorted(a + b)]
+                merging = True
+                break
+    while wanted is not None and len(pieces) > least:
+        a = min(pieces, key=key)
+        b = min((p for p in pieces if p is not a), key=lambda p: (-round(plain_ratio(near, a, p, mode), 12), *key(p)))
+        pieces = [p for p in pieces if p is not a and p is not b] + [sorted(a + b)]
+    got = S.bottom_up_size_first(e, [np.array(p) for p in start], 0.6, mode, wanted)
+    assert [p.tolist() for p in got] == pieces
