@@ -32,11 +32,11 @@ from .scratch import text_batches
 
 SPACE = "▁"
 #: Segments that a worker's table holds before it is emptied, and bits of its number of slots.
-CACHE, SLOT_BITS = 500_000, 20
+CACHE, SLOT_BITS = 250_000, 19
 #: Characters of the longest segment that is merged in a matrix, and columns of one matrix.
 SHORT, COLUMNS = 32, 4096
 #: Characters that are cut, hashed and looked up together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Segments that one text for the library holds.
 CHECKED = 16
 

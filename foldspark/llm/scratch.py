@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,32 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _written.get()) is not None:
+        held.append(path)
+    return path
+
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that are given out inside, in order, for ``delete`` when what was made of them is written."""
+    held: list[str] = []
+    token = _written.set(held)
+    try:
+        yield held
+    finally:
+        _written.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        held = jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(conf).delete(held, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -52,3 +52,26 @@ def test_repeated_rows_and_null_ids(spark):
 def test_short_templates_are_refused():
     with pytest.raises(ValueError):
         licenses.Templates({"x": "four words are few"}, 5)
+
+
+def test_recall_of_edited_copies_in_long_texts(spark):
+    """Every built-in template, intact and with edited words, at odd places of long texts."""
+    rng = random.Random(11)
+    filler = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(10**5)}" for _ in range(3000)]
+    rows, want = [], set()
+    for t, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        words = text.split()
+        for edits in range(4):
+            own = list(words)
+            if edits and len(words) < 40:
+                continue
+            for at in rng.sample(range(5, len(words) - 5), edits) if edits else []:
+                own[at] = "edited"
+            at, i = rng.randrange(3000), 10 * t + edits
+            rows.append((i, " ".join(filler[:at] + own + filler[at:])))
+            shingles = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+            left = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+            if len(shingles & left) >= 0.8 * len(shingles):
+                want.add((i, name))
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want <= got and len(want) >= len(licenses.TEMPLATES)

@@ -129,3 +129,12 @@ def test_tokens_of_odd_rows(spark):
     out = corpus_pipeline.tokens_stage(spark, odd(spark), SF).collect()
     assert len(out) == 11 and sum(r.n_tokens == 0 for r in out) == 3
     assert corpus_pipeline.tokens_stage(spark, odd(spark, empty=True), SF).collect() == []
+
+
+def test_intermediate_tables_are_deleted(spark, monkeypatch, tmp_path):
+    from foldspark.llm import scratch
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    rows = corpus_pipeline.run(spark, SF).count()
+    left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert rows > 0 and left == ["stage"]
