@@ -17,7 +17,7 @@ from foldspark.llm.decontam import without_contaminated
 from foldspark.llm.neardup import deduplicate
 from foldspark.llm.pieces import encode_documents
 from foldspark.llm.quality import keep_quality
-from foldspark.llm.scratch import cut
+from foldspark.llm.scratch import collected, cut, delete
 from foldspark.llm.secrets import redact_secrets
 
 
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, "stage")
-    return docs
+    """The stages one after another. A stage's intermediate tables and its input go when its result is written; the table
+    that the last one reads stays, as that stage runs with the caller's action."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        with collected() as paths:
+            docs = cut(stage(spark, docs, sf_dir), "stage")
+        delete(spark, before + paths[:-1])
+        before = paths[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
