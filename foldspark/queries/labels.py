@@ -206,11 +206,70 @@ def mark_outliers(spark, d):
     return U.mark_outliers(rows, rows.select("chain_id", "pos", F.col("pred").alias("label"), "ss"), KEY, tau=0.3)
 
 
-@query("merge_small_clusters")
+_MERGE = """,
+w as (with recursive g(chain_id, pos, label, p, going) as (
+  select chain_id, pos, case when n < 30 then -1 else pred end, 0, n >= 30 from (select *, count(*) over (partition by chain_id) as n from res)
+  union all
+  select chain_id, unnest(places), case when not short then label when ll <> -1 and (rl is null or ln >= rn) then ll else coalesce(rl, -1) end, p + 1, bool_or(short) over (partition by chain_id)
+  from (select *, label <> -1 and n < 30 as short, lag(label) over v as ll, lag(n) over v as ln, lead(label) over v as rl, lead(n) over v as rn
+    from (select chain_id, run, min(label) as label, min(p) as p, count(*) as n, list(pos) as places
+      from (select *, sum(brk) over (partition by chain_id order by pos) as run
+        from (select *, case when label is distinct from lag(label) over (partition by chain_id order by pos) then 1 else 0 end as brk from g where going and p < 300))
+      group by chain_id, run) window v as (partition by chain_id order by run)))
+  select chain_id, pos, arg_max(label, p) as label from g group by chain_id, pos)
+select chain_id, pos, cast(label as int) as label from w"""
+
+
+@query("merge_small_clusters", BASE + _MERGE)
 def merge_small_clusters(spark, d):
     return U.merge_small_clusters(_labels(spark, d).select(*_LABELS), KEY)
 
 
-@query("post_process")
+# What a run asks for, as (first place, last place, label); s, e, n are its own, a its left and b its right neighbour's.
+_HALF = "{{'s': {s}, 'e': {s} + greatest({n} // 2, 1) - 1, 'l': {l}}}, {{'s': {s} + greatest({n} // 2, 1), 'e': {e}, 'l': {r}}}"
+_OWN = {"s": "s", "e": "e", "n": "n"}
+_ASKED = f"""case
+ when i = 0 and i = top then []
+ when label = -1 then (case when n = 1 then [{{'s': s, 'e': e, 'l': coalesce(al, closing)}}] else [] end) || (case
+   when i = 0 then case when (n < 10 or n >= 100) and bn >= 30 then [{{'s': s, 'e': e, 'l': bl}}] else [] end
+   when i = top then case when (n < 10 or n >= 100) and an >= 30 then [{{'s': s, 'e': e, 'l': al}}] else [] end
+   when al = bl then [{{'s': s, 'e': e, 'l': al}}]
+   when n < 10 then [{_HALF.format(**_OWN, l='al', r='bl')}] else [] end)
+ when n >= 30 then []
+ when i = 0 then case when bn > n then [{{'s': s, 'e': e, 'l': bl}}]
+   when bl = -1 and b2 is not null and bn = 1 then [{{'s': bs, 'e': be, 'l': b2}}]
+   when bl = -1 and b2 is not null then [{_HALF.format(s='bs', e='be', n='bn', l='label', r='b2')}] else [] end
+ when i = top then case when an > n then [{{'s': s, 'e': e, 'l': al}}]
+   when al = -1 and a2 is not null and an = 1 then [{{'s': ras, 'e': rae, 'l': label}}]
+   when al = -1 and a2 is not null then [{_HALF.format(s='ras', e='rae', n='an', l='a2', r='label')}] else [] end
+ when al = bl and (case when al = -1 then an >= 30 and bn >= 30 else an + bn > n end) then [{{'s': s, 'e': e, 'l': al}}]
+ when al <> bl and al <> -1 and bl <> -1 and an > 30 and bn > 30 then [{_HALF.format(**_OWN, l='al', r='bl')}]
+ when al <> bl and al = -1 and bn > 30 then [{{'s': s, 'e': e, 'l': bl}}]
+ when al <> bl and bl = -1 and an > 30 then [{{'s': s, 'e': e, 'l': al}}]
+ when an > n then [{{'s': s, 'e': e, 'l': case when an > bn then al else bl end}}]
+ when bn > n then [{{'s': s, 'e': e, 'l': bl}}] else [] end"""
+
+
+def post_processing(source: str) -> str:
+    """CTE post (chain_id, pos, label): the clean-up of short runs of the table ``source``, whose places have no gaps."""
+    return f"""
+post as (with recursive g(chain_id, y, p, going) as (
+  select chain_id, list(label order by pos), 0, count(*) > 1 from {source} group by chain_id
+  union all
+  select chain_id, list_transform(range(len(y)), lambda k: coalesce(list_filter(asked, lambda c: c.s <= k and k <= c.e)[-1].l, y[k + 1])), p + 1, len(asked) > 0
+  from (select chain_id, any_value(y) as y, any_value(p) as p, flatten(list(list_filter(asked, lambda c: c.s <= c.e) order by i)) as asked
+    from (select *, {_ASKED} as asked
+      from (select *, max(i) over (partition by chain_id) as top, lag(label) over v as al, lag(n) over v as an, lag(s) over v as ras, lag(e) over v as rae, lag(label, 2) over v as a2,
+          lead(label) over v as bl, lead(n) over v as bn, lead(s) over v as bs, lead(e) over v as be, lead(label, 2) over v as b2, y[-1] as closing
+        from (select chain_id, i, any_value(y) as y, any_value(p) as p, min(label) as label, min(k) as s, max(k) as e, count(*) as n
+          from (select *, sum(brk) over (partition by chain_id order by k) - 1 as i
+            from (select *, case when label is distinct from lag(label) over (partition by chain_id order by k) then 1 else 0 end as brk
+              from (select chain_id, y, p, unnest(y) as label, unnest(range(len(y))) as k from g where going and p < 31)))
+          group by chain_id, i) window v as (partition by chain_id order by i)))
+    group by chain_id))
+  select chain_id, unnest(range(len(y))) as pos, unnest(y) as label from (select chain_id, arg_max(y, p) as y from g group by chain_id))"""
+
+
+@query("post_process", BASE + ", given as (select chain_id, pos, pred as label from res)," + post_processing("given") + " select chain_id, cast(pos as int) as pos, cast(label as int) as label from post")
 def post_process(spark, d):
     return U.post_process(_labels(spark, d).select(*_LABELS), KEY)
