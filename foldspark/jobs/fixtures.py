@@ -36,6 +36,16 @@ def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_gaps(rows: DataFrame) -> DataFrame:
+    """All ``residues``, numbered with two numbers left out before every 17th."""
+    skipped = (2 * F.floor(F.col("pos") / 17)).cast("int")
+    number = F.col("res_seq") + skipped
+    return rows.withColumns({
+        "pos": F.col("pos") + skipped, "res_num": F.col("res_num") + skipped,
+        "res_seq": number, "res_label": F.concat(number.cast("string"), "icode"),
+    })
+
+
 def long_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chain per supplier, of about 600 residues."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..jobs.fixtures import KEY, residues
+from ..jobs.fixtures import KEY, residues, with_gaps
 from ..operators import intervals as I  # noqa: E741
 from ..operators import lookups as L
 from ..operators import residues as R
 from ..registry import query
-from .sql import BASE, runs
+from .sql import BASE, GAPS, runs
 
 
-@query("ranges_of", BASE + """,
-v as (select chain_id, res_seq as value from res where pos % 17 <> 5 group by all),
+@query("ranges_of", GAPS + """,
+v as (select chain_id, res_seq as value from wide group by all),
 g as (select chain_id, value, value - row_number() over (partition by chain_id order by value) as isl from v),
 s as (select chain_id, min(value) as "start", max(value) as "end" from g group by chain_id, isl)
 select chain_id, cast(row_number() over (partition by chain_id order by "start") - 1 as int) as range_no, cast("start" as int) as "start", cast("end" as int) as "end" from s""")
 def ranges_of(spark, d):
-    values = residues(spark, d).where("pos % 17 <> 5").select("chain_id", F.col("res_seq").alias("value"))
+    values = with_gaps(residues(spark, d)).select("chain_id", F.col("res_seq").alias("value"))
     return I.ranges_of(values, KEY)
 
 
-INSERTIONS = BASE + """,
-g as (select *, cast(regexp_replace(res_label, '[^0-9]', '', 'g') as int) as num from res where pos % 17 <> 5),
+INSERTIONS = GAPS + """,
+g as (select *, cast(regexp_replace(res_label, '[^0-9]', '', 'g') as int) as num from wide),
 g1 as (select *, case when num - lag(num) over (partition by chain_id order by pos) in (0, 1) then 0 else 1 end as brk from g),
 g2 as (select *, sum(brk) over (partition by chain_id order by pos) - 1 as run from g1),
 ri as (select chain_id, cast(run as int) as range_no, arg_min(res_label, pos) as "start", arg_max(res_label, pos) as "end" from g2 group by chain_id, run)
@@ -33,12 +33,12 @@ ri as (select chain_id, cast(run as int) as range_no, arg_min(res_label, pos) as
 
 @query("ranges_with_insertions", INSERTIONS + "select * from ri")
 def ranges_with_insertions(spark, d):
-    return I.ranges_with_insertions(residues(spark, d).where("pos % 17 <> 5"), KEY)
+    return I.ranges_with_insertions(with_gaps(residues(spark, d)), KEY)
 
 
 @query("format_ranges", INSERTIONS + """select chain_id, string_agg(case when "start" = "end" then "start" else "start" || '-' || "end" end, ', ' order by range_no) as ranges from ri group by chain_id""")
 def format_ranges(spark, d):
-    return I.format_ranges(I.ranges_with_insertions(residues(spark, d).where("pos % 17 <> 5"), KEY), KEY)
+    return I.format_ranges(I.ranges_with_insertions(with_gaps(residues(spark, d)), KEY), KEY)
 
 
 @query("label_runs", BASE + ",\n" + runs("pred") + " select * from runs")
@@ -46,12 +46,12 @@ def label_runs(spark, d):
     return I.label_runs(residues(spark, d).withColumn("label", F.col("pred")), KEY)
 
 
-@query("labelled_ranges", BASE + """,
-q as (select chain_id, pos, pred as label, pos - lag(pos) over w as gap, pred = lag(pred) over w as same from res where pos % 17 <> 5 window w as (partition by chain_id order by pos)),
+@query("labelled_ranges", GAPS + """,
+q as (select chain_id, pos, pred as label, pos - lag(pos) over w as gap, pred = lag(pred) over w as same from wide window w as (partition by chain_id order by pos)),
 q1 as (select *, cast(sum(case when same then 0 else 1 end) over (partition by chain_id order by pos) - 1 as int) as run from q)
 select chain_id, run, label, pos from q1 where coalesce(not same, true) or label = -1 or gap = 1""")
 def labelled_ranges(spark, d):
-    return I.labelled_ranges(residues(spark, d).where("pos % 17 <> 5").select("chain_id", "pos", F.col("pred").alias("label")), KEY)
+    return I.labelled_ranges(with_gaps(residues(spark, d)).select("chain_id", "pos", F.col("pred").alias("label")), KEY)
 
 
 @query("domain_points", BASE + """,
@@ -77,14 +77,14 @@ def split_segments_at(spark, d):
     return I.split_segments_at(segments, rows.where("pos % 7 = 3").select("chain_id", F.col("pos").alias("point")), KEY)
 
 
-@query("forward_fill_labels", BASE + """,
-q as (select chain_id, res_num, pred as label, res_label from res where pos % 17 <> 5),
+@query("forward_fill_labels", GAPS + """,
+q as (select chain_id, res_num, pred as label, res_label from wide),
 a as (select chain_id, min(res_num) as lo, max(res_num) as hi from q group by chain_id),
 x as (select chain_id, unnest(generate_series(lo, hi)) as res_num from a),
 y as (select x.chain_id, x.res_num, (select max(q.res_num) from q where q.chain_id = x.chain_id and q.res_num <= x.res_num) as src from x)
 select y.chain_id, cast(y.res_num as int) as res_num, q.label, q.res_label from y join q on q.chain_id = y.chain_id and q.res_num = y.src""")
 def forward_fill_labels(spark, d):
-    rows = residues(spark, d).where("pos % 17 <> 5").select("chain_id", "pos", "res_num", F.col("pred").alias("label"), "res_label")
+    rows = with_gaps(residues(spark, d)).select("chain_id", "pos", "res_num", F.col("pred").alias("label"), "res_label")
     return I.forward_fill_labels(rows, KEY)
 
 
@@ -177,11 +177,11 @@ def ordinal_map(spark, d):
     return R.ordinal_map(residues(spark, d).withColumn("res_label", F.col("res_seq").cast("string")), KEY)
 
 
-@query("canonical_sequence", BASE + """,
-s as (select chain_id, res_seq, pos, res_name, res_seq - lag(res_seq) over (partition by chain_id order by res_seq, pos) - 1 as gap from res where pos % 17 <> 5)
+@query("canonical_sequence", GAPS + """,
+s as (select chain_id, res_seq, pos, res_name, res_seq - lag(res_seq) over (partition by chain_id order by res_seq, pos) - 1 as gap from wide)
 select chain_id, string_agg(repeat('-', cast(greatest(coalesce(gap, 0), 0) as int)) || res_name, '' order by res_seq, pos) as sequence from s group by chain_id""")
 def canonical_sequence(spark, d):
-    return R.canonical_sequence(residues(spark, d).where("pos % 17 <> 5"), KEY)
+    return R.canonical_sequence(with_gaps(residues(spark, d)), KEY)
 
 
 _NAMES = {"PSU": "U", "DA": "A", "OMU": "U", "2MA": "A", "GTP": "G", "DT": "T", "DI": "I", "X": "N", "zzz": "ZZZ", " c4j": "C"}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..jobs import domains as D
-from ..jobs.fixtures import KEY, long_residues, residues
+from ..jobs.fixtures import KEY, long_residues, residues, with_gaps
 from ..operators import cleanup as U
 from ..operators import cuts as X
 from ..operators import graph as G
 from ..registry import query
-from .sql import BASE, EDGES
+from .sql import BASE, EDGES, GAPS
 
 _LABELS = ("chain_id", "pos", "label")
 
@@ -111,11 +111,11 @@ def cut_candidates(spark, d):
     return X.cut_candidates(residues(spark, d), KEY)
 
 
-@query("cut_candidates_with_gaps", BASE + """,
-cl as (select chain_id, pos, ss, res_seq, lag(ss) over w as prev, lag(res_seq) over w as pn from res where pos % 17 <> 5 window w as (partition by chain_id order by pos))
+@query("cut_candidates_with_gaps", GAPS + """,
+cl as (select chain_id, pos, ss, res_seq, lag(ss) over w as prev, lag(res_seq) over w as pn from wide window w as (partition by chain_id order by pos))
 select chain_id, pos as k from cl where pos >= 1 and (ss <> prev or res_seq <> pn + 1)""")
 def cut_candidates_with_gaps(spark, d):
-    return X.cut_candidates(residues(spark, d).where("pos % 17 <> 5"), KEY, boundary_only=True, gap_label="res_seq")
+    return X.cut_candidates(with_gaps(residues(spark, d)), KEY, boundary_only=True, gap_label="res_seq")
 
 
 _SCAN = """,
