@@ -1,6 +1,5 @@
 """Operators on long tables of chains.
 
-Unless an operator says otherwise: empty tables give empty results; extra columns are ignored; rows whose key is null are a
-chain of their own in groups and windows, and meet nothing in joins; a null label, place or coordinate takes part in no
-comparison, so it starts no contact and equals no label. (keys, pos) is unique.
+Unless an operator says otherwise: (keys, pos) is unique, empty tables give empty results, and rows whose key is null are a
+chain of their own in groups and windows and meet nothing in joins.
 """
