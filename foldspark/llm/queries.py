@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann
+from .alignment import aligned_tokens
 from .decontam import contaminated
+from .importance import resample
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .pieces import encode_documents
 from .quality import quality_scores
 from .secrets import find_secrets
 from .sharding import assign_shards
+from .tokenfiles import tokens_written_and_read
 from .urlfilter import PATTERNS, filter_urls, host_rule
 from .warc import archive_pages
 
@@ -95,6 +98,21 @@ def op10_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op11_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_written_and_read(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 # SQL twins of the queries that SQL can express.
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,3 +155,23 @@ select page_id, host, path, case {rule} end as rule, case {action} when pattern
 
 
 ORACLES["op7_url_rules"] = _url_sql()
+
+#: A word's CRC is computed byte by byte with the usual table of 256 entries (polynomial 0xEDB88320), once for each
+#: distinct word.
+ORACLES["op12_importance_resampling"] = f"""
+with tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+') as ws from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+') as ws from benchmark),
+dw as (select doc_id, unnest(ws) as word from w), bw as (select unnest(ws) as word from b),
+words as (select word from dw union select word from bw),
+crc as (select word, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(strlen(word)), lambda i: cast('0x' || substring(hex(encode(word)), 2 * i + 1, 2) as bigint))),
+  lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)), 4294967295) % 10000 as bucket from words, tab),
+s as (select bucket, count(*) as n from dw join crc using (word) group by bucket), t as (select bucket, count(*) as n from bw join crc using (word) group by bucket),
+g as (select bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select sum(n) from s)::double + 10000) / ((s.n + 1)::double * ((select coalesce(sum(n), 0) from t)::double + 10000)))) as bigint) as gain
+  from s left join t using (bucket)),
+m as (select doc_id, count(*) as n, floor(sum(gain)::double / count(*)) as weight from dw join crc using (word) join g using (bucket) group by doc_id),
+d as (select doc_id, cast(len(ws) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+  cast('0x' || substring(sha256('2024:' || doc_id), 1, 8) as bigint) as h from w left join m using (doc_id)),
+e as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from d),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as able from e where n_features >= 20)
+select e.doc_id, n_features, weight, score, case when rank <= 10 * able // 100 then rank end as rank from e left join r using (doc_id)"""
