@@ -97,18 +97,30 @@ class Model:
 
 
 def positive_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, with no negatives known: the least ratio of the shares of both that
-    score above a bound, under a model that tells one from the other. Far up only positives are left, and the ratio
-    falls to their share. A least of noisy ratios lies too low, so each is taken with one standard deviation more, and
-    bounds that fewer than a fifth of the positives pass don't count."""
-    if not len(positive) or not len(unlabelled):
+    """The share of positives among the unlabelled, with no negatives known: the ratio of the shares of both that score
+    above a bound, under a model that tells one from the other. Far up only positives are left, and the ratio falls to
+    their share. The lowest bound (that with the most rows) whose ratio is within one standard deviation of the least is
+    picked on one half of the rows, where bounds that fewer than a fifth of the positives pass don't count, and the
+    ratio is read on the other half, so the choice among noisy ratios doesn't move it; the halves take both parts, and
+    the mean counts."""
+    if min(len(positive), len(unlabelled)) < 2:
         return 0.5
     model = fit(positive, unlabelled, 0.5, clip=False)
-    p, u = np.sort(model.score(positive)), np.sort(model.score(unlabelled))
-    bounds = np.quantile(p, np.linspace(0, 0.8, 81))
-    n_u, n_p = (len(x) - np.searchsorted(x, bounds, "left") for x in (u, p))
-    ratio = (n_u / len(u)) / (n_p / len(p)) * (1 + np.sqrt(1 / np.maximum(n_u, 1) + 1 / n_p))
-    return float(np.clip(ratio.min(), 0.01, 0.99))
+    p, u = model.score(positive), model.score(unlabelled)
+    rng = np.random.default_rng(0)
+    p, u = rng.permutation(p), rng.permutation(u)
+    ratios = []
+    for half in (0, 1):
+        (p0, u0), (p1, u1) = ((np.sort(p[k::2]), np.sort(u[k::2])) for k in (half, 1 - half))
+        bounds = np.quantile(p0, np.linspace(0, 0.8, 81), method="lower")
+        n_u, n_p = (len(x) - np.searchsorted(x, bounds, "left") for x in (u0, p0))
+        ratio = (n_u / len(u0)) / (n_p / len(p0))
+        upper = ratio * (1 + np.sqrt(1 / np.maximum(n_u, 1) + 1 / n_p))
+        bound = bounds[(ratio <= upper.min()).argmax()]
+        n_u, n_p = ((x >= bound).sum() for x in (u1, p1))
+        if n_p:
+            ratios.append((n_u / len(u1)) / (n_p / len(p1)))
+    return float(np.clip(np.mean(ratios), 0.01, 0.99)) if ratios else 0.5
 
 
 def fit(

@@ -7,12 +7,15 @@ the number of rows of every cell, so the plan is worked out from at most ``CELLS
 then joined back as a table of rank intervals. With ``slack`` 0 shards hold floor or ceil of rows / shards: counts are at
 most one apart (law ``rows``). Equal texts are spread like any other rows, since ids decide the place.
 
-Rows of a cell are numbered by a window over the cell. A cell of more than ``HOT`` rows (one id, or no id and one text,
-in very many rows) is numbered in parts, by a hash of the row and by the source partition for rows that are equal
-throughout; the parts' counts are summed up to offsets. No task holds the rows of a hot cell.
+Rows of a cell are in the order of (part, place, id, CRC, size), where ``place`` is a hash of the id and ``part`` the
+leading bits of the place and of the CRC. A window over the cell numbers them; a cell of more than ``HOT`` rows (one id,
+or no id and one text, in very many rows) is numbered in its parts, which are ranges of the same order, and rows that are
+equal throughout by the source partition: prefix sums over the parts give the ranks. So ranks depend neither on ``HOT``
+nor on how the table is partitioned, and no task holds the rows of a hot cell.
 
 Edge cases: a null text has no bytes (size 8, CRC of the empty text); a row without id is placed by its text's CRC.
-Repeated rows are placed one by one. In a hot cell the order of rows follows the source partitions. An empty table gives an empty result; other columns are ignored.
+Repeated rows are placed one by one; which of several equal rows comes first does not show. An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import cut, maybe_broadcast
+from .scratch import cut
 
 CELLS = 1 << 14
-#: Rows of a cell up to which one window numbers it, and parts by hash of a larger one.
-HOT, PARTS = 1_000_000, 64
+#: Rows of a cell up to which one window numbers it. Larger ones are numbered in parts; ranks are the same.
+HOT = 1_000_000
 
 
 def _cell(*cols: Column | str) -> Column:
@@ -82,21 +85,26 @@ def plan(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int, slac
 
 def ranked(rows: DataFrame, hot: list[int]) -> DataFrame:
     """``rows`` of cells with their rank in the cell, from 0; cells in ``hot`` are numbered in parts."""
-    order = ("place", "doc_id", "text_crc32", "size", "row")
+    row = ["place", "known", "id", "text_crc32", "size"]
+    crowded = F.col("cell").isin(hot) if hot else F.lit(False)
+    order = Window.partitionBy("cell").orderBy("part", *row, "row")
+    plain = rows.where(~crowded).withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
     if not hot:
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1
-        return rows.withColumn("rank", rank.cast("bigint"))
-    crowded = F.col("cell").isin(hot)
-    part = F.pmod(F.xxhash64("place", "text_crc32", "size"), F.lit(PARTS)).cast("int")
-    source = F.shiftright("row", 33).cast("int")  # the partition in which monotonically_increasing_id numbered the row
-    rows = rows.withColumns({"part": F.when(crowded, part).otherwise(0), "source": F.when(crowded, source).otherwise(0)})
-    own = ("cell", "part", "source")
-    before = Window.partitionBy("cell").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.where(crowded).groupBy(*own).agg(F.count("*").alias("n"))
-    counts = cut(counts.select(*own, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
-    inside = F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1
-    rows = rows.withColumn("inside", inside).join(maybe_broadcast(counts, 100_000), list(own), "left")
-    return rows.withColumn("rank", F.col("inside") + F.coalesce("offset", F.lit(0))).drop("part", "source", "inside", "offset")
+        return plain
+    # The partition in which monotonically_increasing_id numbered the row.
+    rows = rows.where(crowded).withColumn("source", F.shiftright("row", 33).cast("int"))
+    own = ["cell", "part", *row, "source"]
+    until = (Window.unboundedPreceding, -1)
+    groups = rows.groupBy(*own).agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("cell", "part").orderBy(*row, "source").rowsBetween(*until)
+    groups = groups.select(*own, "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("earlier"))
+    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(*until)
+    parts = parts.select("cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    groups = groups.drop("n").join(parts, ["cell", "part"])
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy(*own).orderBy("row")) - 1).join(groups, own)
+    rows = rows.withColumn("rank", F.col("before") + F.col("earlier") + F.col("number"))
+    return plain.unionByName(rows.select(*plain.columns))
 
 
 def assign_shards(
@@ -114,6 +122,9 @@ def assign_shards(
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size, F.crc32(text).alias("text_crc32"))
     place = F.coalesce("doc_id", F.col("text_crc32"))
     rows = rows.withColumns({"cell": _cell(place), "place": F.xxhash64(F.lit("rank"), place)})
+    part = F.shiftrightunsigned("place", 58) * 64 + F.shiftright("text_crc32", 26)
+    known = {"known": F.col("doc_id").isNotNull(), "id": F.coalesce("doc_id", F.lit(0))}
+    rows = rows.withColumns({"part": part.cast("int"), **known})
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "cells")
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     names = ("cell", "lo", "hi", "shard", "base")
