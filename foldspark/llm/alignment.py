@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as W
-from .bytepairs import byte_encoder
+from .bytepairs import byte_encoder, byte_names
 from .pieces import SPACE, encoder, spread
 from .scratch import cut, text_batches
 
@@ -56,20 +56,12 @@ class Vocabulary:
         return self.data[spread(self.starts[ids], self.sizes[ids])]
 
 
-def _byte_level() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others,
-    in order, for the characters from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Aligner:
     """Encoders and token bytes of both sides."""
 
     def __init__(self, byte_level: str, pieces: str):
         self.encode_a, self.encode_b = byte_encoder(byte_level).encode, encoder(pieces).encode
-        library, byte = byte_encoder(byte_level).library, _byte_level()
+        library, byte = byte_encoder(byte_level).library, byte_names()
         names = [library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]
         special = library.get_added_tokens_decoder()
         self.a = Vocabulary([b"" if i in special else bytes(byte[c] for c in t) for i, t in enumerate(names)])

@@ -1,26 +1,44 @@
 """Byte-level byte-pair encoding of whole tables with the tokenizers library.
 
-The library's splitter works left to right without looking back, and a run of letters ends where no letter follows: a text
-may be cut between a letter and a sign of ASCII that is no letter, with the same ids on both sides. Texts are cut at all
-these places; segments are looked up by hash in the bounded table of ``pieces``, every hit is compared character by
-character, and segments that are new to a worker are encoded by the library itself.
+The library's splitter works left to right without looking back. A run of letters ends where no letter follows, and a
+blank that stands alone begins what follows it: a text may be cut between a letter and a sign of ASCII that is no letter,
+and between a sign of ASCII and a blank before a letter, with the same ids on both sides. Texts are cut at all these
+places; segments are looked up by hash in the bounded table of ``pieces``, every hit is compared character by character,
+and segments that are new to a worker are encoded by the library: those that are letters after at most one blank, one part
+for its splitter, by its model alone, and all others as texts.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 from .pieces import BLOCK, Encoder
 
+#: Segments that a worker's table holds before it is emptied, and bits of its number of slots.
+CACHE, SLOT_BITS = 1_000_000, 21
 #: Code points below which the classes of characters are the same in all versions of Unicode that libraries use.
 STABLE = 0x0600
 
 
+def byte_names() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others,
+    in order, for the characters from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+BYTE_NAMES = {b: c for c, b in byte_names().items()}
+
+
 class ByteEncoder(Encoder):
     """The encodings of one tokenizer file, and the segments met so far. Strings of special tokens are plain text."""
 
+    slot_bits = SLOT_BITS
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -31,12 +49,30 @@ class ByteEncoder(Encoder):
         self.signs = np.array([not chr(i).isalpha() for i in range(128)])
         self._forget()
 
+    def full(self) -> bool:
+        return self.chars_end.n > CACHE
+
     def merged(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of segments given as one array of code points, and how many each segment has."""
-        text, ends = points.tobytes().decode("utf-32-le"), sizes.cumsum().tolist()
-        parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        ids = [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        return np.array([i for own in ids for i in own], np.int32), np.array([len(own) for own in ids], np.int64)
+        text, ends, starts = points.tobytes().decode("utf-32-le"), sizes.cumsum(), sizes.cumsum() - sizes
+        other = ~self.letters[np.minimum(points, STABLE - 1)] | (points >= STABLE)
+        blank = points[starts] == 32
+        single = (np.add.reduceat(other, starts) == blank) & (sizes > blank)
+        found: list[list[int]] = [[]] * len(sizes)
+        words = np.flatnonzero(single)
+        # The model reads one character for each byte.
+        wide = 1 + (points >= 128).astype(np.int64) + (points >= 2048) + (points >= 65536)
+        upto = np.concatenate([[0], wide.cumsum()])
+        named = text.encode().decode("latin-1").translate(BYTE_NAMES)
+        tokenize = self.library.model.tokenize
+        for k, a, b in zip(words.tolist(), upto[starts[words]].tolist(), upto[ends[words]].tolist(), strict=True):
+            found[k] = [t.id for t in tokenize(named[a:b])]
+        texts = np.flatnonzero(~single)
+        parts = [text[a:b] for a, b in zip(starts[texts].tolist(), ends[texts].tolist(), strict=True)]
+        for k, x in zip(texts.tolist(), self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            found[k] = x.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
     def check(self, points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Nothing to compare: the ids are the library's."""
@@ -50,6 +86,8 @@ class ByteEncoder(Encoder):
         cut = np.ones(len(points), bool)
         cut[1:] = self.letters[np.minimum(points[:-1], STABLE - 1)] & (points[:-1] < STABLE)
         cut[1:] &= self.signs[np.minimum(points[1:], 127)] & (points[1:] < 128)
+        alone = (points[1:-1] == 32) & self.letters[np.minimum(points[2:], STABLE - 1)] & (points[2:] < STABLE)
+        cut[1:-1] |= alone & (points[:-2] > 32) & (points[:-2] < 127)
         cut[ends[:-1][ends[:-1] < len(points)]] = True
         starts = np.flatnonzero(cut)
         ids, counts, lo = [], [], 0

@@ -63,6 +63,8 @@ class Grown:
 class Encoder:
     """The merges of one model file, and the segments met so far."""
 
+    slot_bits = SLOT_BITS
+
     def __init__(self, model: str):
         import sentencepiece
 
@@ -143,7 +145,10 @@ class Encoder:
         self.chars_end, self.ids_end = Grown(np.int64), Grown(np.int64)
         self.chars_end.add(np.zeros(1, np.int64))
         self.ids_end.add(np.zeros(1, np.int64))
-        self.tags, self.numbers = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int64)
+        self.tags, self.numbers = np.zeros(1 << self.slot_bits, np.uint64), np.full(1 << self.slot_bits, -1, np.int64)
+
+    def full(self) -> bool:
+        return self.chars_end.n > CACHE
 
     def merge(self, text: str) -> list[int]:
         """Ids of normalised text."""
@@ -273,11 +278,11 @@ class Encoder:
 
     def _block(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the segments of ``points``, and how many each has."""
-        if self.chars_end.n > CACHE:
+        if self.full():
             self._forget()
         sizes = np.diff(np.append(starts, len(points)))
         hashes = W.ranges_hash(W.mix(points), starts, sizes)
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         number = np.where(self.tags[slot] == hashes, self.numbers[slot], -1)
         missing = np.flatnonzero(number < 0)
         if len(missing):

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from foldspark.llm import alignment
+from foldspark.llm import alignment, bytepairs
 
 BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 ODD = ["", None, " ", "a", "  two  spaces ", "▁x y", "<|endoftext|> and <s> </s>", "\x00 nul", "日本語のテキスト", "😀😀 x 😀", "é ﬁ １", "don't 'stop'", "\n\n\tx", "a" * 500, "😀" * 300, "ab " * 400]
@@ -18,7 +18,7 @@ def plain(rows):
     """Rows of the contract by overlaps of byte ranges, one document at a time."""
     a_lib, b_lib = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     a_lib.encode_special_tokens = True
-    byte = alignment._byte_level()
+    byte = bytepairs.byte_names()
     found, held = [], defaultdict(int)
     for doc_id, text in rows:
         text, a, b, groups, links = text or "", [], [], [], Counter()
