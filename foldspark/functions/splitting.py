@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Longest fragment whose inner weights are read off a dense table.
-DENSE = 2000
-
 
 @dataclass(frozen=True)
 class Edges:
@@ -54,28 +54,22 @@ def continuous(e: Edges, min_len: int, resolution: float, allowed: np.ndarray |
 
 
 def middle_weights(e: Edges, t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Weight of the edges inside (t, v] for each pair."""
-    if e.n <= DENSE:
-        table = np.zeros((e.n + 1, e.n + 1))
-        np.add.at(table, (e.i, e.j + 1), e.w)
-        table = table[::-1].cumsum(axis=0)[::-1].cumsum(axis=1)
-        return table[t + 1, v + 1]
-    # Edges enter a Fenwick tree over j from the largest i down; a pair is asked once all edges with i > t are in.
-    tree, out = np.zeros(e.n + 1), np.empty(len(t))
-    order, edge = np.argsort(-t, kind="stable"), iter(np.argsort(-e.i, kind="stable"))
-    k = next(edge, None)
-    for p in order:
-        while k is not None and e.i[k] > t[p]:
-            at = e.j[k] + 1
-            while at <= e.n:
-                tree[at] += e.w[k]
-                at += at & -at
-            k = next(edge, None)
-        at, total = v[p] + 1, 0.0
-        while at > 0:
-            total += tree[at]
-            at -= at & -at
-        out[p] = total
+    """Weight of the edges inside (t, v] for each pair.
+
+    i > t holds at exactly one binary place, where i has 1, t has 0 and all higher places agree. At every place, edges
+    sorted by (higher places, j) answer all pairs by two look-ups in their running sum: (edges + pairs) log n in all.
+    """
+    out = np.zeros(len(t))
+    for level in range(max(1, int(e.n - 1).bit_length())):
+        own, asked = np.flatnonzero(e.i >> level & 1), np.flatnonzero(~(t >> level) & 1)
+        if not len(own) or not len(asked):
+            continue
+        keys = (e.i[own] >> level + 1) * (e.n + 1) + e.j[own]
+        order = np.argsort(keys, kind="stable")
+        keys, upto = keys[order], np.concatenate([[0.0], e.w[own][order].cumsum()])
+        base = (t[asked] >> level + 1) * (e.n + 1)
+        first, last = np.searchsorted(keys, base), np.searchsorted(keys, base + v[asked], "right")
+        out[asked] += upto[last] - upto[first]
     return out
 
 
@@ -112,11 +106,20 @@ def best_split(e: Edges, nodes: np.ndarray, min_len: int, min_gap: int, resoluti
     return q, np.concatenate([nodes[: t + 1], nodes[v + 1 :]]), nodes[t + 1 : v + 1]
 
 
-def top_down(e: Edges, threshold: float, min_len: int, min_gap: int, resolution: float, cuts: np.ndarray | None = None) -> list[np.ndarray]:
-    """Pieces of the chain after splitting while q >= ``threshold``, left part first. No cuts at all: all places."""
+def top_down(
+    e: Edges,
+    threshold: float,
+    min_len: int,
+    min_gap: int,
+    resolution: float,
+    cuts: np.ndarray | None = None,
+    nodes: np.ndarray | None = None,
+) -> list[np.ndarray]:
+    """Pieces of the chain, or of its fragment ``nodes``, after splitting while q >= ``threshold``, left part first. No
+    cuts at all: all places."""
     if cuts is not None and not len(cuts):
         cuts = None
-    waiting, out = [np.arange(e.n)], []
+    waiting, out = [np.arange(e.n) if nodes is None else nodes], []
     while waiting:
         nodes = waiting.pop()
         found = best_split(e, nodes, min_len, min_gap, resolution, cuts)
@@ -128,73 +131,139 @@ def top_down(e: Edges, threshold: float, min_len: int, min_gap: int, resolution:
 
 
 class Contacts:
-    """Which residues touch which piece, kept up to date as pieces merge."""
+    """Which residues touch which piece, kept up to date as pieces merge.
+
+    ``touching[a]`` are the residues that touch piece a, and ``count[a][b]`` is how many residues of a touch b, for the
+    pieces that touch at all. The smaller set always joins the larger one, so all merges together cost E log E steps, and
+    memory is linear in edges. Pieces have growing numbers; a merged piece gets the next.
+    """
 
     def __init__(self, e: Edges, pieces: list[np.ndarray]):
-        self.pieces = list(pieces)
+        self.members = {k: p.tolist() for k, p in enumerate(pieces)}
+        self.least = {k: min(p, default=-1) for k, p in self.members.items()}
+        self.next = len(pieces)
         owner = np.full(e.n, -1)
         for k, p in enumerate(pieces):
             owner[p] = k
-        touch = np.zeros((e.n, len(pieces)), bool)
-        touch[e.i, owner[e.j]] = True
-        touch[e.j, owner[e.i]] = True
-        self.touch = [touch[:, k] for k in range(len(pieces))]
+        ends, others = np.concatenate([e.i, e.j]), np.concatenate([e.j, e.i])
+        inside = (owner[ends] >= 0) & (owner[others] >= 0)
+        pairs = np.unique(ends[inside] * max(1, len(pieces)) + owner[others[inside]])
+        residues, touched = np.divmod(pairs, max(1, len(pieces)))
+        # A residue's slot, and the piece that has the slot now: a merge gives new slots to the smaller piece only.
+        self.slot, self.holder = owner.tolist(), {k: k for k in self.members}
+        self.home = dict(self.holder)
+        self.touching: dict[int, set[int]] = {k: set() for k in self.members}
+        self.count: dict[int, dict[int, int]] = {k: defaultdict(int) for k in self.members}
+        for x, k in zip(residues.tolist(), touched.tolist(), strict=True):
+            self.touching[k].add(x)
+            if self.slot[x] != k:
+                self.count[self.slot[x]][k] += 1
 
     def ratio(self, a: int, b: int, mode: str) -> float:
-        one = self.touch[b][self.pieces[a]].mean() if len(self.pieces[a]) else 0.0
-        two = self.touch[a][self.pieces[b]].mean() if len(self.pieces[b]) else 0.0
+        one = self.count[a].get(b, 0) / len(self.members[a]) if self.members[a] else 0.0
+        two = self.count[b].get(a, 0) / len(self.members[b]) if self.members[b] else 0.0
         return float({"max": max(one, two), "avg": (one + two) / 2, "min": min(one, two)}[mode])
 
-    def merge(self, a: int, b: int) -> None:
-        """The merged piece goes to the end."""
-        piece, touch = np.union1d(self.pieces[a], self.pieces[b]), self.touch[a] | self.touch[b]
-        for held, new in ((self.pieces, piece), (self.touch, touch)):
-            held[:] = [x for k, x in enumerate(held) if k not in (a, b)] + [new]
+    def near(self, a: int) -> Iterator[int]:
+        """Pieces that touch ``a``."""
+        return iter(self.count[a])
+
+    def merge(self, a: int, b: int) -> int:
+        """The number of the merged piece."""
+        new, self.next = self.next, self.next + 1
+        small, large = sorted((a, b), key=lambda k: len(self.touching[k]))
+        # Residues of other pieces that touch both count once from now on.
+        both: dict[int, int] = defaultdict(int)
+        held = self.touching.pop(large)
+        for x in self.touching.pop(small):
+            if x in held:
+                both[self.holder[self.slot[x]]] += 1
+            else:
+                held.add(x)
+        self.touching[new] = held
+        one, two = self.count.pop(a), self.count.pop(b)
+        self.count[new] = defaultdict(int)
+        for c in (set(one) | set(two)) - {a, b}:
+            self.count[new][c] = one.get(c, 0) + two.get(c, 0)
+            theirs = self.count[c]
+            theirs[new] = theirs.pop(a, 0) + theirs.pop(b, 0) - both.get(c, 0)
+        few, many = sorted((a, b), key=lambda k: len(self.members[k]))
+        home = self.home.pop(many)
+        del self.holder[self.home.pop(few)]
+        self.home[new], self.holder[home] = home, new
+        moved = self.members.pop(few)
+        for x in moved:
+            self.slot[x] = home
+        self.members[new] = self.members.pop(many)
+        self.members[new] += moved
+        self.least[new] = min(self.least.pop(a), self.least.pop(b))
+        return new
 
     def key(self, k: int) -> tuple[int, int]:
-        return len(self.pieces[k]), int(self.pieces[k].min())
+        return len(self.members[k]), self.least[k]
+
+    def pieces(self) -> list[np.ndarray]:
+        """In order of their numbers."""
+        return [np.sort(np.array(p, np.int64)) for _, p in sorted(self.members.items())]
 
 
 def bottom_up(e: Edges, pieces: list[np.ndarray], ratio: float, mode: str = "max", wanted: int | None = None) -> list[np.ndarray]:
     """Merge the pair of largest contact ratio (the first on ties) while it reaches ``ratio``. With ``wanted`` pieces:
-    never fewer, and merging goes on below ``ratio`` until they are reached. A merge renews the merged piece's ratios."""
+    never fewer, and merging goes on below ratio until they are reached. A merge renews the merged piece's ratios.
+
+    Pairs that touch wait in a heap; pairs of merged pieces are skipped when they come up."""
     held = Contacts(e, pieces)
     least = 1 if wanted is None else max(1, wanted)
-    n = len(held.pieces)
-    table = np.full((n, n), -1.0)
-    for a in range(n):
-        for b in range(a + 1, n):
-            table[a, b] = held.ratio(a, b, mode)
-    while len(held.pieces) > least:
-        a, b = divmod(int(table.argmax()), len(table))
-        if table[a, b] < ratio and wanted is None:
+    heap = [(-held.ratio(a, b, mode), a, b) for a in held.members for b in held.near(a) if a < b]
+    heapq.heapify(heap)
+    while len(held.members) > least:
+        while heap and not (heap[0][1] in held.members and heap[0][2] in held.members):
+            heapq.heappop(heap)
+        if heap:
+            best, a, b = heapq.heappop(heap)
+        else:  # no pieces touch: the first two have ratio 0, like all others
+            best, (a, b) = 0.0, sorted(held.members)[:2]
+        if -best < ratio and wanted is None:
             break
-        held.merge(a, b)
-        table = np.pad(np.delete(np.delete(table, (a, b), 0), (a, b), 1), (0, 1), constant_values=-1.0)
-        last = len(table) - 1
-        table[:last, last] = [held.ratio(k, last, mode) for k in range(last)]
-    return held.pieces
+        new = held.merge(a, b)
+        for c in held.near(new):
+            heapq.heappush(heap, (-held.ratio(c, new, mode), c, new))
+    return held.pieces()
 
 
 def bottom_up_size_first(e: Edges, pieces: list[np.ndarray], ratio: float, mode: str = "min", wanted: int | None = None) -> list[np.ndarray]:
     """The smallest piece joins the smallest partner that it touches in ``ratio``; then, down to ``wanted`` pieces, the
-    smallest joins its best partner."""
+    smallest joins its best partner.
+
+    Pieces wait in a heap by size. One without partners leaves it until a merge makes a neighbour that it touches in
+    ``ratio``; no other merge can give it a partner."""
     held = Contacts(e, pieces)
     least = 1 if wanted is None else max(1, wanted)
-    merging = True
-    while merging and len(held.pieces) > least:
-        merging = False
-        for a in sorted(range(len(held.pieces)), key=held.key):
-            partners = [b for b in range(len(held.pieces)) if b != a and held.ratio(a, b, mode) >= ratio]
-            if partners:
-                held.merge(a, min(partners, key=lambda b: (*held.key(b), b)))
-                merging = True
-                break
-    while wanted is not None and len(held.pieces) > least:
-        a = min(range(len(held.pieces)), key=held.key)
-        others = [b for b in range(len(held.pieces)) if b != a]
-        held.merge(a, min(others, key=lambda b: (-round(held.ratio(a, b, mode), 12), *held.key(b), b)))
-    return held.pieces
+
+    def fits(a: int) -> Iterator[int]:
+        others = held.near(a) if ratio > 0 else (b for b in held.members if b != a)
+        return (b for b in others if held.ratio(a, b, mode) >= ratio)
+
+    heap = [(held.key(a), a) for a in held.members]
+    heapq.heapify(heap)
+    while heap and len(held.members) > least:
+        _, a = heapq.heappop(heap)
+        if a not in held.members or (b := min(fits(a), key=held.key, default=None)) is None:
+            continue
+        new = held.merge(a, b)
+        for c in [new, *held.near(new)]:
+            if c == new or held.ratio(c, new, mode) >= ratio:
+                heapq.heappush(heap, (held.key(c), c))
+    heap = [(held.key(a), a) for a in held.members]
+    heapq.heapify(heap)
+    while wanted is not None and len(held.members) > least:
+        _, a = heapq.heappop(heap)
+        if a not in held.members:
+            continue
+        near = list(held.near(a)) or [b for b in held.members if b != a]
+        new = held.merge(a, min(near, key=lambda b: (-round(held.ratio(a, b, mode), 12), held.key(b))))
+        heapq.heappush(heap, (held.key(new), new))
+    return held.pieces()
 
 
 def labels_of(n: int, pieces: list[np.ndarray]) -> np.ndarray:

@@ -30,9 +30,15 @@ def test_continuous(seed):
     assert q == pytest.approx(max(every.values()), abs=1e-8) and every[k] == pytest.approx(q, abs=1e-8)
 
 
-@pytest.mark.parametrize("dense", [2000, 0])
-def test_discontinuous(dense, monkeypatch):
-    monkeypatch.setattr(S, "DENSE", dense)
+def test_middle_weights():
+    for seed, n in ((0, 2), (1, 3), (2, 64), (3, 65), (4, 300)):
+        e = random_graph(n, seed)
+        t, v = np.divmod(np.arange(n * n), n)
+        want = [e.w[(e.i > a) & (e.j <= b)].sum() for a, b in zip(t, v, strict=True)]
+        assert np.allclose(S.middle_weights(e, t, v), want)
+
+
+def test_discontinuous():
     e = random_graph(90, 5)
     q, t, v = S.discontinuous(e, 10, 30, 1.0)
     best = max((plain_modularity(e, np.arange(a + 1, b + 1)) for a, b in zip(e.i, e.j, strict=True) if 9 <= a <= 79 and b + 1 > a + 30 and b + 1 <= 80 and 90 - (b - a) >= 10))
@@ -58,6 +64,50 @@ def test_pieces_cover_the_chain_and_merge():
     assert len(S.bottom_up_size_first(e, pieces, 2.0, wanted=2)) == 2
 
 
+def plain_merged(near, start, ratio, mode, wanted):
+    pieces, least = [list(p) for p in start], wanted or 1
+    while len(pieces) > least:
+        pairs = [(a, b) for a in range(len(pieces)) for b in range(a + 1, len(pieces))]
+        a, b = max(pairs, key=lambda p: (plain_ratio(near, pieces[p[0]], pieces[p[1]], mode), -p[0], -p[1]))
+        if plain_ratio(near, pieces[a], pieces[b], mode) < ratio and wanted is None:
+            break
+        pieces = [p for k, p in enumerate(pieces) if k not in (a, b)] + [sorted(pieces[a] + pieces[b])]
+    return pieces
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_merging_of_random_pieces(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(20, 90))
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (int(rng.integers(5, 3 * n)), 2)).tolist() if p[0] != p[1]}
+    i, j = np.array(sorted(pairs)).T
+    e = S.Edges(n, i, j, np.ones(len(i)))
+    near = {x: {b for a, b in [*pairs, *((b, a) for a, b in pairs)] if a == x} for x in range(n)}
+    owner = rng.integers(0, int(rng.integers(2, 15)), n)
+    start = [np.flatnonzero(owner == k) for k in np.unique(owner)]
+    for mode in ("max", "avg", "min"):
+        for ratio, wanted in ((0.0, None), (0.3, None), (0.6, None), (0.6, 2), (2.0, 3)):
+            got = [p.tolist() for p in S.bottom_up(e, start, ratio, mode, wanted)]
+            assert got == plain_merged(near, [p.tolist() for p in start], ratio, mode, wanted)
+            got = [p.tolist() for p in S.bottom_up_size_first(e, start, ratio, mode, wanted)]
+            assert got == plain_size_first(near, [p.tolist() for p in start], ratio, mode, wanted)
+
+
+def test_merging_of_a_long_chain_keeps_to_its_edges():
+    """Memory is linear in edges: 2,000 pieces of 100,000 residues would be a table of 200 million."""
+    import tracemalloc
+
+    n = 100_000
+    i = np.concatenate([np.arange(n - 1), np.arange(n - 7)])
+    j = np.concatenate([np.arange(1, n), np.arange(7, n)])
+    e = S.Edges(n, i, j, np.ones(len(i)))
+    tracemalloc.start()
+    merged = S.bottom_up(e, list(np.arange(n).reshape(2000, 50)), 0.1, wanted=10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merged) == 10 and sum(map(len, merged)) == n and peak < 100_000_000
+
+
 def test_rewiring_keeps_degrees():
     e = random_graph(60, 1)
     r = S.rewired(e, 200, np.random.default_rng(0))
@@ -120,6 +170,26 @@ def plain_ratio(near, a, b, mode):
     return {"max": max(one, two), "avg": (one + two) / 2, "min": min(one, two)}[mode]
 
 
+def plain_size_first(near, start, ratio, mode, wanted):
+    """The smallest piece first."""
+    pieces, merging, least = [list(p) for p in start], True, wanted or 1
+    key = lambda p: (len(p), min(p))
+    while merging and len(pieces) > least:
+        merging = False
+        for a in sorted(pieces, key=key):
+            partners = [b for b in pieces if b is not a and plain_ratio(near, a, b, mode) >= ratio]
+            if partners:
+                b = min(partners, key=key)
+                pieces = [p for p in pieces if p is not a and p is not b] + [sorted(a + b)]
+                merging = True
+                break
+    while wanted is not None and len(pieces) > least:
+        a = min(pieces, key=key)
+        b = min((p for p in pieces if p is not a), key=lambda p: (-round(plain_ratio(near, a, p, mode), 12), *key(p)))
+        pieces = [p for p in pieces if p is not a and p is not b] + [sorted(a + b)]
+    return pieces
+
+
 @pytest.mark.parametrize("mode, wanted", [("max", None), ("avg", None), ("min", None), ("max", 3)])
 def test_merging_equals_the_plain_definition(mode, wanted):
     e = blocks(120, 7)
@@ -137,21 +207,6 @@ def test_merging_equals_the_plain_definition(mode, wanted):
         pieces = [p for k, p in enumerate(pieces) if k not in (a, b)] + [sorted(pieces[a] + pieces[b])]
     got = S.bottom_up(e, [np.array(p) for p in start], 0.6, mode, wanted)
     assert [p.tolist() for p in got] == pieces and len(pieces) < 12
-    # The smallest piece first.
-    pieces, merging = [list(p) for p in start], True
-    key = lambda p: (len(p), min(p))
-    while merging and len(pieces) > least:
-        merging = False
-        for a in sorted(pieces, key=key):
-            partners = [b for b in pieces if b is not a and plain_ratio(near, a, b, mode) >= 0.6]
-            if partners:
-                b = min(partners, key=key)
-                pieces = [p for p in pieces if p is not a and p is not b] + [sorted(a + b)]
-                merging = True
-                break
-    while wanted is not None and len(pieces) > least:
-        a = min(pieces, key=key)
-        b = min((p for p in pieces if p is not a), key=lambda p: (-round(plain_ratio(near, a, p, mode), 12), *key(p)))
-        pieces = [p for p in pieces if p is not a and p is not b] + [sorted(a + b)]
+    pieces = plain_size_first(near, start, 0.6, mode, wanted)
     got = S.bottom_up_size_first(e, [np.array(p) for p in start], 0.6, mode, wanted)
     assert [p.tolist() for p in got] == pieces
