@@ -51,10 +51,10 @@ def _suffixes(edges: DataFrame, sizes: DataFrame, keys: Keys) -> DataFrame:
     return per.select(*keys, "pos", F.sum("w").over(back).alias("inside"), F.sum("d").over(back).alias("degree"), F.sum("w").over(whole).alias("m"), F.count("*").over(whole).cast("int").alias("n"))
 
 
-def best_continuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, min_len: int = PROTEIN_MIN, resolution: float = 1.0, cuts: DataFrame | None = None) -> DataFrame:
+def best_continuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, min_len: int | Column = PROTEIN_MIN, resolution: float = 1.0, cuts: DataFrame | None = None) -> DataFrame:
     """Best cut of every chain into two pieces of at least ``min_len``: k (last place of the left piece) and q.
 
-    ``sizes`` has n residues of every chain. With ``cuts`` (k, first place of the right piece) only those are tried.
+    ``sizes`` has n residues of every chain; ``min_len`` may be one of the keys. With ``cuts`` (k, first place of the right piece) only those are tried.
     First k on ties (q to nine digits). Chains that are too short or have no edge give no row.
     """
     suffix = _suffixes(edges, sizes, keys).where((F.col("m") > 0) & (F.col("pos") >= min_len) & (F.col("pos") <= F.col("n") - min_len))
@@ -84,7 +84,7 @@ def _inside(edges: DataFrame, tried: DataFrame, keys: Keys) -> DataFrame:
     return summed.groupBy(*keys, "t", F.col("upto").alias("v")).agg(F.sum("inside").alias("inside"))
 
 
-def best_discontinuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, min_len: int = PROTEIN_MIN, min_gap: int = MIN_GAP, resolution: float = 1.0) -> DataFrame:
+def best_discontinuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, min_len: int | Column = PROTEIN_MIN, min_gap: int = MIN_GAP, resolution: float = 1.0) -> DataFrame:
     """Best middle piece [t + 1, v] closed by a contact (t, v): t, v, q. First (t, v) on ties (q to nine digits). Chains
     without such a contact give no row."""
     degree = ends(edges, keys).groupBy(*keys, "pos").agg(F.sum("weight").alias("d"))
@@ -92,9 +92,10 @@ def best_discontinuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, m
     prefix = prefix.select(*keys, "pos", F.sum(F.coalesce("d", F.lit(0.0))).over(before(keys)).alias("upto"))
     total = edges.groupBy(*keys).agg(F.sum("weight").alias("m"))
     middle = F.col("v") - F.col("t")
+    min_len = F.lit(min_len) if isinstance(min_len, int) else min_len
     tried = edges.select(*keys, F.col("i").alias("t"), F.col("j").alias("v")).join(sizes.select(*keys, "n"), list(keys))
     last = F.col("n") - min_len
-    tried = tried.where((F.col("t") >= min_len - 1) & (F.col("t") <= last - 1) & (F.col("v") + 1 > F.col("t") + max(min_gap, 1 + min_len)) & (F.col("v") + 1 <= last) & (middle >= min_len) & (F.col("n") - middle >= min_len))
+    tried = tried.where((F.col("t") >= min_len - 1) & (F.col("t") <= last - 1) & (F.col("v") + 1 > F.col("t") + F.greatest(F.lit(min_gap), min_len + 1)) & (F.col("v") + 1 <= last) & (middle >= min_len) & (F.col("n") - middle >= min_len))
     at = prefix.withColumnRenamed("pos", "t").withColumnRenamed("upto", "upto_t")
     to = prefix.withColumnRenamed("pos", "v").withColumnRenamed("upto", "upto_v")
     scored = tried.join(_inside(edges, tried, keys), [*keys, "t", "v"]).join(total, list(keys)).join(at, [*keys, "t"]).join(to, [*keys, "v"])
