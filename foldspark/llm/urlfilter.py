@@ -2,7 +2,7 @@
 
 A rule is a host with an optional path (``net/``, ``example.net/en/``; it fits the host and its subdomains) or a regular
 expression over the url in lower case. Its literal tokens are the runs of a-z0-9 that any fitting url must contain as
-whole tokens; they are read off the rule, a pattern's off its syntax tree. How often each of them occurs is counted over
+whole tokens; they are read off the rule. How often each of them occurs is counted over
 all urls; the rarest one is the rule's key. Urls are exploded into their distinct tokens, joined to the keys, and the
 fetched rules' patterns run in the JVM. Rules without a literal token are tried on every url in the row's own pass.
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,58 +46,168 @@ def host_rule(text: str, action: str) -> Rule:
     return Rule(text, action, rf"^(?:[^/]*\.)?{re.escape(host)}\x00{re.escape(path)}", tuple(tokens), "host")
 
 
-def _sign(node: tuple, first: bool) -> bool | None:
-    """Whether all that a part of a pattern fits starts (``first``) or ends with a character outside a-z0-9: None if it
-    fits the empty text only, or is an end of the text."""
-    kind, value = str(node[0]), node[1]
-    if kind == "LITERAL":
-        return not re.match("[a-z0-9]", chr(value))
-    if kind == "IN":
-        return all(str(k) == "LITERAL" and not re.match("[a-z0-9]", chr(v)) for k, v in value)
-    if kind == "AT":
-        return None if str(value) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END", "AT_END_STRING") else False
-    if kind == "SUBPATTERN":
-        return _edge(list(value[-1]), first)
-    if kind == "BRANCH":
-        found = [_edge(list(x), first) for x in value[1]]
-        return None if all(f is None for f in found) else all(f is not False for f in found)
-    return False
-
-
-def _edge(nodes: list[tuple], first: bool) -> bool | None:
-    """``_sign`` of a sequence; parts that may be left out count only if they agree with what lies beyond."""
-    for node in nodes if first else reversed(nodes):
-        if str(node[0]) == "MAX_REPEAT" and node[1][0] == 0:
-            if _edge(list(node[1][2]), first) is False:
-                return False
-            continue
-        found = _sign(node, first)
-        if found is not None or str(node[0]) == "AT":
-            return found
+#: What stands for a part of a pattern: its kind ("sign": one character outside a-z0-9, "literal": the character a-z0-9
+#: in ``value``, "border": an end of the text or of a word, "other": any other character or place, "group": the
+#: alternatives in ``value``), and whether it may be left out or repeated.
+@dataclass(frozen=True)
+class Part:
+    kind: str
+    value: object = None
+    optional: bool = False
+    repeated: bool = False
+
+
+class _Reader:
+    """Reads the patterns that Python and Java understand alike: literals, escaped signs, ``\\b \\d \\w \\s`` and their
+    opposites, ``. ^ $``, classes of characters and ranges, groups without names or flags, alternatives, quantifiers.
+    Everything else is refused."""
+
+    ESCAPES = "dDwWsS"
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def fail(self) -> None:
+        raise ValueError(f"pattern outside the common part of Python's and Java's grammars, at {self.at}: {self.text!r}")
+
+    def take(self) -> str:
+        if self.at >= len(self.text):
+            self.fail()
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def peek(self, n: int = 1) -> str:
+        return self.text[self.at : self.at + n]
+
+    def alternatives(self, depth: int = 0) -> list[list[Part]]:
+        out: list[list[Part]] = [[]]
+        while self.at < len(self.text) and self.peek() != ")":
+            if self.peek() == "|":
+                self.at += 1
+                out.append([])
+            else:
+                out[-1].append(self.quantified(self.part(depth)))
+        if self.at < len(self.text) and not depth:
+            self.fail()
+        return out
+
+    def part(self, depth: int) -> Part:
+        c = self.take()
+        if c == "(":
+            if self.peek() == "?":
+                self.at += 1
+                if self.take() != ":":
+                    self.fail()
+            held = self.alternatives(depth + 1)
+            if self.take() != ")":
+                self.fail()
+            return Part("group", held)
+        if c == "[":
+            return Part("sign" if self.signs_only() else "other")
+        if c in "^$":
+            return Part("border")
+        if c == ".":
+            return Part("other")
+        if c == "\\":
+            c = self.take()
+            if c == "b":
+                return Part("border")
+            if c == "B" or c in self.ESCAPES:
+                return Part("other")
+            if c.isalnum() or not c.isascii():
+                self.fail()
+            return Part("sign")
+        if c in "*+?{}]" or c.isspace():
+            self.fail()
+        return Part("literal", c) if re.fullmatch("[a-z0-9]", c) else Part("sign")
+
+    def signs_only(self) -> bool:
+        """Reads a class; whether it holds single signs and nothing else."""
+        if self.peek() in ("^", "]"):
+            plain = self.peek() != "^"
+            if plain:
+                self.fail()
+            self.at += 1
+            if self.peek() == "]":
+                self.fail()
+        else:
+            plain = True
+        while (c := self.take()) != "]":
+            if c == "[" or c == "&" and self.peek() == "&":
+                self.fail()
+            if c == "\\":
+                c = self.take()
+                if c in self.ESCAPES:
+                    plain = False
+                    continue
+                if c.isalnum() or not c.isascii():
+                    self.fail()
+            elif re.fullmatch("[a-z0-9]", c):
+                plain = False
+            if self.peek() == "-" and self.peek(2)[1:] != "]":
+                plain = False
+        return plain
+
+    def quantified(self, part: Part) -> Part:
+        c, least, most = self.peek(), 1, 1
+        if c and c in "*+?":
+            self.at += 1
+            least, most = {"*": (0, 2), "+": (1, 2), "?": (0, 1)}[c]
+        elif c == "{":
+            found = re.compile(r"\{(\d+)(,(\d*))?\}").match(self.text, self.at)
+            if not found:
+                self.fail()
+            self.at = found.end()
+            least = int(found[1])
+            most = least if not found[2] else int(found[3]) if found[3] else 2
+        else:
+            return part
+        if self.peek() == "?":
+            self.at += 1
+        if self.peek() and self.peek() in "*+?{" or part.kind == "border":
+            self.fail()
+        return Part(part.kind, part.value, least == 0, most > 1)
+
+
+def _edge(parts: list[Part], first: bool) -> bool | None:
+    """Whether all that a sequence fits starts (``first``) or ends outside a-z0-9, or at a border; None if it may fit the
+    empty text only. Parts that may be left out count only if they agree with what lies beyond."""
+    for part in parts if first else reversed(parts):
+        if part.kind == "group":
+            found = [_edge(x, first) for x in part.value]
+            one = None if all(f is None for f in found) else all(f is True for f in found)
+            if one is not None and None in found and one:
+                one = None
+        else:
+            one = part.kind in ("sign", "border")
+        if one is False:
+            return False
+        if one is True and not part.optional:
+            return True
     return None
 
 
 def literal_tokens(pattern: str) -> tuple[str, ...]:
     """Runs of a-z0-9 that every fitting text has as whole tokens: literals of the pattern's outermost sequence with a
-    sign, or an end of the text, on both sides."""
-    nodes = list(_parser.parse(pattern))
-    out, at = [], 0
-    while at < len(nodes):
+    sign, a border of a word or an end of the text on both sides."""
+    reader = _Reader(pattern)
+    sequences = reader.alternatives()
+    if len(sequences) > 1:
+        return ()
+    parts, out, at = sequences[0], [], 0
+    plain = [p.kind == "literal" and not p.optional and not p.repeated for p in parts]
+    while at < len(parts):
         stop = at
-        while stop < len(nodes) and str(nodes[stop][0]) == "LITERAL" and re.match("[a-z0-9]", chr(nodes[stop][1])):
+        while stop < len(parts) and plain[stop]:
             stop += 1
-        if stop > at:
-            before, after = nodes[:at], nodes[stop:]
-            fixed = (before and str(before[-1][0]) == "AT" or _edge(before, False)) if before else False
-            closed = (after and str(after[0][0]) == "AT" or _edge(after, True)) if after else False
-            if fixed and closed:
-                out.append("".join(chr(v) for _, v in nodes[at:stop]))
+        if stop > at and _edge(parts[:at], False) and _edge(parts[stop:], True):
+            out.append("".join(p.value for p in parts[at:stop]))
         at = max(stop, at + 1)
     return tuple(out)
 
 
 def pattern_rule(pattern: str) -> Rule:
-    """A regular expression that blocks."""
+    """A regular expression that blocks: what ``_Reader`` takes; others are refused."""
     return Rule(pattern, "block", pattern, literal_tokens(pattern), "pattern")
 
 
