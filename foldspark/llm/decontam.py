@@ -10,16 +10,19 @@
    ``threshold`` and the score of ``LEAST_WORDS`` aligned words: the share asked for rises as items get shorter, and
    items of ``LEAST_WORDS`` words or fewer are found as exact copies only.
 
-Windows are aligned together up to ``CELLS`` words; items of more than ``LONG`` words are aligned in a band of
-``LONG // 2`` diagonals beside those of their seeds, so memory stays bounded however long items and texts are.
+A window reaches as far to both sides of its seeds as the gaps of any alignment that can reach the share asked for, so
+the best alignment that holds a seed is always found, however the item's words are spread. Windows without enough of the
+item's words are dismissed (a score is at most that of its matches). Windows are aligned together up to ``CELLS`` words,
+row by row: memory is that of the window, time that of item times window.
 
 The items are joined as a hash table in the tasks, so they are handled in parts of at most ``PART_CHARS`` characters,
 one part after another however large the benchmark is; every part reads the texts twice, and they are never shuffled.
 
-Edge cases: null and empty texts or items match nothing; an item of fewer than ``n`` words is one seed of all its words,
-found where a text holds exactly these words in a row, unless more than ``rare`` documents do: so short a phrase is
-common language then, and no sign of a copy. Repeated rows give repeated rows, ties between windows go to the
-earliest. Null ids are carried.
+Edge cases: null and empty texts or items match nothing, and empty tables give empty results; an item of fewer than ``n``
+words is one seed of all its words, found where a text holds exactly these words in a row, unless more than ``rare``
+documents do: so short a phrase is common language then, and no sign of a copy (``rare`` None: no item is left out and all
+seeds are kept). Repeated rows give repeated rows, ties between windows go to the earliest. Null ids are carried, and
+columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ PART_CHARS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words that a copy has in common with its item at least, or all words of a shorter item.
 LEAST_WORDS = 8
-#: Words of all windows that are aligned together, and of the longest item that is aligned with its whole window.
-CELLS, LONG = 1 << 20, 2048
+#: Words of all windows that are aligned together.
+CELLS = 1 << 20
 _HITS = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
 
 
@@ -77,8 +80,10 @@ class Items:
         self.low = np.zeros(1 << self.bits, bool)
         self.low[(self.grams & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
 
-    def keep(self, counts: dict[int, int], rare: int) -> None:
+    def keep(self, counts: dict[int, int], rare: int | None) -> None:
         """Drop the seeds that are common for their item, and common items of fewer than ``n`` words."""
+        if rare is None:
+            return
         n = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
         keep = n <= rare
         for i in range(len(self.ids)):
@@ -143,28 +148,6 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def align_banded(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
-    """``align`` of one item with one text over the diagonals (place in the text - place in the item) ``lo`` to ``hi``;
-    one numpy step for each word of the item, on an array as wide as the band."""
-    width = hi - lo + 1
-    above = np.zeros(width + 1, np.int32)  # the last place stands for what lies beyond the band
-    slope = np.arange(width, dtype=np.int32) * GAP
-    best, end = 0, 0
-    for r in range(len(item)):
-        a, b = max(0, -(r + lo)), min(width, len(text) - r - lo)
-        now = np.zeros(width + 1, np.int32)
-        if a < b:
-            step = np.where(text[r + lo + a : r + lo + b] == item[r], MATCH, MISMATCH).astype(np.int32)
-            row = np.maximum(np.maximum(above[a:b] + step, above[a + 1 : b + 1] + GAP), 0)
-            row = np.maximum.accumulate(row - slope[a:b]) + slope[a:b]
-            now[a:b] = row
-            top = int(row.argmax())
-            if row[top] > best:
-                best, end = int(row[top]), r + lo + a + top + 1
-        above = now
-    return best, end
-
-
 def _match(items: Items, doc: np.ndarray, values: dict[int, np.ndarray], threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, word after the last) of the items found in one text, best window of each."""
     found: dict[int, list[int]] = {}
@@ -177,42 +160,45 @@ def _match(items: Items, doc: np.ndarray, values: dict[int, np.ndarray], thresho
     tasks = []
     for i, starts in found.items():
         size = len(items.words[i])
-        slack = max(4, min(size, LONG) // 2)
+        asked = _asked(size, threshold)
+        slack = int(MATCH * size * (1 - asked)) // -GAP
+        wide = 8 * size + 2 * slack
         lo = hi = None
         for start in sorted(set(starts)):
-            wide = 8 * min(size, LONG) + 2 * slack
-            if lo is None or start - slack > (hi if size <= LONG else last + slack) or start - lo > wide:
+            if lo is None or start - slack > hi or start - lo > wide:
                 if lo is not None:  # a new window overlaps the last
                     tasks.append((i, lo, hi))
                 lo = start - slack
-            hi, last = start + size + slack, start
+            hi = start + size + slack
         tasks.append((i, lo, hi))
+    # A score is at most that of all words of the item that the window has.
+    tasks = [(i, max(lo, 0), min(hi, len(doc))) for i, lo, hi in tasks]
+    tasks = [t for t in tasks if _shared(items.words[t[0]], doc[t[1] : t[2]]) >= _asked(len(items.words[t[0]]), threshold)]
     out: dict[int, tuple[float, int, int]] = {}
-    for part in _together(tasks, items, len(doc)):
-        i, lo, hi = part[0]
-        size = len(items.words[i])
-        if size > LONG:
-            score, end = align_banded(items.words[i], doc, lo, hi - size)
-            scores, ends, part = [score], [end], [(i, 0, 0)]
-        else:
-            scores, ends = align([items.words[i] for i, _, _ in part], [doc[lo:hi] for _, lo, hi in part])
+    for part in _together(tasks, items):
+        scores, ends = align([items.words[i] for i, _, _ in part], [doc[lo:hi] for _, lo, hi in part])
         for (i, lo, _), score, end in zip(part, scores, ends, strict=True):
             size = len(items.words[i])
             share = float(score) / (MATCH * size)
-            if share >= max(threshold, min(LEAST_WORDS, size) / size) and share > out.get(i, (0.0,))[0]:
+            if share >= _asked(size, threshold) and share > out.get(i, (0.0,))[0]:
                 out[i] = (share, max(lo, lo + int(end) - size), lo + int(end))
     return [(i, *x) for i, x in sorted(out.items())]
 
 
-def _together(tasks: list[tuple[int, int, int]], items: Items, n: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows (item, first word, word after the last) in lists that are padded to ``CELLS`` words at most; a window of
-    a long item is alone, with its diagonals."""
+def _asked(size: int, threshold: float) -> float:
+    """The share of an exact copy's score that a copy of an item needs."""
+    return max(threshold, min(LEAST_WORDS, size) / size)
+
+
+def _shared(item: np.ndarray, window: np.ndarray) -> float:
+    """The share of the item's words that occur in the window."""
+    return float(np.isin(item, window).mean())
+
+
+def _together(tasks: list[tuple[int, int, int]], items: Items) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows (item, first word, word after the last) in lists that are padded to ``CELLS`` words at most."""
     held, widest = [], 0
     for i, lo, hi in tasks:
-        if len(items.words[i]) > LONG:
-            yield [(i, lo, hi)]
-            continue
-        lo, hi = max(lo, 0), min(hi, n)
         widest = max(widest, hi - lo, len(items.words[i]))
         if held and (len(held) + 1) * widest > CELLS:
             yield held
@@ -233,7 +219,7 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str, chars: int = PART_CH
 
 
 def prepared(
-    docs: DataFrame, benchmark: DataFrame, n: int, rare: int, text_col: str, item_id: str, item_text: str
+    docs: DataFrame, benchmark: DataFrame, n: int, rare: int | None, text_col: str, item_id: str, item_text: str
 ) -> Iterator[Broadcast]:
     """The items of each part with the seeds that they keep, broadcast; ``docs`` is counted for each part."""
     text_batches(docs.sparkSession)
@@ -279,7 +265,7 @@ def contaminated(
     benchmark: DataFrame,
     n: int = 3,
     threshold: float = 0.4,
-    rare: int = 10,
+    rare: int | None = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id: str = "item_id",
@@ -312,7 +298,7 @@ def without_contaminated(
     benchmark: DataFrame,
     n: int = 3,
     threshold: float = 0.4,
-    rare: int = 10,
+    rare: int | None = 10,
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",

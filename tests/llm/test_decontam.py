@@ -28,15 +28,6 @@ def test_alignment_equals_brute_force():
     assert [s / (2 * len(i)) for s, i in zip(scores, items, strict=True)] == [brute_score(i.tolist(), w.tolist()) for i, w in zip(items, windows, strict=True)]
 
 
-def test_banded_alignment_equals_the_whole_in_a_wide_band():
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        item, text = (rng.integers(0, 5, rng.integers(1, n)).astype(np.uint64) for n in (30, 60))
-        score, end = decontam.align_banded(item, text, -len(item), len(text))
-        scores, ends = decontam.align([item], [text])
-        assert (score, end if score else 0) == (scores[0], ends[0])
-
-
 def test_long_items_and_texts(spark, monkeypatch):
     rng = random.Random(5)
     item = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(6000)]
@@ -50,6 +41,53 @@ def test_long_items_and_texts(spark, monkeypatch):
     assert (got[4].start_word, got[4].end_word) == (0, 6000) and got[1].end_word == 150_000 + 5880
 
 
+@pytest.mark.parametrize("parts, between, score", [(3, 2100, (2 * 5850 - 4200) / 11700), (2, 2500, (2 * 5850 - 2500) / 11700), (5, 1200, (2 * 5850 - 4800) / 11700)])
+def test_long_items_in_parts(spark, parts, between, score):
+    rng = random.Random(6)
+    item = [f"w{k}" for k in range(5850)]
+    other = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    text = other(3000)
+    for k in range(parts):
+        text += (other(between) if k else []) + item[k * 5850 // parts : (k + 1) * 5850 // parts]
+    docs = spark.createDataFrame([(1, " ".join(text + other(3000)))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    (row,) = decontam.contaminated(docs, bench).collect()
+    assert row.score == pytest.approx(score) and row.end_word == len(text)
+
+
+def test_found_pairs_are_all_pairs(spark):
+    """Every item with every text that holds enough of its words, cell by cell."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    split = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").translate(dict.fromkeys(range(9, 14), " ")).split(" ")
+    texts = {r.doc_id: [w for w in split(r.text) if w] for r in docs.collect()}
+    want = {}
+    for r in bench.collect():
+        item = [w for w in split(r.text) if w]
+        asked = max(0.4, min(8, len(item)) / len(item))
+        for d, words in texts.items():
+            held = set(words)
+            if sum(w in held for w in item) >= asked * len(item) and (score := brute_score(item, words)) >= asked:
+                want[d, r.item_id] = score
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
+    assert len(want) > 20 and got == pytest.approx(want)
+
+
+def test_common_short_items_can_be_asked_for(spark):
+    docs = spark.createDataFrame([(i, f"text {i} until the end of it") for i in range(20)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(3, "the end")], "item_id bigint, text string")
+    assert decontam.contaminated(docs, bench).count() == 0
+    assert decontam.contaminated(docs, bench, rare=None).count() == 20
+
+
+def test_ties_between_windows_go_to_the_earliest(spark):
+    item = "one two three four five six seven eight nine"
+    text = f"{item} {'x ' * 200}{item}"
+    docs = spark.createDataFrame([(1, text, 0.5)], "doc_id bigint, text string, score double")
+    (row,) = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert (row.score, row.start_word, row.end_word) == (1.0, 0, 9)
+
+
 def test_few_cells_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     words = rng.integers(0, 40, 400)
