@@ -13,7 +13,7 @@ from ..operators import lookups as L
 from ..operators import residues as R
 from ..registry import query
 from ..session import checkpoint_dir
-from ..sources import sinks
+from ..sources import files, sinks
 from ..sources import structures as T
 from .core import _partitions
 from .sql import ATOMS, BASE
@@ -29,6 +29,11 @@ rt as (select chain_id, cast(row_number() over (partition by chain_id order by s
   from po where atom_name = case when res_name = 'GLY' then 'CA' else 'C3''' end)"""
 
 
+def _folder(spark, name):
+    """A new folder in the shared one, for files that a query writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _atoms(spark, d):
     return atoms(residues(spark, d))
 
@@ -96,7 +101,10 @@ def _atom_lines(spark, d):
 @query("read_pdb", ATOMS + """ select cast(chain_id as varchar) as structure_id, 1 as model_id, serial, atom_name, res_name, 'A' as chain_id, res_seq, icode,
  round(cast(printf('%.4f', x) as double), 4) as x, round(cast(printf('%.4f', y) as double), 4) as y, round(cast(printf('%.4f', z) as double), 4) as z, hetflag from atoms""")
 def read_pdb(spark, d):
-    return T.atoms_from_lines(_atom_lines(spark, d)).select("structure_id", "model_id", "serial", "atom_name", "res_name", "chain_id", "res_seq", "icode", "x", "y", "z", "hetflag")
+    lines, path = _atom_lines(spark, d), _folder(spark, "pdb")
+    ordered = lines.repartition("structure_id").sortWithinPartitions("structure_id", "line_no")
+    ordered.select("structure_id", "value").write.partitionBy("structure_id").text(path)
+    return files.read_structures(spark, path, "pdb").select("structure_id", "model_id", "serial", "atom_name", "res_name", "chain_id", "res_seq", "icode", "x", "y", "z", "hetflag")
 
 
 @query("read_mmcif", ATOMS + """ select cast(chain_id as varchar) as structure_id, serial, atom_name, res_name, 'A' as chain_id, res_seq, icode,
@@ -108,7 +116,9 @@ def read_mmcif(spark, d):
     names = "group_PDB id auth_atom_id auth_comp_id auth_asym_id auth_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z".split()
     head = "data_x\n#\nloop_\n" + "".join(f"_atom_site.{n}\n" for n in names)
     texts = a.groupBy(F.col("chain_id").cast("string").alias("structure_id")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(F.struct("serial", row.alias("t"))))["t"], "\n"), F.lit("\n#\n")).alias("value"))
-    return T.atoms_from_mmcif(texts).select("structure_id", "serial", "atom_name", "res_name", "chain_id", "res_seq", "icode", "x", "hetflag")
+    path = _folder(spark, "mmcif")
+    texts.repartition("structure_id").write.partitionBy("structure_id").text(path)
+    return files.read_structures(spark, path, "mmcif").select("structure_id", "serial", "atom_name", "res_name", "chain_id", "res_seq", "icode", "x", "hetflag")
 
 
 @query("read_unobserved_residues", BASE + """ select cast(chain_id as varchar) as structure_id, 'A' as chain_id, res_name, res_label, cast(row_number() over (partition by chain_id order by pos) - 1 as int) as ord from res where pos % 17 = 5""")
@@ -185,11 +195,15 @@ def selection_command_plain(spark, d):
 
 @query("split_structure_by_cluster", ATOMS + """,
 fl as (select chain_id, res_label, min(pred) as label from res where pred <> -1 group by all)
-select atoms.chain_id, serial, atom_name, fl.label from atoms join fl on fl.chain_id = atoms.chain_id and fl.res_label = atoms.res_seq || atoms.icode""")
+select atoms.chain_id, serial, atom_name, fl.label, res_seq, icode, cast(round(cast(x as decimal(18, 6)), 3) as double) as x, cast(round(cast(y as decimal(18, 6)), 3) as double) as y, cast(round(cast(z as decimal(18, 6)), 3) as double) as z, hetflag from atoms join fl on fl.chain_id = atoms.chain_id and fl.res_label = atoms.res_seq || atoms.icode""")
 def split_structure_by_cluster(spark, d):
     rows = residues(spark, d)
     named = atoms(rows).withColumn("res_label", F.concat(F.col("res_seq").cast("string"), "icode"))
-    return sinks.split_structure_by_cluster(named, rows.withColumn("label", F.col("pred")), KEY).select("chain_id", "serial", "atom_name", "label")
+    split = sinks.split_structure_by_cluster(named, rows.withColumn("label", F.col("pred")), KEY)
+    path = _folder(spark, "split")
+    sinks.write_split_structures(split, path, KEY)
+    types = f"chain_id {dict(split.dtypes)['chain_id']}"
+    return sinks.read_split_structures(spark, path, KEY, types).select("chain_id", "serial", "atom_name", "label", "res_seq", "icode", *"xyz", "hetflag")
 
 
 @query("write_results_json", BASE + """ select chain_id, string_agg(cast(pred as varchar), ',' order by pos) as cluster, string_agg(cast(res_num as varchar), ',' order by pos) as res, string_agg(res_label, ',' order by pos) as res_labels,
@@ -198,7 +212,7 @@ def write_results_json(spark, d):
     rows = residues(spark, d)
     missing = rows.where("pos % 17 = 5").select("chain_id", "res_label", F.col("pos").alias("ord"))
     out = sinks.result_frame(rows, rows.withColumn("label", F.col("pred")).select("chain_id", "pos", "label"), KEY, missing=missing, chain=KEY)
-    path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    path = _folder(spark, "results")
     sinks.write_results_json(out, path)
     read = spark.read.schema(out.schema).json(path)
     return read.select("chain_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cluster", "res", "res_labels", "missing_res")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_range
 from ..operators.intervals import ranges_of, ranges_with_insertions
 from ..schemas import K, Keys
+from .structures import atom_columns
 
 #: Colours of the first clusters; later ones are numbered.
 COLOURS = ("red", "green", "yellow", "orange", "blue", "pink", "cyan", "purple", "white", "grey", "brown", "lightblue", "lightorange", "lightpink", "gold")
@@ -47,9 +48,53 @@ def split_structure_by_cluster(atoms: DataFrame, labels: DataFrame, keys: Keys =
     return atoms.join(first, [*keys, "res_label"])
 
 
-def write_split_structures(atoms: DataFrame, path: str, files: int = 64) -> None:
-    """Partitioned by chain and cluster; rows of one structure stay together, so files are few."""
-    atoms.repartition(files, "structure_id").write.partitionBy("structure_id", "chain_id", "label").parquet(path)
+def pdb_line() -> Column:
+    """An atom as a line of a PDB file, inverse to ``structures.atoms_from_lines``.
+
+    Numbers beyond their columns keep the last digits (serial and residue numbers), longer names and chains the first
+    characters; a null, and a coordinate that is too long, is blank."""
+
+    def text(name: str, width: int, right: bool = False) -> Column:
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.lpad(value, width, " ") if right else F.rpad(value, width, " ")
+
+    def last(name: str, digits: int) -> Column:
+        value = F.col(name).cast("int")
+        fits = (value > -(10 ** (digits - 1))) & (value < 10**digits)
+        return F.coalesce(F.lpad(F.when(fits, value).otherwise(value % 10 ** (digits - 1)).cast("string"), digits, " "), F.lit(" " * digits))
+
+    def real(name: str, width: int, places: int) -> Column:
+        value = F.format_string(f"%.{places}f", F.col(name).cast("double"))
+        fits = F.col(name).isNotNull() & (F.length(value) <= width)
+        return F.when(fits, F.lpad(value, width, " ")).otherwise(" " * width)
+
+    name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), F.col("atom_name"))).otherwise(F.coalesce("atom_name", F.lit("")))
+    numbers = [real(c, w, p) for c, w, p in (("x", 8, 3), ("y", 8, 3), ("z", 8, 3), ("occupancy", 6, 2), ("bfactor", 6, 2))]
+    return F.concat(
+        text("record", 6), last("serial", 5), F.lit(" "), F.rpad(name, 4, " "), text("altloc", 1), text("res_name", 3, True),
+        text("chain_id", 2, True), last("res_seq", 4), text("icode", 1), F.lit("   "), *numbers, F.lit(" " * 10), text("element", 2, True), text("charge", 2),
+    )
+
+
+def write_split_structures(atoms: DataFrame, path: str, keys: Keys = K) -> None:
+    """One PDB text file for each structure, model, chain (``keys``) and cluster, in a folder of its own: the rows of a
+    file are sorted by serial in one task, and Spark's writer commits all files or none. Columns of an atom that the
+    table lacks are blank."""
+    own = [*keys, "label"]
+    known = {"record": F.when(F.col("hetflag") == "", "ATOM").otherwise("HETATM")} if "hetflag" in atoms.columns else {"record": F.lit("ATOM")}
+    names = ["record", "serial", "atom_name", "altloc", "res_name", "chain_id", "res_seq", "icode", "x", "y", "z", "occupancy", "bfactor", "element", "charge"]
+    blank = {c: known.get(c, F.lit(None).cast("string")) for c in names if c not in atoms.columns}
+    rows = atoms.withColumns(blank).select(*own, "serial", pdb_line().alias("value"))
+    rows.repartition(*own).sortWithinPartitions(*own, "serial").select(*own, "value").write.partitionBy(*own).text(path)
+
+
+def read_split_structures(spark: SparkSession, path: str, keys: Keys = K, types: str = "structure_id string, model_id int, chain_id string") -> DataFrame:
+    """The atoms of files that ``write_split_structures`` wrote: keys and label come from the folders."""
+    lines = spark.read.schema(f"value string, {types}, label int").text(path)
+    folders = {k: f"_{k}" for k in keys}
+    lines = lines.withColumnsRenamed(folders).withColumns({"structure_id": F.lit(""), "line_no": F.lit(0)})
+    atoms = atom_columns(lines.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM")), *folders.values(), "label")
+    return atoms.drop(*keys).withColumnsRenamed({v: k for k, v in folders.items()})
 
 
 def result_frame(residues: DataFrame, labels: DataFrame, keys: Keys = K, scores: DataFrame | None = None, missing: DataFrame | None = None, commands: DataFrame | None = None, chain: Keys = ("structure_id", "chain_id")) -> DataFrame:

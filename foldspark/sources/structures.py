@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +24,8 @@ SS_CODES = {"H": "H", "G": "H", "I": "H", "E": "E", "B": "E"}
 PAIR_LISTS = ("pairs", "pair", "basePairs", "base_pairs", "bps", "bp_list")
 _ATOMS = "record string, serial int, atom_name string, altloc string, res_name string, chain_id string, res_seq int, icode string, x double, y double, z double, occupancy double, bfactor double, element string, charge string"
 
+ATOMS_SCHEMA = f"structure_id string, model_id int, {_ATOMS}, hetflag string"
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """structure_id (the file's name), line_no and value of every line."""
@@ -38,8 +42,13 @@ def atoms_from_lines(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("structure_id").orderBy("line_no")
     model = F.greatest(F.sum(F.col("value").startswith("MODEL").cast("int")).over(w), F.lit(1)).cast("int")
     rows = lines.withColumn("model_id", model).where(_slice(0, 6).isin("ATOM", "HETATM"))
+    return atom_columns(rows, "structure_id", "model_id")
+
+
+def atom_columns(lines: DataFrame, *kept: str) -> DataFrame:
+    """The fields of atom lines (``value``), beside the columns ``kept``."""
     columns = [_slice(lo, hi).try_cast(kind).alias(name) if kind != "string" else _slice(lo, hi).alias(name) for name, lo, hi, kind in ATOM_COLUMNS]
-    atoms = rows.select("structure_id", "model_id", *columns)
+    atoms = lines.select(*kept, *columns)
     het = F.when(F.col("record") != "HETATM", "").when(F.col("res_name").isin("HOH", "WAT"), "W").otherwise("H")
     return atoms.withColumn("hetflag", het)
 
@@ -48,12 +57,13 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     return atoms_from_lines(_lines(spark, path))
 
 
-def _loop(text: str, prefix: str) -> Iterator[dict[str, str]]:
-    """Rows of the loop of an mmCIF text whose columns start with ``prefix``, by column name."""
+def _loop(lines: Iterable[str], prefix: str) -> Iterator[dict[str, str]]:
+    """Rows of the loop of an mmCIF file whose columns start with ``prefix``, by column name, line by line."""
     names: list[str] = []
     held: list[str] = []
     on = False
-    for line in text.splitlines():
+    for line in lines:
+        line = line.rstrip("\r\n")
         if line.startswith(prefix):
             names.append(line.split()[0][len(prefix) :])
             on = True
@@ -66,8 +76,8 @@ def _loop(text: str, prefix: str) -> Iterator[dict[str, str]]:
                 held = held[len(names) :]
 
 
-def atoms_from_mmcif(texts: DataFrame) -> DataFrame:
-    """Atoms of mmCIF texts (structure_id, value)."""
+def mmcif_atoms(lines: Iterable[str]) -> Iterator[tuple]:
+    """Atoms of the lines of an mmCIF file, in the order of ``ATOMS_SCHEMA`` without the structure."""
 
     def number(v: str | None, kind=float):
         try:
@@ -75,21 +85,31 @@ def atoms_from_mmcif(texts: DataFrame) -> DataFrame:
         except (TypeError, ValueError):
             return None
 
+    blank = {".", "?", None}
+    for r in _loop(lines, "_atom_site."):
+        get = lambda *keys: next((r[k] for k in keys if r.get(k) not in blank), "")  # noqa: B023, E731
+        name = get("auth_comp_id", "label_comp_id")
+        record = get("group_PDB")
+        het = "" if record != "HETATM" else "W" if name in ("HOH", "WAT") else "H"
+        yield (
+            number(get("pdbx_PDB_model_num"), int) or 1, record, number(get("id"), int), get("auth_atom_id", "label_atom_id"), get("label_alt_id"), name,
+            get("auth_asym_id", "label_asym_id"), number(get("auth_seq_id", "label_seq_id"), int), get("pdbx_PDB_ins_code"), *(number(get(f"Cartn_{c}")) for c in "xyz"),
+            number(get("occupancy")), number(get("B_iso_or_equiv")), get("type_symbol"), get("pdbx_formal_charge"), het,
+        )
+
+
+def atoms_from_mmcif(texts: DataFrame) -> DataFrame:
+    """Atoms of mmCIF texts (structure_id, value)."""
+    names = [f.split()[0] for f in ATOMS_SCHEMA.split(",")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["structure_id", "model_id", "record", "serial", "atom_name", "altloc", "res_name", "chain_id", "res_seq", "icode", "x", "y", "z", "occupancy", "bfactor", "element", "charge", "hetflag"]
-        blank = {".", "?", None}
         for batch in batches:
-            rows = []
             for sid, text in zip(batch["structure_id"], batch["value"], strict=True):
-                for r in _loop(text, "_atom_site."):
-                    get = lambda *keys: next((r[k] for k in keys if r.get(k) not in blank), "")  # noqa: B023, E731
-                    name = get("auth_comp_id", "label_comp_id")
-                    record = get("group_PDB")
-                    het = "" if record != "HETATM" else "W" if name in ("HOH", "WAT") else "H"
-                    rows.append((sid, number(get("pdbx_PDB_model_num"), int) or 1, record, number(get("id"), int), get("auth_atom_id", "label_atom_id"), get("label_alt_id"), name, get("auth_asym_id", "label_asym_id"), number(get("auth_seq_id", "label_seq_id"), int), get("pdbx_PDB_ins_code"), *(number(get(f"Cartn_{c}")) for c in "xyz"), number(get("occupancy")), number(get("B_iso_or_equiv")), get("type_symbol"), get("pdbx_formal_charge"), het))
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("model_id", "serial", "res_seq")})
+                atoms = ((sid, *a) for a in mmcif_atoms(io.StringIO(text)))
+                while rows := list(islice(atoms, 10_000)):
+                    yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("model_id", "serial", "res_seq")})
 
-    return texts.select("structure_id", "value").mapInPandas(run, f"structure_id string, model_id int, {_ATOMS}, hetflag string")
+    return texts.select("structure_id", "value").mapInPandas(run, ATOMS_SCHEMA)
 
 
 def read_mmcif(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +124,7 @@ def unobserved_from_mmcif(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for sid, text in zip(batch["structure_id"], batch["value"], strict=True):
-                for ord_, r in enumerate(_loop(text, "_pdbx_unobs_or_zero_occ_residues.")):
+                for ord_, r in enumerate(_loop(io.StringIO(text), "_pdbx_unobs_or_zero_occ_residues.")):
                     icode = r.get("PDB_ins_code", "?")
                     rows.append((sid, r.get("auth_asym_id"), r.get("auth_comp_id"), r.get("auth_seq_id", "") + ("" if icode in ".?" else icode), ord_))
             yield pd.DataFrame(rows, columns=["structure_id", "chain_id", "res_name", "res_label", "ord"])
