@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import boundary_distance, range_gap
 from ..schemas import K, Keys
+from ..session import checkpoint_dir
 from .intervals import domain_points, internal_linkers, label_runs
 
 
@@ -97,29 +98,54 @@ def segments(both: DataFrame, side: str, keys: Keys = K) -> DataFrame:
     return runs.select(*keys, "run", "label", "start", "end", F.coalesce(prior, "start").alias("ext_start"), F.coalesce(after, "end").alias("ext_end")).where("label <> -1").drop("label")
 
 
-def segment_distance(both: DataFrame, keys: Keys = K) -> DataFrame:
-    """d of every (predicted, true) pair of segments of a chain. Moved starts are compared with moved ends only."""
-    p = segments(both, "pred", keys)
-    t = segments(both, "true", keys)
-    p, t = (df.select(*keys, *(F.col(c).alias(f"{x}_{c}") for c in ("run", "start", "end", "ext_start", "ext_end"))) for df, x in ((p, "p"), (t, "t")))
+def _distance() -> Column:
+    """d of a predicted (p_) and a true (t_) segment. Moved starts are compared with moved ends only."""
     c = F.col
     tail = F.abs(c("p_ext_end") - c("t_ext_end"))
     moved = [(F.abs(c(a) - c(b)) + tail) / 2 for a in ("p_start", "p_ext_start") for b in ("t_start", "t_ext_start")]
-    return p.join(t, list(keys)).withColumn("d", F.least(boundary_distance(c("p_start"), c("p_end"), c("t_start"), c("t_end")), *moved)).select(*keys, c("p_run").alias("pred_run"), c("t_run").alias("true_run"), "d")
+    return F.least(boundary_distance(c("p_start"), c("p_end"), c("t_start"), c("t_end")), *moved)
+
+
+def _both_sides(both: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Predicted and true segments, with the columns that ``_distance`` takes."""
+    sides = ((segments(both, "pred", keys), "p"), (segments(both, "true", keys), "t"))
+    return tuple(df.select(*keys, *(F.col(c).alias(f"{x}_{c}") for c in ("run", "start", "end", "ext_start", "ext_end"))) for df, x in sides)
+
+
+def segment_distance(both: DataFrame, keys: Keys = K) -> DataFrame:
+    """d of every (predicted, true) pair of segments of a chain."""
+    p, t = _both_sides(both, keys)
+    return p.join(t, list(keys)).select(*keys, F.col("p_run").alias("pred_run"), F.col("t_run").alias("true_run"), _distance().alias("d"))
+
+
+def near_segments(p: DataFrame, t: DataFrame, keys: Keys, threshold: int) -> DataFrame:
+    """The pairs of segments with d below ``threshold``; a pair may come more than once.
+
+    d is half of a shift of starts (or moved starts) and one of ends, so the starts of such a pair lie less than twice
+    the threshold apart: an equi-join on bands of that width and their neighbours finds them. A band holds as many
+    segments as it has places at most, so pairs are linear in segments, however long the chain is.
+    """
+    width = 2 * threshold
+    bands = lambda x: F.array(*(F.floor(F.col(f"{x}_{c}") / width) for c in ("start", "ext_start")))
+    around = F.array_distinct(F.flatten(F.transform(bands("t"), lambda b: F.sequence(b - 1, b + 1))))
+    p, t = p.withColumn("_band", F.explode(F.array_distinct(bands("p")))), t.withColumn("_band", F.explode(around))
+    near = p.join(t, [*keys, "_band"]).withColumn("d", _distance()).where(F.col("d") < threshold)
+    return near.select(*keys, F.col("p_run").alias("pred_run"), F.col("t_run").alias("true_run"), "d")
 
 
 def csd(both: DataFrame, keys: Keys = K, threshold: int = 20) -> DataFrame:
     """Chain segment distance score; 0 without predicted segments, null without true ones."""
-    scored = segment_distance(both, keys).withColumn("s", F.greatest(F.lit(threshold) - F.col("d"), F.lit(0.0)))
-    sides = []
-    for side in ("pred_run", "true_run"):
+    p, t = _both_sides(both, keys)
+    scored = near_segments(p, t, keys, threshold).withColumn("s", F.lit(threshold) - F.col("d"))
+    joined = both.select(*keys).distinct()
+    for side, own in (("pred_run", p.select(*keys, F.col("p_run").alias("pred_run"))), ("true_run", t.select(*keys, F.col("t_run").alias("true_run")))):
         per = scored.groupBy(*keys, side).agg(F.max("s").alias("s"))
-        sides.append(per.groupBy(*keys).agg(F.sum("s").alias(f"s_{side}"), F.count("*").alias(f"n_{side}")))
-    has = both.groupBy(*keys).agg(F.max((F.col("true") != -1).cast("int")).alias("_t"), F.max((F.col("pred") != -1).cast("int")).alias("_p"))
-    joined = has.join(sides[0], list(keys), "left").join(sides[1], list(keys), "left")
-    rows = F.col("n_pred_run") >= F.col("n_true_run")
-    score = F.when(rows, F.col("s_pred_run") / (threshold * F.col("n_pred_run"))).otherwise(F.col("s_true_run") / (threshold * F.col("n_true_run")))
-    return joined.select(*keys, F.when(F.col("_t") == 0, None).when(F.col("_p") == 0, 0.0).otherwise(score).alias("csd"))
+        total = per.groupBy(*keys).agg(F.sum("s").alias(f"s_{side}"))
+        joined = joined.join(own.groupBy(*keys).agg(F.count("*").alias(f"n_{side}")), list(keys), "left").join(total, list(keys), "left")
+    n_pred, n_true = (F.coalesce(f"n_{side}", F.lit(0)) for side in ("pred_run", "true_run"))
+    s_pred, s_true = (F.coalesce(f"s_{side}", F.lit(0.0)) for side in ("pred_run", "true_run"))
+    score = F.when(n_pred >= n_true, s_pred / (threshold * n_pred)).otherwise(s_true / (threshold * n_true))
+    return joined.select(*keys, F.when(n_true == 0, None).when(n_pred == 0, 0.0).otherwise(score).alias("csd"))
 
 
 def boundary_entities(both: DataFrame, side: str, keys: Keys = K) -> DataFrame:
@@ -128,27 +154,48 @@ def boundary_entities(both: DataFrame, side: str, keys: Keys = K) -> DataFrame:
     return domain_points(labels, keys).unionByName(internal_linkers(labels, keys))
 
 
+def _entities(both: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Predicted and true entities."""
+    return tuple(boundary_entities(both, s, keys).select(*keys, F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end")) for s in ("pred", "true"))
+
+
 def boundary_gap(both: DataFrame, keys: Keys = K) -> DataFrame:
     """d of every (predicted, true) pair of boundary entities of a chain."""
-    p, t = (boundary_entities(both, s, keys).select(*keys, F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end")) for s in ("pred", "true"))
+    p, t = _entities(both, keys)
     return p.join(t, list(keys)).withColumn("d", range_gap(F.col("pred_start"), F.col("pred_end"), F.col("true_start"), F.col("true_end")))
 
 
+def near_boundaries(p: DataFrame, t: DataFrame, keys: Keys, threshold: int) -> DataFrame:
+    """d of the pairs of entities of both sides that lie less than ``threshold`` apart, by an equi-join on bands of that
+    width: predicted ranges go to their own bands, true ones, wider by the threshold on both ends, to theirs, and a pair
+    counts in the first band that both have."""
+    band = lambda c: F.floor(c / threshold)
+    p = p.withColumn("_first_p", band(F.col("pred_start"))).withColumn("_band", F.explode(F.sequence("_first_p", band(F.col("pred_end")))))
+    t = t.withColumn("_first_t", band(F.col("true_start") - threshold)).withColumn("_band", F.explode(F.sequence("_first_t", band(F.col("true_end") + threshold))))
+    met = p.join(t, [*keys, "_band"]).where(F.col("_band") == F.greatest("_first_p", "_first_t"))
+    gap = range_gap(F.col("pred_start"), F.col("pred_end"), F.col("true_start"), F.col("true_end"))
+    return met.withColumn("d", gap).where(F.col("d") < threshold).select(*keys, "d")
+
+
 def dbd(both: DataFrame, keys: Keys = K, threshold: int = 20) -> DataFrame:
-    """Domain boundary distance score: a sum over all pairs. Single-domain cases are decided first; null without
-    entities on a side."""
+    """Domain boundary distance score: a sum over the pairs nearer than ``threshold``. Single-domain cases are decided
+    first; null without entities on a side."""
     domains = both.groupBy(*keys).agg(*(F.countDistinct(F.when(F.col(s) != -1, F.col(s))).alias(s[0]) for s in ("true", "pred")))
-    total = boundary_gap(both, keys).groupBy(*keys).agg(F.sum(F.greatest(F.lit(threshold) - F.col("d"), F.lit(0))).alias("s"))
+    p, t = _entities(both, keys)
+    total = near_boundaries(p, t, keys, threshold).groupBy(*keys).agg(F.sum(F.lit(threshold) - F.col("d")).alias("s"))
     joined = domains.join(total, list(keys), "left")
-    for s in ("pred", "true"):
-        joined = joined.join(boundary_entities(both, s, keys).groupBy(*keys).agg(F.count("*").alias(f"n_{s}")), list(keys), "left")
+    for s, side in (("pred", p), ("true", t)):
+        joined = joined.join(side.groupBy(*keys).agg(F.count("*").alias(f"n_{s}")), list(keys), "left")
     t, p = F.col("t"), F.col("p")
-    score = F.col("s") / (threshold * F.greatest("n_pred", "n_true"))
+    none = F.col("n_pred").isNull() | F.col("n_true").isNull()
+    score = F.when(~none, F.coalesce("s", F.lit(0)) / (threshold * F.greatest("n_pred", "n_true")))
     return joined.select(*keys, F.when((t == 1) & (p == 1), 1.0).when((t == 1) | (p == 1), 0.0).when((t == 0) != (p == 0), 1.0).otherwise(score).alias("dbd"))
 
 
 def score_report(both: DataFrame, keys: Keys = K, digits: int = 3) -> DataFrame:
-    """CSD, IoU, NDO and DBD of every chain, rounded."""
+    """CSD, IoU, NDO and DBD of every chain, rounded. The labels are checkpointed: the scores read them many times."""
+    checkpoint_dir(both.sparkSession)
+    both = both.select(*keys, "pos", "true", "pred").checkpoint()
     out = csd(both, keys)
     for f in (iou, ndo, dbd):
         out = out.join(f(both, keys), list(keys))
