@@ -59,17 +59,31 @@ def test_plan():
     assert {b for b, _, _ in plan} == {0, 1, 2} and max(f + p for _, f, p in plan) <= 7
 
 
-@pytest.mark.parametrize("dims", [32, 64])
+@pytest.mark.parametrize("dims", [32, 64, 128, 256, 768])
 def test_recall_of_a_full_shard_without_clusters(dims):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(ann.SHARD_ROWS, dims))
     members, tables = ann.build(x, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
-    queries = x[::40]
-    held, _ = ann.search(x, members, tables, queries, ann.BREADTH)
+    queries = x[:: 40 if dims <= 64 else 128]
+    held, _ = ann.search(x, members, tables, queries, ann.breadth_for(dims))
     best = np.argsort(-(queries @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(held[:, :20].tolist(), best.tolist(), strict=True)]) >= 0.95
 
 
+def test_many_ties_over_several_shards(spark):
+    """Vectors of few values: very many equal scores, whose order is that of the ids."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, (600, 6))
+    x = x[(x != 0).any(axis=1)]
+    vectors = {i: v.astype(float).tolist() for i, v in enumerate(x)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    got = found(ann.nearest(df, df.where("vec_id % 7 = 0"), k=10, shard_rows=100))
+    want = exact(vectors, [i for i in vectors if i % 7 == 0], 10)
+    assert all([s for _, s in got[q]] == [s for _, s in want[q]] for q in want)
+    assert all([(-s, i) for i, s in got[q]] == sorted((-s, i) for i, s in got[q]) for q in got)
+    assert recall(got, want) >= 0.95
+
+
 def test_queries_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 8 * 10)
     monkeypatch.setattr(ann, "TOGETHER", 3)
