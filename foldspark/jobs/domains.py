@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import splitting as S
+from ..operators.chains import each_chain, effort
 from ..operators.cuts import MIN_GAP, cut_candidates
 from ..operators.graph import contact_edges, cutoff_for
 from ..schemas import K, Keys
-from .chains import each_chain, effort
 from .fragments import LONGEST, least_length, split_long
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import splitting as S
+from ..operators.chains import each_chain, effort
 from ..operators.cuts import OTHER_MIN, PROTEIN_MIN, best_continuous_cut, best_discontinuous_cut
 from ..schemas import Keys
 from ..session import checkpoint_dir
-from .chains import each_chain, effort
 
 #: Residues of the longest fragment that one task splits.
 LONGEST = 20_000

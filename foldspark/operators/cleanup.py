@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance
 from ..schemas import K, Keys, along, before
+from .chains import each_chain
 from .graph import _pairs, node_degree
-from .intervals import label_runs, ranges_of
+from .intervals import _runs, label_runs, ranges_of
 
 
 def terminal_low_degree(edges: DataFrame, labels: DataFrame, keys: Keys = K, threshold: int = 2, min_run: int = 10) -> DataFrame:
@@ -112,14 +111,15 @@ def mark_outliers(residues: DataFrame, labels: DataFrame, keys: Keys = K, tau: f
     return short.select(*keys, F.explode(F.sequence("start", "end")).alias("pos"), "label")
 
 
-def merged_runs(labels: list[int], min_size: int = 30, passes: int = 300) -> list[int]:
-    """Give short runs to a neighbour, pass by pass; sizes are those at the start of a pass."""
-    y = np.asarray(labels)
-    if len(y) < min_size:
-        return [-1] * len(y)
+def merged_run_table(label: np.ndarray, size: np.ndarray, min_size: int = 30, passes: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and sizes of a chain's runs after short runs went to a neighbour, pass by pass; sizes are those at the start
+    of a pass, and neighbours that come to have one label are one run in the next."""
+    value, size = np.asarray(label), np.asarray(size)
+    if size.sum() < min_size:
+        return np.full(min(1, len(size)), -1), size.sum(keepdims=True)[: len(size)]
     for _ in range(passes):
-        starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-        value, size = y[starts], np.diff(np.r_[starts, len(y)])
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        value, size = value[starts], np.add.reduceat(size, starts)
         short = (value != -1) & (size < min_size)
         if not short.any():
             break
@@ -128,8 +128,14 @@ def merged_runs(labels: list[int], min_size: int = 30, passes: int = 300) -> lis
         left_size, right_size = np.r_[0, size[:-1]], np.r_[size[1:], 0]
         lone = np.arange(len(value)) == len(value) - 1
         takes_left = (left != -1) & (lone | (left_size >= right_size))
-        y = np.repeat(np.where(short, np.where(takes_left, left, right), value), size)
-    return y.tolist()
+        value = np.where(short, np.where(takes_left, left, right), value)
+    return value, size
+
+
+def merged_runs(labels: list[int], min_size: int = 30, passes: int = 300) -> list[int]:
+    """``merged_run_table`` of residues."""
+    label, size = merged_run_table(np.asarray(labels), np.ones(len(labels), np.int64), min_size, passes)
+    return np.repeat(label, size).tolist()
 
 
 def _halves(own: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, int]]:
@@ -181,7 +187,7 @@ def relabelled(runs: list[tuple[int, np.ndarray]], i: int, short: int, low: int,
 
 
 def post_processed(
-    labels: list[int], short: int = 30, low: int = 10, high: int = 100, passes: int = 31, places: list[int] | None = None
+    labels: list[int] | np.ndarray, short: int = 30, low: int = 10, high: int = 100, passes: int = 31, places: np.ndarray | None = None
 ) -> list[int]:
     """Repeat all rules on the runs of a pass until nothing is asked for; later runs override earlier ones.
 
@@ -205,23 +211,51 @@ def post_processed(
 
 
 def _each_chain(labels: DataFrame, keys: Keys, f) -> DataFrame:
-    """Apply ``f`` to the labels and places of one chain at a time: rows are chains, so a task holds a few arrays."""
-    chains = labels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("rows"))
-    chains = chains.select(*keys, F.col("rows.pos").alias("pos"), F.col("rows.label").alias("label"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(label=[f(list(y), list(pos)) for pos, y in zip(batch["pos"], batch["label"], strict=True)])
-
-    return chains.mapInPandas(run, chains.schema).select(*keys, F.explode(F.arrays_zip("pos", "label")).alias("_r")).select(*keys, "_r.pos", "_r.label")
+    """Labels anew from ``f`` (labels, first and last places of a chain's stretches) -> (labels, sizes of runs).
+
+    A stretch has one label and no gap in its places. Only stretches leave the tasks that hold the residues; chains are
+    dealt to tasks by size, and their runs come back and are laid out as places again."""
+    keys = list(keys)
+    rows = labels.select(*keys, "pos", F.coalesce("label", F.lit(-1)).alias("label")).where("pos is not null")
+    w = along(keys)
+    rows = _runs(rows, keys, (F.col("label") != F.lag("label").over(w)) | (F.col("pos") != F.lag("pos").over(w) + 1))
+    stretches = rows.groupBy(*keys, "run").agg(F.first("label").alias("label"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+    costs = rows.groupBy(*keys).agg(F.count("*").alias("cost"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("start")
+        first, last = (rows[c].to_numpy(np.int64) for c in ("start", "end"))
+        label, size = f(rows["label"].to_numpy(np.int64), first, last)
+        # Places of the new runs, cut at the gaps.
+        places, ends = last - first + 1, np.cumsum(size)
+        cuts = np.unique(np.concatenate([np.cumsum(places), ends]))
+        begins = np.r_[0, cuts[:-1]]
+        of = np.searchsorted(np.cumsum(places), begins, "right")
+        start = first[of] + begins - (np.cumsum(places) - places)[of]
+        out = {"start": start, "end": start + cuts - begins - 1, "label": label[np.searchsorted(ends, begins, "right")]}
+        return pd.DataFrame({**{k: [v] * len(start) for k, v in zip(keys, key, strict=True)}, **out})
+
+    types = dict(labels.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"start {types['pos']}, end {types['pos']}, label {types['label']}"])
+    done = each_chain(stretches.drop("run"), costs, keys, run, schema)
+    return done.select(*keys, F.explode(F.sequence("start", "end")).alias("pos"), "label")
 
 
 def merge_small_clusters(labels: DataFrame, keys: Keys = K, min_size: int = 30) -> DataFrame:
-    """Short runs join a neighbour, to a fixed point of at most 300 passes; chains below ``min_size`` become -1."""
-    return _each_chain(labels, keys, lambda y, _: merged_runs(y, min_size))
+    """Short runs join a neighbour, to a fixed point of at most 300 passes; chains below ``min_size`` become -1. Null
+    labels count as -1, rows without place are left out."""
+    return _each_chain(labels, keys, lambda y, first, last: merged_run_table(y, last - first + 1, min_size))
 
 
 def post_process(labels: DataFrame, keys: Keys = K, short: int = 30, low: int = 10, high: int = 100) -> DataFrame:
     """Clean short domain runs and outlier runs by the rules of ``relabelled``, in at most 31 passes. Gaps in ``pos`` count
-    as in ``post_processed``."""
-    return _each_chain(labels, keys, lambda y, places: post_processed(y, short, low, high, places=places))
+    as in ``post_processed``. Null labels count as -1, rows without place are left out."""
+
+    def cleaned(y: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = last - first + 1
+        places = np.repeat(first - (size.cumsum() - size), size) + np.arange(size.sum())
+        out = np.array(post_processed(np.repeat(y, size), short, low, high, places=places))
+        starts = np.flatnonzero(np.r_[True, out[1:] != out[:-1]])
+        return out[starts], np.diff(np.r_[starts, len(out)])
+
+    return _each_chain(labels, keys, cleaned)

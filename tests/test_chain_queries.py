@@ -169,3 +169,23 @@ def test_clean_up_of_odd_tables(spark):
     assert merged[1, 0] == -1 and {merged[2, k] for k in range(40)} == {-1} and {merged[3, k] for k in range(40)} == {0}
     cleaned = {(r.chain_id, r.pos): r.label for r in cleanup.post_process(some, ["chain_id"]).collect()}
     assert cleaned[1, 0] == 4 and {cleaned[2, k] for k in range(40)} == {-1} and {cleaned[3, k] for k in range(40)} == {0}
+
+
+def test_clean_up_by_runs_equals_the_helpers_on_residues(spark):
+    """Chains with gaps and nulls, as residues and as what the runs of the operators give."""
+    rng = random.Random(11)
+    chains = {c: y for c, y in enumerate(random_chains(120, 3))}
+    rows, want_merged, want_cleaned = [], {}, {}
+    for c, y in chains.items():
+        place, places = 0, []
+        for _ in y:
+            place += 1 if rng.random() < 0.97 else rng.randint(2, 4)
+            places.append(place)
+        rows += [(c, p, None if v == -1 and rng.random() < 0.1 else v) for p, v in zip(places, y)]
+        want_merged |= {(c, p): v for p, v in zip(places, cleanup.merged_runs(y))}
+        want_cleaned |= {(c, p): v for p, v in zip(places, cleanup.post_processed(y, places=places))}
+    df = spark.createDataFrame([*rows, (5, None, 1)], "chain_id int, pos int, label int").repartition(5)
+    for f, want in ((cleanup.merge_small_clusters, want_merged), (cleanup.post_process, want_cleaned)):
+        out = f(df, ["chain_id"])
+        assert out.dtypes == df.dtypes
+        assert {(r.chain_id, r.pos): r.label for r in out.collect()} == want

@@ -8,8 +8,8 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from foldspark.jobs import chains, domains, fixtures, fragments
-from foldspark.operators import cuts, graph
+from foldspark.jobs import domains, fixtures, fragments
+from foldspark.operators import chains, cuts, graph
 
 SF = "/root/testdata/sf0.001"
 K = ["chain_id"]
