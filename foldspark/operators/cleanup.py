@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
@@ -52,21 +52,65 @@ def merge_outlier_segments(labels: DataFrame, keys: Keys = K, min_length: int =
     return runs.select(*keys, F.explode(F.sequence("start", "end")).alias("pos"), "label")
 
 
+def _sized(residues: DataFrame, labels: DataFrame, keys: Keys, least: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes of the clusters that count (``least`` residues or more, in chains with two of them), and their residues."""
+    sizes = labels.where("label <> -1").groupBy(*keys, "label").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    sizes = sizes.withColumn("_k", F.count("*").over(Window.partitionBy(*keys))).where("_k >= 2").drop("_k")
+    rows = residues.select(*keys, "pos", "x", "y", "z").join(labels.select(*keys, "pos", "label"), [*keys, "pos"])
+    return sizes, rows.join(sizes, [*keys, "label"])
+
+
+def _silhouettes(sums: DataFrame, own: DataFrame, sizes: DataFrame, keys: Keys) -> DataFrame:
+    """pos, silhouette from the distances of residues summed per cluster (pos, other, total)."""
+    other = sums.join(sizes.withColumnsRenamed({"label": "other", "size": "n"}), [*keys, "other"]).join(own.select(*keys, "pos", "label", "size"), [*keys, "pos"])
+    same = F.col("other") == F.col("label")
+    per = other.groupBy(*keys, "pos", "size").agg(F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"))
+    value = F.when(F.col("size") == 1, 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return per.select(*keys, "pos", value.alias("silhouette"))
+
+
 def silhouette_points(residues: DataFrame, labels: DataFrame, keys: Keys = K, min_cluster_size: int = 5, block: int = 256) -> DataFrame:
     """Silhouette of the residues of clusters of at least ``min_cluster_size``; null elsewhere, and in chains of fewer
     than two such clusters. Distances are summed per (residue, cluster) before they are shuffled."""
-    sizes = labels.where("label <> -1").groupBy(*keys, "label").agg(F.count("*").alias("size")).where(F.col("size") >= min_cluster_size)
-    sizes = sizes.withColumn("_k", F.count("*").over(Window.partitionBy(*keys))).where("_k >= 2").drop("_k")
-    rows = residues.select(*keys, "pos", "x", "y", "z").join(labels.select(*keys, "pos", "label"), [*keys, "pos"]).join(sizes, [*keys, "label"])
+    sizes, rows = _sized(residues, labels, keys, min_cluster_size)
     pairs = _pairs(rows, keys, block, ("label",)).withColumn("d", distance("a", "b"))
     sides = F.explode(F.array(F.struct(F.col("i").alias("pos"), F.col("label_j").alias("other")), F.struct(F.col("j").alias("pos"), F.col("label_i").alias("other")))).alias("_s")
     sums = pairs.select(*keys, sides, "d").groupBy(*keys, "_s.pos", "_s.other").agg(F.sum("d").alias("total"))
-    own = rows.select(*keys, "pos", "label", "size")
-    other = sums.join(sizes.withColumnsRenamed({"label": "other", "size": "n"}), [*keys, "other"]).join(own, [*keys, "pos"])
-    same = F.col("other") == F.col("label")
-    per = other.groupBy(*keys, "pos", "size").agg(F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"))
-    value = F.when(F.col("size") == 1, 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return labels.select(*keys, "pos", "label").join(per.select(*keys, "pos", value.alias("silhouette")), [*keys, "pos"], "left").select(*keys, "pos", "label", "silhouette")
+    per = _silhouettes(sums, rows, sizes, keys)
+    return labels.select(*keys, "pos", "label").join(per, [*keys, "pos"], "left").select(*keys, "pos", "label", "silhouette")
+
+
+def silhouette_bounds(rows: DataFrame, asked: DataFrame, keys: Keys) -> DataFrame:
+    """pos, least, most: what the silhouette of each of ``asked`` lies between, from the clusters' shapes alone.
+
+    With centroid c and mean square spread V of a cluster, the mean distance from a point at distance d of c is at least d
+    (the norm of a mean) and at most sqrt(d^2 + V) (the root of the mean square); a residue's own cluster of n counts
+    n / (n - 1) of that. The silhouette grows with the distance of the nearest other cluster and falls with that of
+    its own. Residues of clusters of one are left out."""
+    shape = rows.groupBy(*keys, F.col("label").alias("other")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"b{c}") for c in "xyz"), sum((F.var_pop(c) for c in "xyz"), F.lit(0.0)).alias("v"))
+    met = asked.select(*keys, "pos", "label", *(F.col(c).alias(f"a{c}") for c in "xyz")).join(shape, list(keys)).withColumn("d", distance("a", "b"))
+    own = F.col("other") == F.col("label")
+    scale = F.when(own, F.col("n") / (F.col("n") - 1)).otherwise(1.0)
+    met = met.where(~own | (F.col("n") > 1)).withColumn("low", F.col("d") * scale).withColumn("high", F.sqrt(F.col("d") ** 2 + F.col("v")) * scale)
+    per = met.groupBy(*keys, "pos").agg(*(f(F.when(side, F.col(c))).alias(name) for f, side, c, name in ((F.max, own, "low", "a1"), (F.max, own, "high", "a2"), (F.min, ~own, "low", "b1"), (F.min, ~own, "high", "b2"))))
+    value = lambda b, a: F.when(F.greatest(a, b) > 0, (F.col(b) - F.col(a)) / F.greatest(a, b)).otherwise(0.0)
+    return per.where("a1 is not null and b1 is not null").select(*keys, "pos", value("b1", "a2").alias("least"), value("b2", "a1").alias("most"))
+
+
+def badly_placed(residues: DataFrame, labels: DataFrame, asked: DataFrame, keys: Keys, tau: float, min_cluster_size: int, block: int = 256) -> DataFrame:
+    """The residues among ``asked`` (keys, pos) whose silhouette is below ``tau``. Bounds decide most; distances are
+    summed for the others only, by blocks of places, so a long chain is many tasks."""
+    sizes, rows = _sized(residues, labels, keys, min_cluster_size)
+    some = rows.join(asked.select(*keys, "pos"), [*keys, "pos"], "left_semi")
+    tried = some.join(silhouette_bounds(rows, some, keys), [*keys, "pos"], "left")
+    sure, slack = F.col("most") < tau - 1e-9, F.coalesce((F.col("most") < tau - 1e-9) | (F.col("least") >= tau + 1e-9), F.lit(False))
+    open_ = tried.where(~slack)
+    ends = rows.groupBy(*keys).agg(F.max(F.floor(F.col("pos") / block)).alias("_n"))
+    left = open_.select(*keys, "pos", *(F.col(c).alias(f"a{c}") for c in "xyz")).join(ends, list(keys)).withColumn("_block", F.explode(F.expr("sequence(bigint(0), _n)")))
+    right = rows.select(*keys, F.floor(F.col("pos") / block).alias("_block"), F.col("label").alias("other"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
+    sums = left.join(right, [*keys, "_block"]).groupBy(*keys, "pos", "other").agg(F.sum(distance("a", "b")).alias("total"))
+    exact = _silhouettes(sums, open_, sizes, keys).where(F.col("silhouette") < tau)
+    return tried.where(sure).select(*keys, "pos").unionByName(exact.select(*keys, "pos"))
 
 
 def choose_k(residues: DataFrame, candidates: DataFrame, keys: Keys = K, kmin: int = 2, kmax: int = 10) -> DataFrame:
@@ -87,24 +131,33 @@ def mark_outliers(residues: DataFrame, labels: DataFrame, keys: Keys = K, tau: f
     """Mark badly placed coil residues at the ends of runs as -1, at most ``max_expand`` in a row from each end, then
     fill marked runs shorter than ``cleanup_min_run`` between equal labels. ``labels`` has ss and label.
 
-    Ends are the chain's ends and both sides of every direct change from one domain to another.
+    Ends are the chain's ends and both sides of every direct change from one domain to another. Only residues that an
+    unbroken stretch of coil joins to an end are looked at: no other can be marked.
     """
-    points = silhouette_points(residues, labels, keys, min_cluster_size).join(labels.select(*keys, "pos", "ss"), [*keys, "pos"])
-    bad = (F.col("label") != -1) & F.col("ss").isin(*coil) & F.coalesce(F.col("silhouette") < tau, F.lit(False))
-    runs = label_runs(labels, keys)
-    w = along(keys, "run")
-    from_left = F.coalesce(F.lag("label").over(w) != -1, F.lit(True))
-    from_right = F.coalesce(F.lead("label").over(w) != -1, F.lit(True))
-    runs = runs.withColumn("_fl", from_left).withColumn("_fr", from_right)
-    members = runs.select(*keys, "run", "start", "end", "_fl", "_fr", F.explode(F.sequence("start", "end")).alias("pos"))
-    rows = points.withColumn("_bad", bad).join(members, [*keys, "pos"])
+    w = along(keys)
+    rows = labels.select(*keys, "pos", "ss", "label")
+    beside = rows.withColumn("_left", F.lag("label").over(w)).withColumn("_right", F.lead("label").over(w))
+    beside = _runs(beside, keys, F.col("label") != F.lag("label").over(w))
     span = [*keys, "run"]
-    ahead = Window.partitionBy(*span).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    good = (~F.col("_bad")).cast("int")
-    rows = rows.withColumn("_l", F.max(good).over(before(span))).withColumn("_r", F.max(good).over(ahead))
-    left = F.col("_fl") & (F.col("_l") == 0) & (F.col("pos") - F.col("start") < max_expand)
-    right = F.col("_fr") & (F.col("_r") == 0) & (F.col("end") - F.col("pos") < max_expand)
+    whole, ahead = Window.partitionBy(*span), Window.partitionBy(*span).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first, last = F.min("pos").over(whole), F.max("pos").over(whole)
+    from_left = F.coalesce(F.first("_left").over(before(span)) != -1, F.lit(True))
+    from_right = F.coalesce(F.first("_right").over(ahead) != -1, F.lit(True))
+    near_left, near_right = from_left & (F.col("pos") - first < max_expand), from_right & (last - F.col("pos") < max_expand)
+    placed = beside.withColumn("_fl", near_left).withColumn("_fr", near_right)
+
+    def reached(good: Column) -> tuple[Column, Column]:
+        """Whether no good residue stands between a residue and the left, or the right, end of its run."""
+        good = F.coalesce(good, F.lit(True)).cast("int")
+        return F.col("_fl") & (F.max(good).over(before(span)) == 0), F.col("_fr") & (F.max(good).over(ahead) == 0)
+
+    left, right = reached((F.col("label") == -1) | ~F.col("ss").isin(*coil))
+    asked = placed.withColumn("_asked", left | right).where("_asked").select(*keys, "pos")
+    bad = badly_placed(residues, labels, asked, keys, tau, min_cluster_size).withColumn("_bad", F.lit(True))
+    rows = placed.join(bad, [*keys, "pos"], "left")
+    left, right = reached(F.col("_bad").isNull())
     marked = rows.select(*keys, "pos", F.when(left | right, -1).otherwise(F.col("label")).alias("label"))
+    w = along(keys, "run")
     short = label_runs(marked, keys)
     fill = (F.col("label") == -1) & (F.col("length") < cleanup_min_run) & (F.lag("label").over(w) == F.lead("label").over(w))
     short = short.withColumn("label", F.when(F.coalesce(fill, F.lit(False)), F.lag("label").over(w)).otherwise(F.col("label")))
