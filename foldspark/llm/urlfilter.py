@@ -21,10 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import BROADCAST_BYTES, cut
 
-#: Rules that may be broadcast; above it the join with the urls' tokens is shuffled.
-BROADCAST_RULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -271,7 +269,9 @@ def filter_urls(
     listed = [(i, r.text, r.action, r.pattern, r.kind, list(r.tokens)) for i, r in rules if r.tokens]
     table = spark.createDataFrame(listed, schema)
     wanted = table.select(F.explode("tokens").alias("token")).distinct()
-    bound = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda df: df)
+    # Above this size the joins with the urls' tokens are shuffled.
+    size = sum(len(r.text) + len(r.pattern) + sum(map(len, r.tokens)) + 200 for _, r in rules)
+    bound = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     counts = rows.select(F.explode("tokens").alias("token")).join(bound(wanted), "token")
     counts = counts.groupBy("token").agg(F.count("*").alias("n"))
     keyed = table.select("*", F.explode("tokens").alias("token")).join(counts, "token", "left")

@@ -1,13 +1,15 @@
 """WARC archives: writing, reading back, and revisit resolution by payload digest.
 
 Records are built and written by Spark's text writer, whose line separator is the blank lines that end a WARC record, so
-every output file is one gzipped archive of whole records. Files are bounded by bytes: records are written in classes of
-payload size, the larger the fewer to a file. Reading parses records by their Content-Length, file by file in tasks, one
+every output file is one gzipped archive of whole records (one gzip member a file). Files are bounded by bytes: a task
+sorts its records by classes of payload size and numbers them, and the larger the class the fewer go to a file, all in
+one pass over the records. Reading parses records by their Content-Length, file by file in tasks, one
 record in memory at a time, and recomputes every payload's digest.
 
 Resolution shuffles headers only: records of equal digest and at least ``min_bytes`` bytes are grouped with partial
 aggregation, the smallest id becomes the response and the other records revisit it. Payloads are not shuffled while the
-table of repeated digests is small (its counted size decides); above ``REPEATED`` of them the join shuffles the rows.
+table of repeated digests is small (its bytes, urls included, decide); above ``BROADCAST_BYTES`` of them the join shuffles
+the rows, where adaptive execution splits a digest that very many records share.
 
 Headers are written afresh: the time of writing, a record id made from page id, digest and type (``urn:uuid:``), and in
 revisits the id, url and time of the response. The page id has a header of its own.
@@ -30,18 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut, maybe_broadcast, new_path
+from .scratch import BROADCAST_BYTES, cut, new_path
 
 #: Record syntax.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PAGE = "X-Page-ID"
-#: Records of one archive file at most, and bytes of a payload up to which a file holds that many. For every doubling of
-#: the payload a file holds half as many, one at least.
-FILE_RECORDS, SMALL = 2000, 1 << 16
-#: Repeated digests that may be broadcast (with id and url, about 200 bytes each).
-REPEATED = 100_000
+#: Records of one archive file at most (a power of two), and bytes of a payload up to which a file holds that many. For
+#: every doubling of the payload a file holds half as many, one at least.
+FILE_RECORDS, SMALL = 2048, 1 << 16
 _RECORDS = (
     "page_id bigint, url string, record_type string, refers_to bigint, refers_url string, payload_digest string, "
     "payload_bytes bigint, payload string"
@@ -67,7 +67,9 @@ def originals(headers: DataFrame, min_bytes: int) -> DataFrame:
 def resolve(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Add record_type, refers_to and refers_url to rows of ``with_headers``."""
     first = originals(records.select("page_id", "url", "payload_digest", "payload_bytes"), min_bytes)
-    joined = records.join(maybe_broadcast(first, REPEATED), "payload_digest", "left")
+    # A row is its digest, id and url, and about 100 bytes of a hash table.
+    size = first.agg(F.sum(F.octet_length("payload_digest") + F.coalesce(F.octet_length("response_url"), F.lit(0)) + 100)).first()[0] or 0
+    joined = records.join(F.broadcast(first) if size <= BROADCAST_BYTES else first, "payload_digest", "left")
     again = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.select(
         "page_id",
@@ -130,12 +132,12 @@ def write_archives(records: DataFrame, path: str, date: str | None = None, file_
         F.when(revisit, "").otherwise(F.col("payload")),
     )
     doublings = F.ceil(F.log2(F.greatest(F.col("payload_bytes"), F.lit(SMALL)) / SMALL)).cast("int")
-    sizes = records.select(F.when(revisit, 0).otherwise(doublings).alias("size"))
-    classes = sorted(r.size for r in sizes.distinct().collect()) or [0]
-    for size in classes:
-        some = records if len(classes) == 1 else records.where(F.when(revisit, 0).otherwise(doublings) == size)
-        out = some.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-        out.option("maxRecordsPerFile", max(1, file_records >> size)).text(f"{path}/size-{size}")
+    rows = records.select(record.alias("value"), F.when(revisit, 0).otherwise(doublings).alias("size"))
+    # Rows of a task are numbered in the order of their classes; as many as fit go to one file.
+    rows = rows.sortWithinPartitions("size").withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    most = F.greatest(F.lit(1.0), F.floor(file_records / F.pow(F.lit(2.0), F.col("size"))))
+    rows = rows.select("value", "size", F.floor(F.col("row") / most).alias("file"))
+    rows.write.partitionBy("size", "file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _inflate(content: bytes) -> Iterator[bytes]:

@@ -104,3 +104,15 @@ def test_query_equals_its_sql(spark, tmp_path):
     columns = [c[0] for c in db.description]
     got = queries.QUERIES["op3_warc_revisits"](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_digests_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    assert got(warc.archive_pages(pages(spark))) == want()
+
+
+def test_one_pass_writes_full_files(spark, tmp_path):
+    rows = spark.range(0, 5000, numPartitions=1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p" * 120), F.col("id").cast("string")).alias("html"))
+    warc.archive_pages(rows, path=str(tmp_path / "w"))
+    counts = sorted(len(list(warc.parse_archive(f.read_bytes()))) for f in (tmp_path / "w").rglob("*.gz"))
+    assert counts == [904, 2048, 2048]
