@@ -10,8 +10,9 @@ from .intervals import format_ranges, ranges_with_insertions
 
 
 def labels_to_clusters(labels: DataFrame, keys: Keys = K, keep_outliers: bool = False, member: str = "pos") -> DataFrame:
-    """label and its sorted members; -1 is dropped unless ``keep_outliers``."""
-    rows = labels if keep_outliers else labels.where("label <> -1")
+    """label and its sorted members; -1 is dropped unless ``keep_outliers``, rows without label always. Null members are
+    left out."""
+    rows = labels.where("label is not null" if keep_outliers else "label <> -1")
     return rows.groupBy(*keys, "label").agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 

@@ -47,7 +47,8 @@ def ends(edges: DataFrame, keys: Keys = K) -> DataFrame:
 
 
 def node_degree(edges: DataFrame, keys: Keys = K) -> DataFrame:
-    """Number of neighbours and their weight."""
+    """Number of neighbours and their weight. An edge without weight counts as a neighbour only; a residue that has no
+    other edge has no weight."""
     return ends(edges, keys).groupBy(*keys, "pos").agg(F.count("*").alias("degree"), F.sum("weight").alias("weighted_degree"))
 
 

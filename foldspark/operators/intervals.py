@@ -16,8 +16,8 @@ def _runs(rows: DataFrame, keys: Keys, breaks: Column, order: str = "pos") -> Da
 
 
 def ranges_of(values: DataFrame, keys: Keys = K, value: str = "value") -> DataFrame:
-    """Maximal runs of consecutive integers: range_no (from 0), start, end."""
-    seen = values.select(*keys, value).distinct()
+    """Maximal runs of consecutive integers: range_no (from 0), start, end. Null values are in no range."""
+    seen = values.select(*keys, value).where(F.col(value).isNotNull()).distinct()
     island = seen.withColumn("_island", F.col(value) - F.row_number().over(along(keys, value)))
     ranges = island.groupBy(*keys, "_island").agg(F.min(value).alias("start"), F.max(value).alias("end"))
     return ranges.select(*keys, (F.row_number().over(along(keys, "start")) - 1).alias("range_no"), "start", "end")
@@ -33,15 +33,18 @@ def ranges_with_insertions(labels: DataFrame, keys: Keys = K, label: str = "res_
 
 
 def label_runs(labels: DataFrame, keys: Keys = K, label: str = "label") -> DataFrame:
-    """Maximal runs of equal labels: run (from 0), label, start, end, length."""
-    rows = _runs(labels.select(*keys, "pos", label), keys, F.col(label) != F.lag(label).over(along(keys)))
+    """Maximal runs of equal labels: run (from 0), label, start, end, length. A null label is a run of its own; rows
+    without a place are in no run."""
+    rows = _runs(labels.select(*keys, "pos", label).where("pos is not null"), keys, F.col(label) != F.lag(label).over(along(keys)))
     grouped = rows.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").cast("int").alias("length"))
     return grouped
 
 
 def labelled_ranges(labels: DataFrame, keys: Keys = K) -> DataFrame:
     """Members of the runs of equal labels: run, label, pos. A domain residue that does not follow its predecessor by
-    one is left out (its run goes on); a chain of one residue has no run."""
+    one is left out (its run goes on); a chain of one residue has no run. A null label is a run of its own; rows without
+    a place are in no run."""
+    labels = labels.where("pos is not null")
     w = along(keys)
     rows = labels.withColumn("_gap", F.col("pos") - F.lag("pos").over(w)).withColumn("_same", F.col("label") == F.lag("label").over(w))
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
@@ -51,7 +54,9 @@ def labelled_ranges(labels: DataFrame, keys: Keys = K) -> DataFrame:
 
 
 def domain_points(labels: DataFrame, keys: Keys = K) -> DataFrame:
-    """Places where one domain follows another directly: the first residue of the right one."""
+    """Places where one domain follows another directly: the first residue of the right one. Beside a null label there is
+    no such place."""
+    labels = labels.where("pos is not null")
     left = F.lag("label").over(along(keys))
     return labels.withColumn("_left", left).where("_left <> label and _left <> -1 and label <> -1").select(*keys, F.col("pos").alias("start"), F.col("pos").alias("end"))
 

@@ -1,6 +1,7 @@
 """Scores of predicted labels against true ones. Input ``both``: one row per residue with pos, true, pred (-1: linker).
 
-The contingency is counted once by a partial aggregation; everything after it is small.
+The contingency is counted once by a partial aggregation; everything after it is small. A residue whose label is null on
+one side is no member of any domain or linker of that side; chains whose key is null have no scores that need a join.
 """
 
 from __future__ import annotations

@@ -80,6 +80,7 @@ an as (select chain_id, cast(res_seq as varchar) as res_label, 0 as part, -pos a
 al as (select chain_id, res_label, min(struct_pack(p := part, o := o)) as m from (select * from gp union all select * from an) group by all)
 select chain_id, res_label, cast(row_number() over (partition by chain_id order by m, res_label) - 1 as int) as ord from al""")
 def missing_residues(spark, d):
+    """Chains with holes: two of fourteen residues are seen in neither model, every 17th is annotated as missing."""
     rows = residues(spark, d)
     seen = rows.where("pos % 7 <> 5").select("chain_id", "res_seq", "res_name", F.lit("").alias("hetflag"), (F.col("pos") % 2).alias("model_id"))
     listed = rows.where("pos % 17 = 5").select("chain_id", F.col("res_seq").cast("string").alias("res_label"), (-F.col("pos")).alias("ord"))
@@ -123,6 +124,7 @@ def read_mmcif(spark, d):
 
 @query("read_unobserved_residues", BASE + """ select cast(chain_id as varchar) as structure_id, 'A' as chain_id, res_name, res_label, cast(row_number() over (partition by chain_id order by pos) - 1 as int) as ord from res where pos % 17 = 5""")
 def read_unobserved_residues(spark, d):
+    """A file lists what was not observed: every 17th residue of each chain stands for it."""
     rows = residues(spark, d).where("pos % 17 = 5")
     row = F.concat_ws(" ", F.lit("A"), "res_name", F.col("res_seq").cast("string"), F.when(F.col("icode") == "", "?").otherwise(F.col("icode")))
     head = "data_x\nloop_\n" + "".join(f"_pdbx_unobs_or_zero_occ_residues.{n}\n" for n in ("auth_asym_id", "auth_comp_id", "auth_seq_id", "PDB_ins_code"))
@@ -132,6 +134,7 @@ def read_unobserved_residues(spark, d):
 
 @query("read_missing_annotations", BASE + """ select cast(chain_id as varchar) as structure_id, 'A' as chain_id, res_name, res_label, cast(row_number() over (partition by chain_id order by pos) - 1 as int) as ord from res where pos % 17 = 5""")
 def read_missing_annotations(spark, d):
+    """The remarks list missing residues: every 17th residue of each chain stands for them."""
     rows = residues(spark, d).where("pos % 17 = 5")
     line = F.concat(F.lit("REMARK 465     "), F.lpad("res_name", 3, " "), F.lit(" A "), F.lpad(F.concat(F.col("res_seq").cast("string"), F.when(F.col("icode") == "", " ").otherwise(F.col("icode"))), 6, " "))
     lines = rows.select(F.col("chain_id").cast("string").alias("structure_id"), (F.col("pos") + 1).alias("line_no"), line.alias("value"))
@@ -152,13 +155,13 @@ def read_ss_assignments(spark, d):
 
 @query("read_base_pairs", BASE + """,
 n as (select chain_id, count(*) as n from res group by chain_id),
-pr as (select res.chain_id, pos, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) % n.n as other from res join n using (chain_id) where pos % 4 = 0 and regexp_extract(props, '"k": *([0-9]+)', 1) <> ''),
+pr as (select res.chain_id, pos, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) % n.n as other from res join n using (chain_id) where regexp_extract(props, '"k": *([0-9]+)', 1) <> ''),
 pd as (select chain_id, pos from pr union select chain_id, other from pr)
 select cast(res.chain_id as varchar) as structure_id, 'A' as chain_id, cast(res.pos as varchar) as res_label, case when pd.pos is null then 'C' else 'H' end as ss from res left join pd on pd.chain_id = res.chain_id and pd.pos = res.pos""")
 def read_base_pairs(spark, d):
     rows = residues(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("chain_id")))
     other = F.regexp_extract("props", '"k": *([0-9]+)', 1).try_cast("bigint") % F.col("n")
-    pairs = rows.where("pos % 4 = 0").withColumn("other", other).where("other is not null")
+    pairs = rows.withColumn("other", other).where("other is not null")
     name = lambda p: F.concat(F.lit("A."), F.lit("G"), p.cast("string"))
     items = F.sort_array(F.collect_list(F.struct("pos", F.to_json(F.struct(name(F.col("pos")).alias("nt1"), name(F.col("other")).alias("nt2"))).alias("t"))))["t"]
     texts = pairs.groupBy(F.col("chain_id").cast("string").alias("structure_id")).agg(F.concat(F.lit('{"pairs":['), F.array_join(items, ","), F.lit("]}")).alias("value"))
