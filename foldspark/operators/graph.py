@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +100,30 @@ def _pairs(rows: DataFrame, own: Keys, block: int, carried: tuple[str, ...] = ()
     return left.join(right, [*own, "_a", "_b"]).where("i < j")
 
 
-def inter_domain_density(residues: DataFrame, labels: DataFrame, keys: Keys = K, alpha: float = 0.43, block: int = 256) -> DataFrame:
-    """For labels a < b: sum of contact weights over all pairs, times (n_a n_b)^-alpha."""
+def reach(tolerance: float, d0: float = 8.0, sigma: float = 1.5) -> float:
+    """The distance beyond which a contact weighs less than ``tolerance``."""
+    return d0 + sigma * math.log(1 / tolerance - 1)
+
+
+def _near_pairs(rows: DataFrame, own: Keys, cutoff: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs i < j of one group nearer than ``cutoff``, by cubes of that size and half of their neighbours: a
+    residue meets those around it only, so the work grows with the chain's length and not with its square."""
+    cells = rows.select(*own, "pos", *carried, *"xyz", *(F.floor(F.col(c) / cutoff).alias(f"_c{c}") for c in "xyz"))
+    half = [(x, y, z) for x in (0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    around = F.array(*(F.struct(*((F.col(f"_c{c}") + d).alias(f"_c{c}") for c, d in zip("xyz", step, strict=True)), F.lit(step == (0, 0, 0)).alias("_own")) for step in half))
+    names = lambda at, end: [F.col("pos").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in carried), *(F.col(c).alias(f"{end}{c}") for c in "xyz")]
+    left = cells.select(*own, *(f"_c{c}" for c in "xyz"), *names("i", "a"))
+    right = cells.select(*own, F.inline(around), *names("j", "b"))
+    return left.join(right, [*own, "_cx", "_cy", "_cz"]).where("not _own or i < j").where(distance("a", "b") < cutoff)
+
+
+def inter_domain_density(residues: DataFrame, labels: DataFrame, keys: Keys = K, alpha: float = 0.43, block: int = 256, tolerance: float | None = None) -> DataFrame:
+    """For labels a < b: sum of contact weights over all pairs, times (n_a n_b)^-alpha. With ``tolerance`` pairs that
+    weigh less are left out: the sum is short by at most ``tolerance`` for each pair, and pairs of labels that only such
+    pairs join have no row."""
     rows = residues.join(labels.select(*keys, "pos", "label"), [*keys, "pos"])
-    pairs = _pairs(rows, keys, block, ("label",)).where("label_i <> label_j")
+    pairs = _pairs(rows, keys, block, ("label",)) if tolerance is None else _near_pairs(rows, keys, reach(tolerance), ("label",))
+    pairs = pairs.where("label_i <> label_j")
     w = contact_weight(distance("a", "b"))
     total = pairs.groupBy(*keys, F.least("label_i", "label_j").alias("label_a"), F.greatest("label_i", "label_j").alias("label_b")).agg(F.sum(w).alias("total"))
     sizes = labels.groupBy(*keys, "label").agg(F.count("*").alias("n"))
@@ -110,15 +132,16 @@ def inter_domain_density(residues: DataFrame, labels: DataFrame, keys: Keys = K,
     return total.select(*keys, "label_a", "label_b", (F.col("total") * F.pow((F.col("n_a") * F.col("n_b")).cast("double"), F.lit(-alpha))).alias("density"))
 
 
-def intra_domain_density(residues: DataFrame, labels: DataFrame, keys: Keys = K, beta: float = 0.95, block: int = 256) -> DataFrame:
-    """For each label: sum of contact weights over pairs more than two places of the domain apart, times n^-beta."""
+def intra_domain_density(residues: DataFrame, labels: DataFrame, keys: Keys = K, beta: float = 0.95, block: int = 256, tolerance: float | None = None) -> DataFrame:
+    """For each label: sum of contact weights over pairs more than two places of the domain apart, times n^-beta. With
+    ``tolerance`` pairs that weigh less are left out: the sum is short by at most ``tolerance`` for each pair."""
     place = F.row_number().over(along([*keys, "label"])).cast("int")
     placed = labels.select(*keys, "label", "pos", place.alias("place"))
     rows = residues.join(placed.select(*keys, "pos", "place"), [*keys, "pos"]).select(*keys, F.col("pos").alias("_pos"), F.col("place").alias("pos"), "x", "y", "z")
     own = [*keys, "label"]
     rows = rows.join(placed.select(*keys, F.col("pos").alias("_pos"), "label"), [*keys, "_pos"])
-    pairs = _pairs(rows, own, block)
-    total = pairs.where("j - i > 2").groupBy(*own).agg(F.sum(contact_weight(distance("a", "b"))).alias("total"))
+    pairs = _pairs(rows, own, block) if tolerance is None else _near_pairs(rows, own, reach(tolerance))
+    total = pairs.where("abs(j - i) > 2").groupBy(*own).agg(F.sum(contact_weight(distance("a", "b"))).alias("total"))
     sizes = labels.groupBy(*own).agg(F.count("*").alias("n"))
     joined = sizes.join(total, own, "left")
     return joined.select(*own, (F.coalesce("total", F.lit(0.0)) * F.pow(F.col("n").cast("double"), F.lit(-beta))).alias("density"))
