@@ -1,4 +1,5 @@
-"""Runs and ranges along a chain. Every operator is one sort by the chain key and place."""
+"""Runs and ranges along a chain. Every operator is one sort by the chain key and place; those that take ``places`` cut
+longer chains into tasks of so many places (``scans``)."""
 
 from __future__ import annotations
 
@@ -7,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import base_number, format_range
 from ..schemas import K, Keys, along, before
+from .scans import scanned
 
 
-def _runs(rows: DataFrame, keys: Keys, breaks: Column, order: str = "pos") -> DataFrame:
+def _runs(rows: DataFrame, keys: Keys, breaks: Column, order: str = "pos", places: int | None = None) -> DataFrame:
     """Number the runs of each chain (from 0): a new one starts where ``breaks`` is true."""
     rows = rows.withColumn("_break", F.coalesce(breaks, F.lit(True)).cast("int"))
-    return rows.withColumn("run", F.sum("_break").over(before(keys, order)).cast("int") - 1).drop("_break")
+    return scanned(rows, keys, order, places, total={"run": F.col("_break")}).withColumn("run", F.col("run").cast("int") - 1).drop("_break")
 
 
 def ranges_of(values: DataFrame, keys: Keys = K, value: str = "value") -> DataFrame:
@@ -23,47 +25,51 @@ def ranges_of(values: DataFrame, keys: Keys = K, value: str = "value") -> DataFr
     return ranges.select(*keys, (F.row_number().over(along(keys, "start")) - 1).alias("range_no"), "start", "end")
 
 
-def ranges_with_insertions(labels: DataFrame, keys: Keys = K, label: str = "res_label", order: str = "pos") -> DataFrame:
+def ranges_with_insertions(labels: DataFrame, keys: Keys = K, label: str = "res_label", order: str = "pos", places: int | None = None) -> DataFrame:
     """Runs of residue labels in the given order: the number stays or grows by one. range_no, start, end (labels)."""
     rows = labels.withColumn("_n", base_number(F.col(label)))
-    step = F.col("_n") - F.lag("_n").over(along(keys, order))
-    rows = _runs(rows, keys, ~step.isin(0, 1), order)
+    rows = scanned(rows, keys, order, places, lag={"_before": F.col("_n")})
+    rows = _runs(rows, keys, ~(F.col("_n") - F.col("_before")).isin(0, 1), order, places)
     first, last = (F.min(F.struct(order, label)), F.max(F.struct(order, label)))
     return rows.groupBy(*keys, F.col("run").alias("range_no")).agg(first[label].alias("start"), last[label].alias("end"))
 
 
-def label_runs(labels: DataFrame, keys: Keys = K, label: str = "label") -> DataFrame:
+def label_runs(labels: DataFrame, keys: Keys = K, label: str = "label", places: int | None = None) -> DataFrame:
     """Maximal runs of equal labels: run (from 0), label, start, end, length. A null label is a run of its own; rows
     without a place are in no run."""
-    rows = _runs(labels.select(*keys, "pos", label).where("pos is not null"), keys, F.col(label) != F.lag(label).over(along(keys)))
+    rows = scanned(labels.select(*keys, "pos", label).where("pos is not null"), keys, "pos", places, lag={"_before": F.col(label)})
+    rows = _runs(rows, keys, F.col(label) != F.col("_before"), "pos", places)
     grouped = rows.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").cast("int").alias("length"))
     return grouped
 
 
-def labelled_ranges(labels: DataFrame, keys: Keys = K) -> DataFrame:
+def labelled_ranges(labels: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Members of the runs of equal labels: run, label, pos. A domain residue that does not follow its predecessor by
     one is left out (its run goes on); a chain of one residue has no run. A null label is a run of its own; rows without
     a place are in no run."""
-    labels = labels.where("pos is not null")
-    w = along(keys)
-    rows = labels.withColumn("_gap", F.col("pos") - F.lag("pos").over(w)).withColumn("_same", F.col("label") == F.lag("label").over(w))
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    rows = _runs(rows, keys, ~F.col("_same"))
+    rows = labels.select(*keys, "pos", "label").where("pos is not null")
+    rows = scanned(rows, keys, "pos", places, lag={"_at": F.col("pos"), "_was": F.col("label")})
+    rows = rows.withColumn("_gap", F.col("pos") - F.col("_at")).withColumn("_same", F.col("label") == F.col("_was")).drop("_at", "_was")
+    if places is None:
+        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    else:
+        counts = rows.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.count("*").alias("_n"))
+        rows = rows.join(counts, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*(f"_k_{k}" for k in keys))
+    rows = _runs(rows, keys, ~F.col("_same"), "pos", places)
     kept = ~F.coalesce(F.col("_same"), F.lit(False)) | (F.col("label") == -1) | (F.col("_gap") == 1)
     return rows.where((F.col("_n") > 1) & kept).select(*keys, "run", "label", "pos")
 
 
-def domain_points(labels: DataFrame, keys: Keys = K) -> DataFrame:
+def domain_points(labels: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Places where one domain follows another directly: the first residue of the right one. Beside a null label there is
     no such place."""
-    labels = labels.where("pos is not null")
-    left = F.lag("label").over(along(keys))
-    return labels.withColumn("_left", left).where("_left <> label and _left <> -1 and label <> -1").select(*keys, F.col("pos").alias("start"), F.col("pos").alias("end"))
+    labels = scanned(labels.where("pos is not null"), keys, "pos", places, lag={"_left": F.col("label")})
+    return labels.where("_left <> label and _left <> -1 and label <> -1").select(*keys, F.col("pos").alias("start"), F.col("pos").alias("end"))
 
 
-def internal_linkers(labels: DataFrame, keys: Keys = K) -> DataFrame:
+def internal_linkers(labels: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Runs of label -1 that touch neither end of the chain."""
-    runs = label_runs(labels, keys)
+    runs = label_runs(labels, keys, places=places)
     ends = Window.partitionBy(*keys)
     runs = runs.withColumn("_last", F.max("run").over(ends))
     return runs.where("label = -1 and run > 0 and run < _last").select(*keys, "start", "end")
@@ -85,10 +91,10 @@ def format_ranges(ranges: DataFrame, by: Keys, order: str = "range_no") -> DataF
     return ranges.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["t"]), ", ").alias("ranges"))
 
 
-def forward_fill_labels(labels: DataFrame, keys: Keys = K) -> DataFrame:
+def forward_fill_labels(labels: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Every number from the first to the last res_num of a chain, with label and res_label of the last one seen."""
     one = labels.groupBy(*keys, "res_num").agg(F.max(F.struct("pos", "label", "res_label")).alias("_s"))
     bounds = labels.groupBy(*keys).agg(F.min("res_num").alias("_lo"), F.max("res_num").alias("_hi"))
     every = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("res_num"))
-    filled = every.join(one, [*keys, "res_num"], "left").withColumn("_s", F.last("_s", ignorenulls=True).over(before(keys, "res_num")))
+    filled = scanned(every.join(one, [*keys, "res_num"], "left"), keys, "res_num", places, last={"_s": F.col("_s")})
     return filled.select(*keys, "res_num", F.col("_s.label").alias("label"), F.col("_s.res_label").alias("res_label"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_amino_acid, is_nucleotide
 from ..schemas import K, Keys
 from ..session import checkpoint_dir
+from .scans import scanned
 
 
 def parse_partition(partitions: DataFrame, keys: Keys = K, partition: str = "partition") -> DataFrame:
@@ -31,36 +32,34 @@ def labels_from_partition(residues: DataFrame, ranges: DataFrame, keys: Keys = K
     return found.select(*keys, "pos", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def _asof(values: DataFrame, marks: DataFrame, keys: Keys, mark: str, forward: bool) -> DataFrame:
+def _asof(values: DataFrame, marks: DataFrame, keys: Keys, mark: str, forward: bool, places: int | None = None) -> DataFrame:
     """Nearest mark at or below (at or above) every value, by one sort of both tables together."""
     both = values.select(*keys, F.col("value").alias("at"), F.lit(None).cast("int").alias("mark"), F.lit(1).alias("kind"))
     both = both.unionByName(marks.select(*keys, F.col(mark).alias("at"), F.col(mark).alias("mark"), F.lit(0).alias("kind")))
-    order = F.desc("at") if forward else F.asc("at")
-    w = Window.partitionBy(*keys).orderBy(order, "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("found", F.last("mark", ignorenulls=True).over(w)).where("kind = 1").select(*keys, F.col("at").alias("value"), "found")
+    found = scanned(both, keys, "at", places, then=["kind"], backward=forward, last={"found": F.col("mark")})
+    return found.where("kind = 1").select(*keys, F.col("at").alias("value"), "found")
 
 
-def asof_bounds_below(values: DataFrame, ranges: DataFrame, keys: Keys = K) -> DataFrame:
+def asof_bounds_below(values: DataFrame, ranges: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Largest start and, apart from it, largest end at or below each value; -1 if none. Values are distinct."""
-    start = _asof(values, ranges, keys, "start", False).withColumnRenamed("found", "start")
-    end = _asof(values, ranges, keys, "end", False).withColumnRenamed("found", "end")
+    start = _asof(values, ranges, keys, "start", False, places).withColumnRenamed("found", "start")
+    end = _asof(values, ranges, keys, "end", False, places).withColumnRenamed("found", "end")
     return start.join(end, [*keys, "value"]).select(*keys, "value", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("end", F.lit(-1)).alias("end"))
 
 
-def asof_bounds_above(values: DataFrame, ranges: DataFrame, keys: Keys = K) -> DataFrame:
+def asof_bounds_above(values: DataFrame, ranges: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Smallest start and smallest end at or above each value; the value itself if none. Values are distinct."""
-    start = _asof(values, ranges, keys, "start", True).withColumnRenamed("found", "start")
-    end = _asof(values, ranges, keys, "end", True).withColumnRenamed("found", "end")
+    start = _asof(values, ranges, keys, "start", True, places).withColumnRenamed("found", "start")
+    end = _asof(values, ranges, keys, "end", True, places).withColumnRenamed("found", "end")
     return start.join(end, [*keys, "value"]).select(*keys, "value", F.coalesce("start", "value").alias("start"), F.coalesce("end", "value").alias("end"))
 
 
-def asof_floor(values: DataFrame, elements: DataFrame, keys: Keys = K) -> DataFrame:
+def asof_floor(values: DataFrame, elements: DataFrame, keys: Keys = K, places: int | None = None) -> DataFrame:
     """Largest element at or below each value, with the place (idx) where it occurs first; (null, -1) if none."""
     first = elements.groupBy(*keys, "element").agg(F.min("idx").alias("idx"))
     both = values.select(*keys, F.col("value").alias("at"), F.lit(None).cast("struct<element:int,idx:int>").alias("s"), F.lit(1).alias("kind"))
     both = both.unionByName(first.select(*keys, F.col("element").alias("at"), F.struct("element", "idx").alias("s"), F.lit(0).alias("kind")))
-    w = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("s", F.last("s", ignorenulls=True).over(w)).where("kind = 1")
+    found = scanned(both, keys, "at", places, then=["kind"], last={"_s": F.col("s")}).withColumn("s", F.col("_s")).where("kind = 1")
     return found.select(*keys, F.col("at").alias("value"), F.col("s.element").alias("element"), F.coalesce("s.idx", F.lit(-1)).alias("idx"))
 
 
