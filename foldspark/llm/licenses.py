@@ -12,7 +12,8 @@ Every retrieved place is verified exactly: the share of the template's distinct
 the window must reach ``containment``. Texts are scanned whole in one pass without a shuffle.
 
 Edge cases: null and empty texts match nothing; a template of fewer than ``k`` words is refused. The best place of a
-template in a text is reported, the earliest on ties. Repeated rows give repeated rows; null ids are carried.
+template in a text is reported, the earliest on ties. Repeated rows give repeated rows; null ids are carried. An empty
+table gives an empty result; other columns are ignored, whatever their names. Very long texts are scanned whole.
 """
 
 from __future__ import annotations

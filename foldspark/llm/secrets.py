@@ -9,7 +9,8 @@ characters instead of 20 clean texts have false spans.) Known digests (hex of a
 spans break a run.
 
 Spans are half-open ranges of code points. Edge cases: null and empty texts have no spans; equal rows give equal rows;
-texts are scanned whole, one at a time; other columns are ignored.
+texts are scanned whole, one at a time; other columns are ignored, whatever their names. An empty table gives an empty
+result. Spans that start together are listed in the order of their kinds.
 """
 
 from __future__ import annotations

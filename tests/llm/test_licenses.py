@@ -75,3 +75,23 @@ def test_recall_of_edited_copies_in_long_texts(spark):
                 want.add((i, name))
     got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert want <= got and len(want) >= len(licenses.TEMPLATES)
+
+
+def test_ties_between_places_go_to_the_earliest(spark):
+    text = licenses.TEMPLATES["bsd"]
+    n = len(text.split())
+    between = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, f"a b {text} {between} {text}", "x")], "doc_id bigint, text string, containment string")
+    (row,) = licenses.scan_licenses(docs).collect()
+    assert (row.license_id, row.containment, row.start_word, row.end_word) == ("bsd", 1.0, 2, 2 + n)
+
+
+def test_texts_beyond_one_slice(spark):
+    rng = random.Random(6)
+    filler = [f"v{rng.randrange(10**6)}" for _ in range(90_000)]
+    text = licenses.TEMPLATES["apache-2.0"]
+    whole = " ".join(filler[:80_000] + text.split() + filler[80_000:])
+    assert len(whole) > 2 * (1 << 18)
+    docs = spark.createDataFrame([(1, "short " + text), (2, whole), (3, "after " + text)], "doc_id bigint, text string").coalesce(1)
+    got = {(r.doc_id, r.license_id): r.start_word for r in licenses.scan_licenses(docs).collect()}
+    assert got == {(1, "apache-2.0"): 1, (2, "apache-2.0"): 80_000, (3, "apache-2.0"): 1}
