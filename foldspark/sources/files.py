@@ -1,6 +1,6 @@
 """The data source ``structures``: atoms of many structure files.
 
-    spark.dataSource.register(StructureFiles)
+    files.register(spark)
     spark.read.format("structures").load(folder)
 
 Files are packed into partitions of about ``bytes`` bytes, however small each is, and read line by line; the model's
@@ -18,7 +18,9 @@ import io
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from threading import Lock
 from urllib.parse import unquote
+from weakref import WeakSet
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -130,8 +132,20 @@ class StructureFiles(DataSource):
         return StructureReader(dict(self.options))
 
 
+_known: WeakSet[SparkSession] = WeakSet()
+_register = Lock()
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, once, whichever threads ask."""
+    with _register:
+        if spark not in _known:
+            spark.dataSource.register(StructureFiles)
+            _known.add(spark)
+
+
 def read_structures(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Atoms of all structure files under ``path``."""
-    spark.dataSource.register(StructureFiles)
+    register(spark)
     reader = spark.read.format("structures")
     return (reader.option("kind", kind) if kind else reader).load(path)

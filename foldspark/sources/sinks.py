@@ -90,7 +90,10 @@ def write_split_structures(atoms: DataFrame, path: str, keys: Keys = K) -> None:
 
 def read_split_structures(spark: SparkSession, path: str, keys: Keys = K, types: str = "structure_id string, model_id int, chain_id string") -> DataFrame:
     """The atoms of files that ``write_split_structures`` wrote: keys and label come from the folders."""
-    lines = spark.read.schema(f"value string, {types}, label int").text(path)
+    schema = f"value string, {types}, label int"
+    # Without a file there are no folders to read the keys from.
+    found = set(keys) <= set(spark.read.text(path).columns)
+    lines = spark.read.schema(schema).text(path) if found else spark.createDataFrame([], schema)
     folders = {k: f"_{k}" for k in keys}
     lines = lines.withColumnsRenamed(folders).withColumns({"structure_id": F.lit(""), "line_no": F.lit(0)})
     atoms = atom_columns(lines.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM")), *folders.values(), "label")

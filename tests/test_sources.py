@@ -113,7 +113,7 @@ def write_files(folder):
 
 def test_structure_files_as_a_data_source(spark, tmp_path):
     write_files(tmp_path / "in")
-    spark.dataSource.register(files.StructureFiles)
+    files.register(spark)
     found = spark.read.format("structures").load(str(tmp_path / "in"))
     rows = {(r.structure_id, r.model_id, r.serial, r.altloc): r for r in found.collect()}
     assert sorted(rows, key=str) == sorted([
@@ -137,6 +137,7 @@ def test_many_small_files_share_partitions(spark, tmp_path):
     for k in range(40):
         (tmp_path / f"s{k:02}.pdb").write_text(PDB)
     size = len(PDB)
+    files.register(spark)
     found = spark.read.format("structures").option("bytes", 10 * size).load(str(tmp_path))
     assert found.rdd.getNumPartitions() == 4 and found.count() == 120
     assert files.packed([("a", 5), ("b", 50), ("c", 5), ("d", 5)], 10) == [["a"], ["b"], ["c", "d"]]
