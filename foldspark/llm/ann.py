@@ -159,10 +159,10 @@ def search(vectors: np.ndarray, members: list[np.ndarray], tables: list[np.ndarr
     return held, scores
 
 
-def _beam(base: np.ndarray, place: np.ndarray, table: np.ndarray, asked: np.ndarray, start: np.ndarray, breadth: int, step: int = 4) -> np.ndarray:
+def _beam(base: np.ndarray, place: np.ndarray, table: np.ndarray, asked: np.ndarray, start: np.ndarray, breadth: int, step: int = 8) -> np.ndarray:
     """Best-first search of all queries together: each round opens the ``step`` best unopened vectors of every query."""
     q = len(asked)
-    seen = np.zeros((q, len(base)), bool)
+    seen, mark = np.zeros((q, len(base)), bool), np.zeros((q, len(base)), np.int16)
     held = np.full((q, breadth), -1, np.int32)
     score = np.full((q, breadth), -np.inf, np.float32)
     opened = np.zeros((q, breadth), bool)
@@ -170,22 +170,30 @@ def _beam(base: np.ndarray, place: np.ndarray, table: np.ndarray, asked: np.ndar
 
     def add(who: np.ndarray, new: np.ndarray) -> None:
         """Merge candidate numbers (-1: none) into the beams of ``who``."""
-        valid = new >= 0
-        valid &= ~seen[who[:, None], np.maximum(new, 0)]
-        order = np.argsort(new, axis=1, kind="stable")
-        ranked = np.take_along_axis(new, order, 1)
-        repeat = np.zeros_like(valid)
-        repeat[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
-        new, valid = ranked, np.take_along_axis(valid, order, 1) & ~repeat
-        r, c = np.nonzero(valid)
-        seen[who[r], new[r, c]] = True
-        sims = np.full(new.shape, -np.inf, np.float32)
-        sims[r, c] = np.einsum("ij,ij->i", base[new[r, c]], asked[who[r]])
-        every = np.concatenate([score[who], sims], axis=1)
+        r, c = np.nonzero((new >= 0) & ~seen[who[:, None], np.maximum(new, 0)])
+        nodes = new[r, c]
+        # Of a number that comes several times, the place that was written last stays.
+        mark[who[r], nodes] = c
+        once = mark[who[r], nodes] == c
+        r, nodes = r[once], nodes[once]
+        seen[who[r], nodes] = True
+        sims = np.einsum("ij,ij->i", base[nodes], asked[who[r]])
+        # Only beams that get something new are sorted again, and no wider than they must be.
+        counts = np.bincount(r, minlength=len(who))
+        some = np.flatnonzero(counts)
+        if not len(some):
+            return
+        rank = np.arange(len(r)) - (counts.cumsum() - counts)[r]
+        row = np.cumsum(counts > 0)[r] - 1
+        fresh = np.full((len(some), int(counts.max())), -1, np.int32)
+        value = np.full(fresh.shape, -np.inf, np.float32)
+        fresh[row, rank], value[row, rank] = nodes, sims
+        who = who[some]
+        every = np.concatenate([score[who], value], axis=1)
         top = np.argsort(-every, axis=1, kind="stable")[:, :breadth]
         score[who] = np.take_along_axis(every, top, 1)
-        held[who] = np.take_along_axis(np.concatenate([held[who], np.where(valid, new, -1)], axis=1), top, 1)
-        opened[who] = np.take_along_axis(np.concatenate([opened[who], np.zeros(new.shape, bool)], axis=1), top, 1)
+        held[who] = np.take_along_axis(np.concatenate([held[who], fresh], axis=1), top, 1)
+        opened[who] = np.take_along_axis(np.concatenate([opened[who], np.zeros(fresh.shape, bool)], axis=1), top, 1)
 
     add(live, start)
     while len(live):
@@ -284,11 +292,14 @@ def nearest(
                 part = block.iloc[lo : lo + TOGETHER]
                 asked_now = np.stack(part["query"].to_numpy()).astype(np.float64)
                 held, scores = search(data, members, tables, asked_now, beam)
-                for query, nodes, values in zip(part["query_id"], held, scores, strict=True):
+                # k ids lie on the k + 1 best nodes (one may hold the query's own id alone), or on nodes that tie with them.
+                last = min(k, scores.shape[1] - 1)
+                few = (held >= 0) & (scores >= -np.partition(-scores, last, axis=1)[:, last, None])
+                picked = ((nodes[own], values[own]) for nodes, values, own in zip(held, scores, few, strict=True))
+                for query, (nodes, values) in zip(part["query_id"], picked, strict=True):
                     found = [
                         (-value, vec_id)
                         for node, value in zip(nodes, values, strict=True)
-                        if node >= 0
                         for vec_id in g["ids"][node]
                         if vec_id != query
                     ]
