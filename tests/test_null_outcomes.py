@@ -53,3 +53,22 @@ def test_scores_of_unlabelled_residues(spark):
     assert rows(scores.iou(both, K), "chain_id", "iou") == [(1, 0.5), (2, 0.0)]
     assert rows(scores.sdc(both, K), "chain_id", "sdc") == [(1, 1.0), (2, None)]
     assert rows(scores.csd(both, K), "chain_id", "csd")[1] == (2, None)
+
+
+def test_scores_of_residues_without_a_place(spark):
+    """They count as residues, and are in no segment; a chain without a key has no score that needs a join."""
+    given = [(1, k, k // 30, k // 33) for k in range(60)] + [(1, None, 0, 0), (2, None, 1, 1), (3, 0, -1, -1)] + [(None, k, k // 30, k // 33) for k in range(60)]
+    both = spark.createDataFrame(given, "chain_id int, pos int, true int, pred int")
+    assert rows(scores.csd(both, K), "chain_id", "csd") == [(1, 18.5 / 20), (2, None), (3, None), (None, None)]
+    assert rows(scores.dbd(both, K), "chain_id", "dbd") == [(1, 17 / 20), (2, 1.0), (3, None), (None, None)]
+    report = scores.score_report(both, K)
+    assert rows(report, "chain_id", "csd", "dbd") == [(1, 0.925, 0.85), (2, None, 1.0), (3, None, None)]
+
+
+def test_score_report_equals_the_single_scores(spark):
+    both = spark.createDataFrame([(1, k, k // 30, k // 33) for k in range(60)], "chain_id int, pos int, true int, pred int")
+    alone = {f: rows(getattr(scores, f)(both, K), f)[0][0] for f in ("csd", "iou", "ndo", "dbd")}
+    report = scores.score_report(both, K)
+    assert {f: rows(report, f)[0][0] for f in alone} == {f: round(v, 3) for f, v in alone.items()}
+    joint = scores.joint_runs(both, K)
+    assert rows(joint, "run", "true", "pred", "start", "end", "n") == [(0, 0, 0, 0, 29, 30), (1, 1, 0, 30, 32, 3), (2, 1, 1, 33, 59, 27)]
