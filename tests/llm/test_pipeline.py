@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from foldspark.llm import queries, secrets
 
+from .test_decontam import brute_score
 from .test_neardup import brute
+from .test_secrets import brute as brute_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +86,37 @@ def test_run_equals_the_stages(spark, stages):
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.ids_sha256) for r in stages[5].collect())
 
 
+def test_run_equals_brute_force(spark, stages):
+    """All rows of run(), from those that the classifier keeps: all pairs of shingle sets, every item with every text cell
+    by cell, base secrets character by character, and the library's ids."""
+    from foldspark.llm.pieces import Encoder
+
+    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
+    firsts = {i for i, (_, c) in brute(rows, 5, 80, 100).items() if i == c}
+    split = lambda t: [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    items = [split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def leaked(words):
+        held = set(words)
+        for item in filter(None, items):
+            asked = max(0.4, min(8, len(item)) / len(item))
+            if sum(w in held for w in item) >= asked * len(item) and brute_score(item, words) >= asked:
+                return True
+        return False
+
+    encode = secrets.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    lib = Encoder(public_tokenizers.path("piece_bpe_32k.model")).library
+    want = {}
+    for i, text in rows:
+        if i in firsts and not leaked(split(text)):
+            base = secrets.patterned(text or "")
+            assert [(s.start, s.kind, s.end) for s in sorted(base, key=lambda s: (s.start, s.kind))] == brute_spans(text or "")
+            spans = base + secrets.inefficient(text or "", base, encode, 2.0)
+            out = secrets.replaced(text, sorted(spans, key=lambda s: (s.start, s.kind))) if spans else text or ""
+            want[i] = lib.encode(out)
+    assert len(want) > 50 and {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_over_whole_tables(spark, name):
     table = {"op1_hnsw_neighbours": None, "op3_warc_revisits": "pages", "op7_url_rules": "pages", "op6_benchmark_decontamination": None, "op9_license_windows": None}.get(name, "documents")
