@@ -37,10 +37,12 @@ from .wordhash import mix
 
 LINKS = 16
 #: Beam of a search in 64 dimensions or fewer, what it grows by when dimensions double, and vectors of a shard. On Gaussian
-#: vectors without clusters, the hard case, recall at 20 in one full shard is then 0.96 or more from 64 to 768 dimensions
-#: (``breadth_for``); with 384 throughout it falls to 0.92 in 128, 0.88 in 256 and 0.82 in 768.
+#: vectors without clusters recall at 20 in one full shard is then 0.96 or more from 64 to 768 dimensions (``breadth_for``).
 BREADTH, MORE_BREADTH = 384, 256
 SHARD_ROWS = 8192
+#: Where no beam is given, each block of queries measures the one it needs in each shard: with so many of its queries,
+#: from the least beam up by halves, until this share of their nearest is found, to so many times ``breadth_for`` at most.
+PROBES, LEAST_BREADTH, RECALL, MOST_BREADTH = 64, 96, 0.99, 4
 #: Ratio of lengths in a band, and the entries below which a band is joined with the next.
 BAND, BAND_ROWS = 1.25, 512
 #: Queries that are searched together, and bytes of a block of queries that a task holds.
@@ -160,56 +162,89 @@ def search(vectors: np.ndarray, members: list[np.ndarray], tables: list[np.ndarr
 
 
 def _beam(base: np.ndarray, place: np.ndarray, table: np.ndarray, asked: np.ndarray, start: np.ndarray, breadth: int, step: int = 8) -> np.ndarray:
-    """Best-first search of all queries together: each round opens the ``step`` best unopened vectors of every query."""
-    q = len(asked)
-    seen, mark = np.zeros((q, len(base)), bool), np.zeros((q, len(base)), np.int16)
-    held = np.full((q, breadth), -1, np.int32)
-    score = np.full((q, breadth), -np.inf, np.float32)
-    opened = np.zeros((q, breadth), bool)
-    live = np.arange(q)
-
-    def add(who: np.ndarray, new: np.ndarray) -> None:
-        """Merge candidate numbers (-1: none) into the beams of ``who``."""
-        r, c = np.nonzero((new >= 0) & ~seen[who[:, None], np.maximum(new, 0)])
-        nodes = new[r, c]
-        # Of a number that comes several times, the place that was written last stays.
-        mark[who[r], nodes] = c
-        once = mark[who[r], nodes] == c
-        r, nodes = r[once], nodes[once]
-        seen[who[r], nodes] = True
-        sims = np.einsum("ij,ij->i", base[nodes], asked[who[r]])
-        # Only beams that get something new are sorted again, and no wider than they must be.
-        counts = np.bincount(r, minlength=len(who))
-        some = np.flatnonzero(counts)
-        if not len(some):
+    """Best-first search of all queries together: each round opens up to ``step`` of the best unopened vectors of every query.
+
+    A place of a beam is one integer: the score's bits, turned so that the best comes first, the vector's number, and
+    whether it was opened. Beams are then sorted as plain numbers, and only where something better came in.
+    """
+    q, n = len(asked), len(base)
+    none = np.iinfo(np.int64).max
+    beam = np.full((q, breadth), none)
+    # One more column, seen from the start, stands for no vector (-1).
+    seen = np.zeros((q, n + 1), bool)
+    seen[:, n] = True
+    flat = seen.reshape(-1)
+    near = np.where(table < 0, n, table).astype(np.int64)
+    pairs = np.empty((2, 4096, base.shape[1]), base.dtype)
+
+    def add(cells: np.ndarray) -> None:
+        """Merge candidates, as places in ``flat``, into the beams."""
+        cells = cells[~flat[cells]]
+        cells.sort()
+        cells = cells[np.diff(cells, prepend=-1) != 0]
+        flat[cells] = True
+        row, node = np.divmod(cells, n + 1)
+        sims = np.empty(len(cells), base.dtype)
+        for lo in range(0, len(cells), 4096):
+            hi = min(lo + 4096, len(cells))
+            a, b = pairs[:, : hi - lo]
+            np.take(base, node[lo:hi], axis=0, out=a, mode="clip")
+            np.take(asked, row[lo:hi], axis=0, out=b, mode="clip")
+            np.einsum("ij,ij->i", a, b, out=sims[lo:hi])
+        bits = sims.view(np.int32)
+        bits = ~(bits ^ (bits >> 31 & 0x7FFFFFFF))
+        keys = (bits.astype(np.int64) << 32) | (node << 1)
+        better = keys < beam[row, -1]
+        row, keys = row[better], keys[better]
+        counts = np.bincount(row, minlength=q)
+        who = np.flatnonzero(counts)
+        if not len(who):
             return
-        rank = np.arange(len(r)) - (counts.cumsum() - counts)[r]
-        row = np.cumsum(counts > 0)[r] - 1
-        fresh = np.full((len(some), int(counts.max())), -1, np.int32)
-        value = np.full(fresh.shape, -np.inf, np.float32)
-        fresh[row, rank], value[row, rank] = nodes, sims
-        who = who[some]
-        every = np.concatenate([score[who], value], axis=1)
-        top = np.argsort(-every, axis=1, kind="stable")[:, :breadth]
-        score[who] = np.take_along_axis(every, top, 1)
-        held[who] = np.take_along_axis(np.concatenate([held[who], fresh], axis=1), top, 1)
-        opened[who] = np.take_along_axis(np.concatenate([opened[who], np.zeros(fresh.shape, bool)], axis=1), top, 1)
-
-    add(live, start)
+        every = np.full((len(who), breadth + int(counts.max())), none)
+        every[:, :breadth] = beam[who]
+        every[np.cumsum(counts > 0)[row] - 1, breadth + np.arange(len(row)) - (counts.cumsum() - counts)[row]] = keys
+        every.sort(axis=1)
+        beam[who] = every[:, :breadth]
+
+    r, c = np.nonzero(start >= 0)
+    add(r * (n + 1) + start[r, c])
+    live, window = np.arange(q), np.arange(3 * step)
     while len(live):
-        waiting = (held[live] >= 0) & ~opened[live]
-        rank = np.cumsum(waiting, axis=1)
-        live, waiting, rank = (x[rank[:, -1] > 0] for x in (live, waiting, rank))
-        if not len(live):
+        waiting = (beam[live] & 1) == 0
+        first = waiting.argmax(axis=1)
+        left = waiting[np.arange(len(live)), first]
+        live, first, waiting = live[left], first[left], waiting[left]
+        at = first[:, None] + window
+        chosen = np.take_along_axis(waiting, np.minimum(at, breadth - 1), 1) & (at < breadth)
+        chosen &= np.cumsum(chosen, axis=1) <= step
+        row, column = np.nonzero(chosen)
+        row, column = live[row], at[row, column]
+        nodes = (beam[row, column] & 0xFFFFFFFF) >> 1
+        beam[row, column] |= 1
+        add(((row * (n + 1))[:, None] + near[place[nodes]]).reshape(-1))
+    return np.where(beam == none, -1, (beam & 0xFFFFFFFF) >> 1).astype(np.int32)
+
+
+def measured_breadth(vectors: np.ndarray, members: list[np.ndarray], tables: list[np.ndarray], queries: np.ndarray, first_ids: np.ndarray, k: int) -> int:
+    """The least beam of the ladder with which ``queries`` find ``RECALL`` of their ``k`` nearest in this graph.
+
+    The nearest come from a matrix product; of equal scores those of smaller first id count, as in the result.
+    """
+    k, most = min(k, len(vectors)), min(len(vectors), MOST_BREADTH * breadth_for(vectors.shape[1]))
+
+    def best(nodes: np.ndarray, scores: np.ndarray) -> set[int]:
+        return set(nodes[np.lexsort((first_ids[nodes], -scores.astype(np.float32)))[:k]].tolist())
+
+    exact = queries @ vectors.T
+    want = [best(np.arange(len(vectors)), row) for row in exact]
+    beam = max(LEAST_BREADTH, k)
+    while beam < most:
+        held, _ = search(vectors, members, tables, queries, beam)
+        found = [len(want[i] & best(nodes[nodes >= 0], exact[i, nodes[nodes >= 0]])) for i, nodes in enumerate(held)]
+        if sum(found) >= RECALL * k * len(queries):
             break
-        chosen = waiting & (rank <= step)
-        r, c = np.nonzero(chosen)
-        opened[live[r], c] = True
-        nodes = held[live[r], c]
-        new = np.full((len(live), step, table.shape[1]), -1, np.int32)
-        new[r, rank[r, c] - 1] = table[place[nodes]]
-        add(live, new.reshape(len(live), -1))
-    return held
+        beam = beam * 3 // 2
+    return min(beam, max(most, k))
 
 
 def _entries(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
@@ -251,10 +286,9 @@ def nearest(
     vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` vectors of largest inner product found for each query.
-    ``breadth`` is the beam of a search, by the vectors' dimensions where it is not given."""
+    ``breadth`` is the beam of a search; where it is not given each shard's is measured (``measured_breadth``)."""
     lengths = usable_vectors(vectors, id_col, vector_col).groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     dims = lengths[0].dims if lengths else 0
-    beam = max(breadth or breadth_for(dims), k + 1)
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     band = F.floor(F.log(F.greatest(length, F.lit(1e-300))) / float(np.log(BAND)) + 0.5).cast("int")
     entries = cut(_entries(vectors, k, id_col, vector_col).where(F.size("vector") == dims).withColumn("band", band), "entries")
@@ -288,6 +322,13 @@ def nearest(
                 members.append(g["members"][at : at + size])
                 tables.append(g["neighbours"][cell : cell + size * width].reshape(size, width))
                 at, cell = at + size, cell + size * width
+            beam = breadth
+            if beam is None:
+                # Probes are picked by a hash, so the order in which rows arrive changes nothing.
+                some = np.argsort(mix(block["query_id"].to_numpy(np.int64).view(np.uint64)), kind="stable")[:PROBES]
+                probes = np.stack(block["query"].iloc[some].to_numpy()).astype(np.float64)
+                beam = measured_breadth(data, members, tables, probes, np.array([ids[0] for ids in g["ids"]]), k + 1)
+            beam = max(beam, k + 1)
             for lo in range(0, len(block), TOGETHER):
                 part = block.iloc[lo : lo + TOGETHER]
                 asked_now = np.stack(part["query"].to_numpy()).astype(np.float64)

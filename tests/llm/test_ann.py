@@ -92,3 +92,20 @@ def test_queries_in_several_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
     got = found(ann.nearest(df, df.where("vec_id % 5 = 0"), k=4, shard_rows=100))
     assert recall(got, exact(vectors, range(0, 300, 5), 4)) >= 0.98
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_beams_follow_the_data(even):
+    """Vectors of one length need less than the beam for their dimensions, those of several lengths need more."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8192 + 320, 64))
+    if even:
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x, asked = x[:8192], x[8192:]
+    members, tables = ann.build(x, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
+    beam = ann.measured_breadth(x, members, tables, asked[:64], np.arange(len(x)), 21)
+    assert (beam < ann.breadth_for(64)) == even
+    held, scores = ann.search(x, members, tables, asked[64:], beam)
+    order = np.argsort(-scores, axis=1)[:, :20]
+    best = np.argsort(-(asked[64:] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(np.take_along_axis(held, order, 1).tolist(), best.tolist(), strict=True)]) >= 0.98
