@@ -4,7 +4,8 @@ Equal vectors are one entry, held with as many of their smallest ids as a result
 a vector that fills a third of the table costs one graph node). Entries are hashed to shards of a bounded number of
 vectors; each shard is built in one task into flat arrays: vectors, and for every level the members and a fixed-width
 table of neighbours. Queries go, in blocks of bounded bytes, to every shard; a task searches one block in one shard, and
-the best ``k`` per query are merged by a window over (query, score). A graph is copied once for each block, a query once
+the best ``k`` per query are merged by a window over (query, score). How wide a beam the graph needs is measured on a few
+of the block's own queries. A graph is copied once for each block, a query once
 for each shard: the second is the larger part and grows with queries times vectors / ``SHARD_ROWS``.
 
 Building draws levels from a hash, and links every vector to the nearest vectors inserted before it on each of its
@@ -41,17 +42,18 @@ LINKS = 16
 BREADTH, MORE_BREADTH = 384, 256
 SHARD_ROWS = 8192
 #: Where no beam is given, each block of queries measures the one it needs in each shard: with so many of its queries,
-#: from the least beam up by halves, until this share of their nearest is found, to so many times ``breadth_for`` at most.
-PROBES, LEAST_BREADTH, RECALL, MOST_BREADTH = 64, 96, 0.99, 4
+#: from the least beam up by thirds, until this share of their nearest is found (of as many as one shard of a band
+#: holds), to so many times ``breadth_for`` at most.
+PROBES, LEAST_BREADTH, RECALL, MOST_BREADTH = 64, 96, 0.995, 4
 #: Ratio of lengths in a band, and the entries below which a band is joined with the next.
 BAND, BAND_ROWS = 1.25, 512
 #: Queries that are searched together, and bytes of a block of queries that a task holds.
 TOGETHER, BLOCK_BYTES = 512, 1 << 25
-_INDEX = "shard int, dims int, vectors binary, levels array<int>, members array<int>, neighbours array<int>, ids array<array<bigint>>"
+_INDEX = "shard int, parts int, dims int, vectors binary, levels array<int>, members array<int>, neighbours array<int>, ids array<array<bigint>>"
 
 
 def breadth_for(dims: int) -> int:
-    """The beam that ``dims`` dimensions need."""
+    """The beam that Gaussian vectors of ``dims`` dimensions need."""
     return BREADTH + int(MORE_BREADTH * np.log2(max(dims, 64) / 64))
 
 
@@ -233,7 +235,9 @@ def measured_breadth(vectors: np.ndarray, members: list[np.ndarray], tables: lis
     k, most = min(k, len(vectors)), min(len(vectors), MOST_BREADTH * breadth_for(vectors.shape[1]))
 
     def best(nodes: np.ndarray, scores: np.ndarray) -> set[int]:
-        return set(nodes[np.lexsort((first_ids[nodes], -scores.astype(np.float32)))[:k]].tolist())
+        worth = -scores.astype(np.float32)
+        near = np.flatnonzero(worth <= np.partition(worth, k - 1)[k - 1]) if len(nodes) > k else np.arange(len(nodes))
+        return set(nodes[near[np.lexsort((first_ids[nodes[near]], worth[near]))[:k]]].tolist())
 
     exact = queries @ vectors.T
     want = [best(np.arange(len(vectors)), row) for row in exact]
@@ -243,10 +247,16 @@ def measured_breadth(vectors: np.ndarray, members: list[np.ndarray], tables: lis
         found = [len(want[i] & best(nodes[nodes >= 0], exact[i, nodes[nodes >= 0]])) for i, nodes in enumerate(held)]
         if sum(found) >= RECALL * k * len(queries):
             break
-        beam = beam * 3 // 2
+        beam = beam * 4 // 3
     return min(beam, max(most, k))
 
 
+def share(k: int, parts: int) -> int:
+    """How many of ``k`` vectors lie in one of ``parts`` shards that they are hashed to: four deviations above the mean."""
+    mean = k / parts
+    return min(k, int(np.ceil(mean + 4 * np.sqrt(mean))) + 1)
+
+
 def _entries(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     """Distinct usable vectors with their smallest ids (k + 1 at most, as a query skips its own)."""
     usable = usable_vectors(vectors, id_col, vector_col).dropDuplicates(["id", "vector"])
@@ -305,7 +315,7 @@ def nearest(
         members, tables = build(data, rows["key"].to_numpy(np.int64))
         levels = [x for own, table in zip(members, tables, strict=True) for x in (len(own), table.shape[1])]
         flat = {"members": [np.concatenate(members)], "neighbours": [np.concatenate([t.ravel() for t in tables])]}
-        held = {"shard": [keys[0]], "dims": [data.shape[1]], "vectors": [data.tobytes()], "levels": [levels]}
+        held = {"shard": [keys[0]], "parts": [rows["parts"].iloc[0]], "dims": [data.shape[1]], "vectors": [data.tobytes()], "levels": [levels]}
         return pd.DataFrame(held | flat | {"ids": [list(rows["ids"])]})
 
     keyed = entries.withColumn("key", F.xxhash64("vector")).join(F.broadcast(placing), "band")
@@ -327,7 +337,7 @@ def nearest(
                 # Probes are picked by a hash, so the order in which rows arrive changes nothing.
                 some = np.argsort(mix(block["query_id"].to_numpy(np.int64).view(np.uint64)), kind="stable")[:PROBES]
                 probes = np.stack(block["query"].iloc[some].to_numpy()).astype(np.float64)
-                beam = measured_breadth(data, members, tables, probes, np.array([ids[0] for ids in g["ids"]]), k + 1)
+                beam = measured_breadth(data, members, tables, probes, np.array([ids[0] for ids in g["ids"]]), share(k + 1, g["parts"]))
             beam = max(beam, k + 1)
             for lo in range(0, len(block), TOGETHER):
                 part = block.iloc[lo : lo + TOGETHER]

@@ -94,18 +94,23 @@ def test_queries_in_several_blocks(spark, monkeypatch):
     assert recall(got, exact(vectors, range(0, 300, 5), 4)) >= 0.98
 
 
-@pytest.mark.parametrize("even", [True, False])
-def test_beams_follow_the_data(even):
-    """Vectors of one length need less than the beam for their dimensions, those of several lengths need more."""
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(8192 + 320, 64))
-    if even:
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    x, asked = x[:8192], x[8192:]
-    members, tables = ann.build(x, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
-    beam = ann.measured_breadth(x, members, tables, asked[:64], np.arange(len(x)), 21)
-    assert (beam < ann.breadth_for(64)) == even
-    held, scores = ann.search(x, members, tables, asked[64:], beam)
-    order = np.argsort(-scores, axis=1)[:, :20]
-    best = np.argsort(-(asked[64:] @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(np.take_along_axis(held, order, 1).tolist(), best.tolist(), strict=True)]) >= 0.98
+def test_beams_follow_the_data():
+    """Vectors of one length need less than those of several, and less where only some of the nearest lie in a shard."""
+    gaussian = np.random.default_rng(6).normal(size=(8192 + 320, 64))
+    beams = []
+    for x in (gaussian / np.sqrt((gaussian * gaussian).sum(axis=1))[:, None], gaussian):
+        x, probes, asked = x[:8192], x[8192:8256], x[8256:]
+        members, tables = ann.build(x, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
+        beams.append([ann.measured_breadth(x, members, tables, probes, np.arange(len(x)), k) for k in (21, ann.share(21, 50))])
+        best = np.argsort(-(asked @ x.T), axis=1)[:, :20]
+        for beam, k in zip(beams[-1], (20, ann.share(20, 50)), strict=True):
+            held, _ = ann.search(x, members, tables, asked, beam)
+            assert np.mean([len(set(a) & set(b)) / k for a, b in zip(held.tolist(), best[:, :k].tolist(), strict=True)]) >= 0.98
+    assert beams[0][1] < beams[0][0] < beams[1][0] and beams[0][1] < ann.breadth_for(64) < beams[1][0]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 50, 1000])
+def test_share_of_a_shard(parts):
+    """More of the nearest than are measured lie in one shard very seldom."""
+    most = np.random.default_rng(8).multinomial(21, [1 / parts] * parts, size=2000)
+    assert (most > ann.share(21, parts)).mean() < 1e-3
