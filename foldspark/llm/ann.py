@@ -4,9 +4,9 @@ Equal vectors are one entry, held with as many of their smallest ids as a result
 a vector that fills a third of the table costs one graph node). Entries are hashed to shards of a bounded number of
 vectors; each shard is built in one task into flat arrays: vectors, and for every level the members and a fixed-width
 table of neighbours. Queries go, in blocks of bounded bytes, to every shard; a task searches one block in one shard, and
-the best ``k`` per query are merged by a window over (query, score). How wide a beam the graph needs is measured on a few
-of the block's own queries. A graph is copied once for each block, a query once
-for each shard: the second is the larger part and grows with queries times vectors / ``SHARD_ROWS``.
+the best ``k`` per query are merged by a window over (query, score). How wide a beam a graph needs is measured on a few
+of the block's own queries. A graph is copied once for each block, a query once for each shard: the second is the larger
+part and grows with queries times vectors / ``SHARD_ROWS``.
 
 Building draws levels from a hash, and links every vector to the nearest vectors inserted before it on each of its
 levels; those are found by blocked matrix products inside the shard instead of a beam search, so the graph does not
@@ -227,19 +227,22 @@ def _beam(base: np.ndarray, place: np.ndarray, table: np.ndarray, asked: np.ndar
     return np.where(beam == none, -1, (beam & 0xFFFFFFFF) >> 1).astype(np.int32)
 
 
-def measured_breadth(vectors: np.ndarray, members: list[np.ndarray], tables: list[np.ndarray], queries: np.ndarray, first_ids: np.ndarray, k: int) -> int:
+def measured_breadth(vectors: np.ndarray, members: list[np.ndarray], tables: list[np.ndarray], queries: np.ndarray, k: int) -> int:
     """The least beam of the ladder with which ``queries`` find ``RECALL`` of their ``k`` nearest in this graph.
 
-    The nearest come from a matrix product; of equal scores those of smaller first id count, as in the result.
+    The nearest come from a matrix product; of equal scores those of smaller number count, as in the result.
     """
     k, most = min(k, len(vectors)), min(len(vectors), MOST_BREADTH * breadth_for(vectors.shape[1]))
 
     def best(nodes: np.ndarray, scores: np.ndarray) -> set[int]:
         worth = -scores.astype(np.float32)
         near = np.flatnonzero(worth <= np.partition(worth, k - 1)[k - 1]) if len(nodes) > k else np.arange(len(nodes))
-        return set(nodes[near[np.lexsort((first_ids[nodes[near]], worth[near]))[:k]]].tolist())
+        return set(nodes[near[np.lexsort((nodes[near], worth[near]))[:k]]].tolist())
 
-    exact = queries @ vectors.T
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x)).max()
+
+    exact = scaled(queries) @ scaled(vectors).T
     want = [best(np.arange(len(vectors)), row) for row in exact]
     beam = max(LEAST_BREADTH, k)
     while beam < most:
@@ -311,6 +314,8 @@ def nearest(
     blocks = max(1, -(-asked.count() * 8 * dims // BLOCK_BYTES))
 
     def index(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # Numbers follow the smallest ids, so a beam keeps the smaller id of equal scores.
+        rows = rows.iloc[np.argsort([ids[0] for ids in rows["ids"]])]
         data = np.stack(rows["vector"].to_numpy()).astype(np.float64)
         members, tables = build(data, rows["key"].to_numpy(np.int64))
         levels = [x for own, table in zip(members, tables, strict=True) for x in (len(own), table.shape[1])]
@@ -337,7 +342,7 @@ def nearest(
                 # Probes are picked by a hash, so the order in which rows arrive changes nothing.
                 some = np.argsort(mix(block["query_id"].to_numpy(np.int64).view(np.uint64)), kind="stable")[:PROBES]
                 probes = np.stack(block["query"].iloc[some].to_numpy()).astype(np.float64)
-                beam = measured_breadth(data, members, tables, probes, np.array([ids[0] for ids in g["ids"]]), share(k + 1, g["parts"]))
+                beam = measured_breadth(data, members, tables, probes, share(k + 1, g["parts"]))
             beam = max(beam, k + 1)
             for lo in range(0, len(block), TOGETHER):
                 part = block.iloc[lo : lo + TOGETHER]

@@ -101,7 +101,7 @@ def test_beams_follow_the_data():
     for x in (gaussian / np.sqrt((gaussian * gaussian).sum(axis=1))[:, None], gaussian):
         x, probes, asked = x[:8192], x[8192:8256], x[8256:]
         members, tables = ann.build(x, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
-        beams.append([ann.measured_breadth(x, members, tables, probes, np.arange(len(x)), k) for k in (21, ann.share(21, 50))])
+        beams.append([ann.measured_breadth(x, members, tables, probes, k) for k in (21, ann.share(21, 50))])
         best = np.argsort(-(asked @ x.T), axis=1)[:, :20]
         for beam, k in zip(beams[-1], (20, ann.share(20, 50)), strict=True):
             held, _ = ann.search(x, members, tables, asked, beam)
@@ -114,3 +114,24 @@ def test_share_of_a_shard(parts):
     """More of the nearest than are measured lie in one shard very seldom."""
     most = np.random.default_rng(8).multinomial(21, [1 / parts] * parts, size=2000)
     assert (most > ann.share(21, parts)).mean() < 1e-3
+
+
+def test_beams_do_not_follow_the_unit():
+    x = np.random.default_rng(9).normal(size=(2000, 16))
+    beams = set()
+    for unit in (1.0, 1e-30, 1e30):
+        members, tables = ann.build(x * unit, ann.mix(np.arange(len(x), dtype=np.uint64)).view(np.int64))
+        beams.add(ann.measured_breadth(x * unit, members, tables, x[::40] * unit, 21))
+    assert len(beams) == 1 and max(beams) < 1000
+
+
+def test_ties_that_fill_more_than_a_beam(spark):
+    """Two thousand equal scores in one shard: the smallest ids of them are found, however the rows arrive."""
+    rng = np.random.default_rng(10)
+    y = rng.normal(size=(2000, 63))
+    y /= np.sqrt((y * y).sum(axis=1))[:, None]
+    rows = [(i, [1.0, *y[i].tolist()]) for i in rng.permutation(2000).tolist()] + [(9000, [1.0, *[0.0] * 63])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = found(ann.nearest(df, df.where("vec_id = 9000"), k=20))[9000]
+    assert [s for _, s in got] == [1.0] * 20 and [i for i, _ in got] == sorted(i for i, _ in got)
+    assert len({i for i, _ in got} & set(range(20))) >= 18
