@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import contact_weight, distance
+from ..functions.nearby import BLOCK, near_pairs
 from ..schemas import K, Keys, along
 
 #: Contact distance of protein chains and of others.
@@ -18,24 +22,41 @@ def cutoff_for(chain_type: Column) -> Column:
     return F.when(chain_type == "protein", PROTEIN_CUTOFF).otherwise(OTHER_CUTOFF)
 
 
+def _near(points: DataFrame, keys: Keys) -> DataFrame:
+    """i, j, d of the residues i + 1 < j of a chain that are nearer than ``_cut``.
+
+    A chain is cut into cubic blocks, eight cutoffs wide. A residue goes to its own block, and as a guest to those of the
+    neighbours on one side (two blocks that touch see each other once) that it is near to. The blocks are sorted, and
+    numpy finds the pairs of many of them together (``functions.nearby``): what is moved and held grows with residues,
+    not with pairs, and nothing is broadcast.
+    """
+    at = {c: F.col(c) / F.col("_cut") for c in "xyz"}
+    given = points.where(reduce(lambda a, b: a & b, [F.col("pos").isNotNull(), F.col("_cut") > 0, *(F.abs(c) < float("inf") for c in at.values())]))
+    given = given.withColumns({f"_b{c}": F.floor(v / BLOCK) for c, v in at.items()}).withColumns({f"_r{c}": v - F.floor(v / BLOCK) * BLOCK for c, v in at.items()})
+    # A little more than a cutoff, for rounding.
+    reach = 1 + 1e-6
+    touches = {-1: lambda c: F.col(f"_r{c}") <= reach, 0: lambda c: F.lit(True), 1: lambda c: F.col(f"_r{c}") >= BLOCK - reach}
+    half = [(x, y, z) for x in (0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    block = lambda step: F.struct(*((F.col(f"_b{c}") + d).alias(f"_c{c}") for c, d in zip("xyz", step, strict=True)), F.lit(step == (0, 0, 0)).alias("_own"))
+    seen = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a & b, [touches[d](c) for c, d in zip("xyz", step, strict=True)]), block(step)) for step in half)))
+    rows = given.select(*keys, "pos", *"xyz", "_cut", F.inline(seen))
+    # The window sorts the blocks and marks where they begin; a chain that lies in one task already stays there.
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_cut", "_cx", "_cy", "_cz").orderBy("pos")))
+    rows = rows.select(*keys, "pos", *"xyz", "_cut", "_own", "_row")
+    types = rows.schema
+    out = StructType([*(types[k] for k in keys), StructField("i", types["pos"].dataType), StructField("j", types["pos"].dataType), StructField("d", DoubleType())])
+    return rows.mapInArrow(near_pairs(list(keys), to_arrow_schema(out)), out)
+
+
 def contact_edges(residues: DataFrame, cutoff: float | Column = PROTEIN_CUTOFF, keys: Keys = K, weighted: bool = True) -> DataFrame:
     """Edges i, j, weight: neighbours in the chain, and residues nearer than ``cutoff``.
 
-    Residues are hashed to cubes of the cutoff's size. One side is sent to its own cube and the 13 neighbours on one side
-    of it (two cubes that touch see each other once), so the join is on (chain, cube) and a long chain is spread over
-    many tasks. Null coordinates have no contacts but those along the chain (weight null there).
+    Null coordinates have no contacts but those along the chain (weight null there).
     """
     cut = F.lit(cutoff) if isinstance(cutoff, (int, float)) else cutoff
-    points = residues.select(*keys, "pos", "x", "y", "z", cut.alias("_cut"))
-    cells = points.select("*", *(F.floor(F.col(c) / F.col("_cut")).alias(f"_c{c}") for c in "xyz"))
-    left = cells.select(*keys, "_cx", "_cy", "_cz", "_cut", F.col("pos").alias("i"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
-    right = cells.select(*keys, F.col("pos").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xyz"), "_cx", "_cy", "_cz")
-    half = [(x, y, z) for x in (0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
-    around = F.array(*(F.struct(*((F.col(f"_c{c}") + d).alias(f"_c{c}") for c, d in zip("xyz", step, strict=True)), F.lit(step == (0, 0, 0)).alias("_own")) for step in half))
-    right = right.select(*keys, "j", "bx", "by", "bz", F.inline(around))
-    # In its own cube a pair is met from both sides: once is enough.
-    near = left.join(right, [*keys, "_cx", "_cy", "_cz"]).where("not _own or i < j").withColumn("d", distance("a", "b")).where("d < _cut")
-    near = near.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").where("j > i + 1")
+    points = residues.select(*keys, "pos", *(F.col(c).cast("double").alias(c) for c in "xyz"), cut.cast("double").alias("_cut"))
+    # Null keys are equal to no other.
+    near = _near(points.dropna(subset=list(keys)), keys)
     w = along(keys)
     chain = points.select(*keys, F.col("pos").alias("i"), F.lead("pos").over(w).alias("j"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *(F.lead(c).over(w).alias(f"b{c}") for c in "xyz"))
     chain = chain.where("j is not null").withColumn("d", distance("a", "b")).select(*keys, "i", "j", "d")
