@@ -27,7 +27,7 @@ def broadcast(plan):
 
 
 #: Queries in whose joins contacts, or rows of residues beside them, take part.
-JOINED = ["contact_edges"]
+JOINED = ["contact_edges", "node_degree"]
 
 
 @pytest.mark.parametrize("name", JOINED)
