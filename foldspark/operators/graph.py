@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import contact_weight, distance
 from ..functions.nearby import BLOCK, near_pairs
-from ..schemas import K, Keys, along
+from ..schemas import K, Keys, along, shuffled
 
 #: Contact distance of protein chains and of others.
 PROTEIN_CUTOFF, OTHER_CUTOFF = 7.5, 15.0
@@ -79,7 +79,7 @@ def _sided(edges: DataFrame, labels: DataFrame, keys: Keys) -> DataFrame:
     """Edges with the labels of both ends (label_i, label_j)."""
     out = edges
     for end in "ij":
-        out = out.join(labels.select(*keys, F.col("pos").alias(end), F.col("label").alias(f"label_{end}")), [*keys, end])
+        out = out.join(shuffled(labels.select(*keys, F.col("pos").alias(end), F.col("label").alias(f"label_{end}"))), [*keys, end])
     return out
 
 
