@@ -27,7 +27,7 @@ def broadcast(plan):
 
 
 #: Queries in whose joins contacts, or rows of residues beside them, take part.
-JOINED = ["contact_edges", "node_degree", "bipartition_modularity", "boundary_nodes", "contact_ratio"]
+JOINED = ["contact_edges", "node_degree", "bipartition_modularity", "boundary_nodes", "contact_ratio", "best_continuous_cut"]
 
 
 @pytest.mark.parametrize("name", JOINED)
