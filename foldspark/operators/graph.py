@@ -98,9 +98,9 @@ def contact_ratio(edges: DataFrame, labels: DataFrame, keys: Keys = K, mode: str
     touching = _sided(edges, labels, keys).where("label_i <> label_j")
     both = touching.select(*keys, F.explode(F.array(F.struct(F.col("i").alias("pos"), F.col("label_i").alias("own"), F.col("label_j").alias("other")), F.struct(F.col("j").alias("pos"), F.col("label_j").alias("own"), F.col("label_i").alias("other")))).alias("_s"))
     counts = both.select(*keys, "_s.*").distinct().groupBy(*keys, "own", "other").agg(F.count("*").alias("n"))
-    share = counts.join(sizes.withColumnRenamed("label", "own"), [*keys, "own"]).select(*keys, "own", "other", (F.col("n") / F.col("size")).alias("share"))
+    share = counts.join(shuffled(sizes.withColumnRenamed("label", "own")), [*keys, "own"]).select(*keys, "own", "other", (F.col("n") / F.col("size")).alias("share"))
     back = share.select(*keys, F.col("other").alias("own"), F.col("own").alias("other"), F.col("share").alias("back"))
-    pair = share.where("own < other").join(back, [*keys, "own", "other"])
+    pair = share.where("own < other").join(shuffled(back), [*keys, "own", "other"])
     ratio = {"max": F.greatest("share", "back"), "avg": (F.col("share") + F.col("back")) / 2, "min": F.least("share", "back")}[mode]
     return pair.select(*keys, F.col("own").alias("label_a"), F.col("other").alias("label_b"), ratio.alias("ratio"))
 

@@ -10,6 +10,7 @@ from ..operators import cleanup as U
 from ..operators import cuts as X
 from ..operators import graph as G
 from ..registry import query
+from ..schemas import shuffled
 from .sql import BASE, EDGES, GAPS
 
 _LABELS = ("chain_id", "pos", "label")
@@ -66,7 +67,7 @@ def contact_ratio(spark, d):
     out = None
     for mode in ("max", "avg", "min"):
         one = G.contact_ratio(edges, labels, KEY, mode).select("chain_id", "label_a", "label_b", F.round("ratio", 9).alias(f"r_{mode}"))
-        out = one if out is None else out.join(one, ["chain_id", "label_a", "label_b"])
+        out = one if out is None else out.join(shuffled(one), ["chain_id", "label_a", "label_b"])
     return out
 
 
