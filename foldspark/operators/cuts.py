@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import K, Keys, along, before
+from ..schemas import K, Keys, along, before, shuffled
 from .graph import ends
 
 #: Shortest piece of protein chains and of others, and shortest middle of a discontinuous split.
@@ -59,7 +59,7 @@ def best_continuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, min_
     """
     suffix = _suffixes(edges, sizes, keys).where((F.col("m") > 0) & (F.col("pos") >= min_len) & (F.col("pos") <= F.col("n") - min_len))
     if cuts is not None:
-        suffix = suffix.join(cuts.select(*keys, F.col("k").alias("pos")).distinct(), [*keys, "pos"], "left_semi")
+        suffix = suffix.join(shuffled(cuts.select(*keys, F.col("k").alias("pos")).distinct()), [*keys, "pos"], "left_semi")
     scored = suffix.select(*keys, (F.col("pos") - 1).alias("k"), F.round(block_modularity(F.col("inside"), F.col("degree"), F.col("m"), resolution), 9).alias("q"))
     best = scored.groupBy(*keys).agg(F.max(F.struct("q", (-F.col("k")).alias("_k"))).alias("_b"))
     return best.select(*keys, (-F.col("_b._k")).alias("k"), F.col("_b.q").alias("q"))
@@ -75,7 +75,7 @@ def _inside(edges: DataFrame, tried: DataFrame, keys: Keys) -> DataFrame:
     at, side = F.col("at"), F.col("side")
     bit = lambda k: (F.floor(at / F.pow(F.lit(2.0), k)).cast("int") % 2 == side) & (F.pow(F.lit(2.0), k) < F.col("n"))
     level = F.explode(F.filter(F.sequence(F.lit(0), F.lit(30)), bit)).alias("level")
-    ins = edges.join(tried.select(*keys, "n").distinct(), list(keys)).select(*keys, "n", F.col("i").alias("at"), F.col("j").alias("upto"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("t"), "weight")
+    ins = edges.join(shuffled(tried.select(*keys, "n").distinct()), list(keys)).select(*keys, "n", F.col("i").alias("at"), F.col("j").alias("upto"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("t"), "weight")
     asks = tried.select(*keys, "n", F.col("t").alias("at"), F.col("v").alias("upto"), F.lit(0).alias("side"), "t", F.lit(0.0).alias("weight"))
     rows = ins.unionByName(asks).select(*keys, "upto", "side", "t", "weight", "at", level)
     rows = rows.withColumn("node", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("level") + 1)).cast("int"))
@@ -88,17 +88,17 @@ def best_discontinuous_cut(edges: DataFrame, sizes: DataFrame, keys: Keys = K, m
     """Best middle piece [t + 1, v] closed by a contact (t, v): t, v, q. First (t, v) on ties (q to nine digits). Chains
     without such a contact give no row."""
     degree = ends(edges, keys).groupBy(*keys, "pos").agg(F.sum("weight").alias("d"))
-    prefix = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).join(degree, [*keys, "pos"], "left")
+    prefix = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).join(shuffled(degree), [*keys, "pos"], "left")
     prefix = prefix.select(*keys, "pos", F.sum(F.coalesce("d", F.lit(0.0))).over(before(keys)).alias("upto"))
     total = edges.groupBy(*keys).agg(F.sum("weight").alias("m"))
     middle = F.col("v") - F.col("t")
     min_len = F.lit(min_len) if isinstance(min_len, int) else min_len
-    tried = edges.select(*keys, F.col("i").alias("t"), F.col("j").alias("v")).join(sizes.select(*keys, "n"), list(keys))
+    tried = edges.select(*keys, F.col("i").alias("t"), F.col("j").alias("v")).join(shuffled(sizes.select(*keys, "n")), list(keys))
     last = F.col("n") - min_len
     tried = tried.where((F.col("t") >= min_len - 1) & (F.col("t") <= last - 1) & (F.col("v") + 1 > F.col("t") + F.greatest(F.lit(min_gap), min_len + 1)) & (F.col("v") + 1 <= last) & (middle >= min_len) & (F.col("n") - middle >= min_len))
     at = prefix.withColumnRenamed("pos", "t").withColumnRenamed("upto", "upto_t")
     to = prefix.withColumnRenamed("pos", "v").withColumnRenamed("upto", "upto_v")
-    scored = tried.join(_inside(edges, tried, keys), [*keys, "t", "v"]).join(total, list(keys)).join(at, [*keys, "t"]).join(to, [*keys, "v"])
+    scored = tried.join(shuffled(_inside(edges, tried, keys)), [*keys, "t", "v"]).join(shuffled(total), list(keys)).join(shuffled(at), [*keys, "t"]).join(shuffled(to), [*keys, "v"])
     q = block_modularity(F.col("inside"), F.col("upto_v") - F.col("upto_t"), F.col("m"), resolution)
     best = scored.select(*keys, "t", "v", F.round(q, 9).alias("q")).groupBy(*keys).agg(F.max(F.struct("q", (-F.col("t")).alias("_t"), (-F.col("v")).alias("_v"))).alias("_b"))
     return best.select(*keys, (-F.col("_b._t")).alias("t"), (-F.col("_b._v")).alias("v"), F.col("_b.q").alias("q"))
