@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
-from ..schemas import K, Keys, along, before
+from ..schemas import K, Keys, along, before, shuffled
 from .chains import each_chain
 from .graph import _pairs, node_degree
 from .intervals import _runs, label_runs, ranges_of
@@ -19,7 +19,7 @@ def terminal_low_degree(edges: DataFrame, labels: DataFrame, keys: Keys = K, thr
     own = [*keys, "label"]
     ranges = ranges_of(labels.where("label <> -1").select(*own, F.col("pos").alias("value")), own)
     members = ranges.select(*own, "range_no", F.explode(F.sequence("start", "end")).alias("pos"))
-    degrees = members.join(node_degree(edges, keys).select(*keys, "pos", "degree"), [*keys, "pos"], "left").withColumn("_low", F.coalesce("degree", F.lit(0)) <= threshold)
+    degrees = members.join(shuffled(node_degree(edges, keys).select(*keys, "pos", "degree")), [*keys, "pos"], "left").withColumn("_low", F.coalesce("degree", F.lit(0)) <= threshold)
     span = [*own, "range_no"]
     ahead = Window.partitionBy(*span).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     high = (~F.col("_low")).cast("int")
