@@ -28,7 +28,7 @@ def broadcast(plan):
 
 
 #: Queries in whose joins contacts, or rows of residues beside them, take part.
-JOINED = ["contact_edges", "node_degree", "bipartition_modularity", "boundary_nodes", "contact_ratio", "best_continuous_cut", "best_continuous_cut_ss", "best_discontinuous_cut", "terminal_low_degree", "top_down"]
+JOINED = ["contact_edges", "node_degree", "bipartition_modularity", "boundary_nodes", "contact_ratio", "best_continuous_cut", "best_continuous_cut_ss", "best_discontinuous_cut", "terminal_low_degree", "top_down", "detect_domains"]
 
 
 @pytest.mark.parametrize("name", JOINED)
