@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import format_range
 from ..operators.intervals import ranges_of, ranges_with_insertions
-from ..schemas import K, Keys
+from ..schemas import K, Keys, shuffled
+from .folders import local_path, read_texts, write_texts
 from .structures import atom_columns
 
 #: Colours of the first clusters; later ones are numbered.
@@ -45,7 +46,7 @@ def selection_command_plain(labels: DataFrame, keys: Keys = K, name: Column | No
 def split_structure_by_cluster(atoms: DataFrame, labels: DataFrame, keys: Keys = K) -> DataFrame:
     """Atoms of labelled residues with their cluster; a residue in several clusters goes to the first."""
     first = labels.where("label <> -1").groupBy(*keys, "res_label").agg(F.min("label").alias("label"))
-    return atoms.join(first, [*keys, "res_label"])
+    return atoms.join(shuffled(first), [*keys, "res_label"])
 
 
 def pdb_line() -> Column:
@@ -78,22 +79,28 @@ def pdb_line() -> Column:
 
 def write_split_structures(atoms: DataFrame, path: str, keys: Keys = K) -> None:
     """One PDB text file for each structure, model, chain (``keys``) and cluster, in a folder of its own: the rows of a
-    file are sorted by serial in one task, and Spark's writer commits all files or none. Columns of an atom that the
-    table lacks are blank."""
+    file are sorted by serial in one task, and all files are there or none. Columns of an atom that the table lacks are
+    blank. On a local disk tasks open the files themselves (``folders``), elsewhere Spark's writer does."""
     own = [*keys, "label"]
     known = {"record": F.when(F.col("hetflag") == "", "ATOM").otherwise("HETATM")} if "hetflag" in atoms.columns else {"record": F.lit("ATOM")}
     names = ["record", "serial", "atom_name", "altloc", "res_name", "chain_id", "res_seq", "icode", "x", "y", "z", "occupancy", "bfactor", "element", "charge"]
     blank = {c: known.get(c, F.lit(None).cast("string")) for c in names if c not in atoms.columns}
     rows = atoms.withColumns(blank).select(*own, "serial", pdb_line().alias("value"))
+    if local := local_path(rows.sparkSession, path):
+        return write_texts(rows, local, own, "serial")
     rows.repartition(*own).sortWithinPartitions(*own, "serial").select(*own, "value").write.partitionBy(*own).text(path)
 
 
 def read_split_structures(spark: SparkSession, path: str, keys: Keys = K, types: str = "structure_id string, model_id int, chain_id string") -> DataFrame:
     """The atoms of files that ``write_split_structures`` wrote: keys and label come from the folders."""
     schema = f"value string, {types}, label int"
-    # Without a file there are no folders to read the keys from.
-    found = set(keys) <= set(spark.read.text(path).columns)
-    lines = spark.read.schema(schema).text(path) if found else spark.createDataFrame([], schema)
+    if local := local_path(spark, path):
+        fields = spark.createDataFrame([], schema).schema
+        lines = read_texts(spark, local, [*keys, "label"]).select("value", *(F.col(k).cast(fields[k].dataType).alias(k) for k in (*keys, "label")))
+    else:
+        # Without a file there are no folders to read the keys from.
+        found = set(keys) <= set(spark.read.text(path).columns)
+        lines = spark.read.schema(schema).text(path) if found else spark.createDataFrame([], schema)
     folders = {k: f"_{k}" for k in keys}
     lines = lines.withColumnsRenamed(folders).withColumns({"structure_id": F.lit(""), "line_no": F.lit(0)})
     atoms = atom_columns(lines.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM")), *folders.values(), "label")
