@@ -50,8 +50,9 @@ def long_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chain per supplier, of about 600 residues."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     order = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    pos = (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).cast("int")
-    rows = items.select(F.col("l_suppkey").alias("chain_id"), pos.alias("pos"), "l_discount")
+    items = items.select(F.col("l_suppkey").alias("chain_id"), *order, "l_discount")
+    pos = (F.row_number().over(Window.partitionBy("chain_id").orderBy(*order)) - 1).cast("int")
+    rows = items.withColumn("pos", pos)
     return _lattice(rows, F.col("l_discount")).select("chain_id", "pos", "x", "y", "z", "true_label")
 
 

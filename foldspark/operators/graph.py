@@ -39,6 +39,8 @@ def _near(points: DataFrame, keys: Keys) -> DataFrame:
     half = [(x, y, z) for x in (0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
     block = lambda step: F.struct(*((F.col(f"_b{c}") + d).alias(f"_c{c}") for c, d in zip("xyz", step, strict=True)), F.lit(step == (0, 0, 0)).alias("_own"))
     seen = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a & b, [touches[d](c) for c, d in zip("xyz", step, strict=True)]), block(step)) for step in half)))
+    # Null keys are equal to no other. (A filter would be moved below the shuffle, which could then not be shared.)
+    seen = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), seen)
     rows = given.select(*keys, "pos", *"xyz", "_cut", F.inline(seen))
     # The window sorts the blocks and marks where they begin; a chain that lies in one task already stays there.
     rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_cut", "_cx", "_cy", "_cz").orderBy("pos")))
@@ -55,11 +57,12 @@ def contact_edges(residues: DataFrame, cutoff: float | Column = PROTEIN_CUTOFF,
     """
     cut = F.lit(cutoff) if isinstance(cutoff, (int, float)) else cutoff
     points = residues.select(*keys, "pos", *(F.col(c).cast("double").alias(c) for c in "xyz"), cut.cast("double").alias("_cut"))
-    # Null keys are equal to no other.
-    near = _near(points.dropna(subset=list(keys)), keys)
+    near = _near(points, keys)
     w = along(keys)
     chain = points.select(*keys, F.col("pos").alias("i"), F.lead("pos").over(w).alias("j"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *(F.lead(c).over(w).alias(f"b{c}") for c in "xyz"))
-    chain = chain.where("j is not null").withColumn("d", distance("a", "b")).select(*keys, "i", "j", "d")
+    # The distance is asked for even where no weight is: with other columns than the near pairs need, all residues would be
+    # shuffled a second time.
+    chain = chain.where("j is not null").withColumn("d", distance("a", "b")).where("d is null or d >= 0").select(*keys, "i", "j", "d")
     return near.unionByName(chain).select(*keys, "i", "j", (contact_weight(F.col("d")) if weighted else F.lit(1.0)).alias("weight"))
 
 

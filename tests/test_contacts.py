@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__
 
 from foldspark.functions import nearby
+from foldspark.jobs.fixtures import long_residues
 from foldspark.operators import graph
 
 DATA = "/root/testdata/sf0.001"
@@ -65,3 +66,14 @@ def test_blocks_stay_whole_and_pairs_come_in_parts():
     whole, split = ([(min(a, b), max(a, b)) for x in nearby.near(points, block, cut, own, n) for a, b in zip(x[0].tolist(), x[1].tolist(), strict=True)] for n in (10**6, 7))
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
     assert sorted(whole) == sorted(split) == [(i, j) for i in range(300) for j in range(i + 1, 300) if block[i] == block[j] and (own[i] or own[j]) and d[i, j] < 1]
+
+
+def test_residues_are_shuffled_once_for_all_contacts(spark):
+    """The branch of the near pairs and that of the neighbours along the chain read one exchange, weights asked for or not."""
+    edges = graph.contact_edges(long_residues(spark, DATA), 7.5, ["chain_id"]).select("chain_id", "i", "j")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange" in plan and plan.count("Scan parquet") == 1
