@@ -29,7 +29,7 @@ def broadcast(plan):
 
 
 #: Queries in whose joins contacts, or rows of residues beside them, take part.
-JOINED = ["contact_edges", "node_degree", "bipartition_modularity", "boundary_nodes", "contact_ratio", "best_continuous_cut", "best_continuous_cut_ss", "best_discontinuous_cut", "terminal_low_degree", "top_down", "detect_domains", "top_down_ss", "split_pvalue", "bottom_up", "bottom_up_size_first"]
+JOINED = ["contact_edges", "node_degree", "bipartition_modularity", "boundary_nodes", "contact_ratio", "best_continuous_cut", "best_continuous_cut_ss", "best_discontinuous_cut", "terminal_low_degree", "top_down", "detect_domains", "top_down_ss", "split_pvalue", "bottom_up", "bottom_up_size_first", "detect_domains_ss"]
 
 
 @pytest.mark.parametrize("name", JOINED)
